@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from dossier import constants as K
 from dossier.functions.text import digits, let, strip
 
-NULL_INT = F.lit(None).cast("int")
+def null_int() -> Column:
+    return F.lit(None).cast("int")
 
 
 def optional_string(value: Column) -> Column:
@@ -21,7 +22,7 @@ def optional_int(value: Column) -> Column:
 
 def optional_date(value: Column) -> Column:
     text = optional_string(value)
-    return F.when(text.rlike(r"^\d{4}-?\d{2}-?\d{2}$"), F.regexp_replace(text, r"^(\d{4})-?(\d{2})-?(\d{2})$", "$1-$2-$3").try_cast("date"))
+    return F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), text.try_cast("date"))
 
 
 def optional_decimal(value: Column) -> Column:
@@ -80,7 +81,7 @@ def fiscal_year(form_type: Column, report_date: Column, fiscal_year_end: Column,
     past_year_end = (F.month(report_date) > month) | ((F.month(report_date) == month) & (F.dayofmonth(report_date) > day))
     return (
         F.when(source_year.isNotNull(), source_year)
-        .when(report_date.isNull(), NULL_INT)
+        .when(report_date.isNull(), null_int())
         .when((form_type != "10-K") & month.isNotNull() & past_year_end, F.year(report_date) + 1)
         .otherwise(F.year(report_date))
         .cast("int")

@@ -12,6 +12,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from dossier import constants as K
 from dossier.functions.text import looks_like_html, normalize_layout
@@ -54,20 +55,18 @@ def _visible(document: str) -> str:
     return html.unescape("".join(reader.pieces))
 
 
-@F.pandas_udf("string")
-def _markup_to_text(documents: pd.Series) -> pd.Series:
-    return documents.map(_visible, na_action="ignore")
-
-
-@F.pandas_udf("string")
-def _resolve_entities(texts: pd.Series) -> pd.Series:
-    return texts.map(html.unescape, na_action="ignore")
+@F.pandas_udf(StringType())
+def _resolve(markup: pd.Series, plain: pd.Series) -> pd.Series:
+    return markup.map(_visible, na_action="ignore").fillna(plain.map(html.unescape, na_action="ignore"))
 
 
 def extract_text(document: Column) -> Column:
     """Readable text of a filing document, HTML or plain.
 
-    Text without an ampersand has no entities to resolve and never leaves the JVM.
+    Plain text without an ampersand has no entities to resolve; such rows send only nulls to the
+    Python workers.
     """
-    plain = F.when(F.contains(document, F.lit("&")), _resolve_entities(document)).otherwise(document)
-    return normalize_layout(F.when(looks_like_html(document), _markup_to_text(document)).otherwise(plain))
+    is_html = looks_like_html(document)
+    markup = F.when(is_html, document)
+    plain = F.when(~is_html & F.contains(document, F.lit("&")), document)
+    return normalize_layout(F.coalesce(_resolve(markup, plain), document))

@@ -13,7 +13,7 @@ from dossier import constants as K
 SPACE = r"[\s\x1c-\x1f]"
 NOT_SPACE = r"[^\s\x1c-\x1f]"
 # Line terminators that are left after text normalisation; each is one character long.
-EOL = r"\n\x1c-\x1e\x85  "
+EOL = r"\n\x1c-\x1e\x85\u2028\u2029"
 SENTENCE_END = r"(?<=[.!?])"
 NUMBER_EVIDENCE = r"(?U)[$%]|\b\d+(\.\d+)?\b"
 
@@ -70,7 +70,7 @@ def looks_like_html(document: Column) -> Column:
 
 def normalize_layout(text: Column) -> Column:
     """Line ends, blanks and blank lines in canonical form (entities already resolved)."""
-    text = F.translate(text, " ", " ")
+    text = F.translate(text, "\u00a0", " ")
     text = F.regexp_replace(text, r"\r\n|\r", "\n")
     text = F.regexp_replace(text, r"[ \t\f\x0B]+", " ")
     text = F.regexp_replace(text, r" *\n *", "\n")
@@ -79,7 +79,7 @@ def normalize_layout(text: Column) -> Column:
 
 
 def normalize_heading(line: Column) -> Column:
-    return F.btrim(F.regexp_replace(F.translate(line, " ", " "), f"(?U){SPACE}+", " "), F.lit(" .:-\t"))
+    return F.btrim(F.regexp_replace(F.translate(line, "\u00a0", " "), f"(?U){SPACE}+", " "), F.lit(" .:-\t"))
 
 
 def classify_heading(heading: Column) -> Column:
