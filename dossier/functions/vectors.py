@@ -38,7 +38,7 @@ def _run_lengths(ordered: Column) -> Column:
 
 def count_vector(text: Column, dimensions: int = K.DENSE_DIMENSIONS) -> Column:
     """Bucket counts and L2 norm of the words of ``text``."""
-    ordered = F.array_sort(F.transform(words(text), lambda w: bucket(w, dimensions)))
+    ordered = F.sort_array(F.transform(words(text), lambda w: bucket(w, dimensions)))
     return let(
         let(ordered, _run_lengths),
         lambda v: F.struct(

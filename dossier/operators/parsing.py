@@ -34,7 +34,7 @@ def _heading_lines(text: Column) -> Column:
             lambda name: F.struct(
                 F.length(piece).alias("size"),
                 name.alias("name"),
-                classify_heading(normalize_heading(name)).alias("type"),
+                let(normalize_heading(name), classify_heading).alias("type"),
                 (F.length(line) - F.length(F.regexp_replace(line, rf"(?U)\A{SPACE}+", ""))).alias("indent"),
             ),
         )

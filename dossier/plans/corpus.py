@@ -46,6 +46,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def text_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table whose rows are costly to process: spread out when it has fewer splits than cores.
+
+    A table of many files or row groups is left as it is, so at scale there is no extra shuffle.
+    """
+    df = table(spark, sf_dir, name)
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def pick(values: list[str], key: Column) -> Column:
     """One of a fixed list by key."""
     return literals(values)[F.pmod(key, F.lit(len(values))).cast("int")]
@@ -128,7 +138,7 @@ def statement(amount: Column, status: Column) -> Column:
 
 def filing_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Filings that have a document: normalised text with headings and a numeric statement."""
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("filing_key"), F.col("text").alias("body"))
+    docs = text_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("filing_key"), F.col("text").alias("body"))
     joined = filings(spark, sf_dir).join(docs, "filing_key")
     return joined.withColumn(
         "text",
