@@ -69,18 +69,22 @@ def cosine(left: Column, right: Column) -> Column:
 
 def dense_values(vector: Column, dimensions: int = K.DENSE_DIMENSIONS) -> Column:
     """The L2-normalised vector in full; all zeros when there are no words."""
-    return F.transform(
-        F.sequence(F.lit(0), F.lit(dimensions - 1)),
-        lambda b: F.coalesce(
-            F.try_divide(F.get(vector["cnt"], (F.array_position(vector["idx"], b) - 1).cast("int")).cast("double"), vector["norm"]),
-            F.lit(0.0),
-        ),
-    )
+
+    def fill(v: Column) -> Column:
+        return F.transform(
+            F.sequence(F.lit(0), F.lit(dimensions - 1)),
+            lambda b: F.coalesce(
+                F.try_divide(F.get(v["cnt"], (F.array_position(v["idx"], b) - 1).cast("int")).cast("double"), v["norm"]),
+                F.lit(0.0),
+            ),
+        )
+
+    return let(vector, fill)
 
 
 def sparse_values(vector: Column) -> Column:
     """Values parallel to ``idx`` of the L2-normalised sparse vector."""
-    return F.transform(vector["cnt"], lambda c: c.cast("double") / vector["norm"])
+    return let(vector, lambda v: F.transform(v["cnt"], lambda c: c.cast("double") / v["norm"]))
 
 
 def array_cosine(left: Column, right: Column) -> Column:

@@ -1,7 +1,7 @@
-"""The stored tables: parquet folders with idempotent, per-commit writes.
+"""The stored tables: parquet folders with idempotent writes.
 
-Every table is a series of numbered versions (Spark cannot overwrite a folder it is reading); a version
-counts once its ``_SUCCESS`` marker exists, so a failed write leaves the last good version in place.
+A write first lands complete in the shared folder (Spark cannot overwrite a folder it is reading, and a
+failed job must not damage the table), then replaces the table.
 """
 
 from __future__ import annotations
@@ -9,12 +9,14 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dossier import schemas
 from dossier.operators.retrieval import filter_by
 from dossier.operators.upserts import replace_by_key, upsert
+from dossier.session import durable
 
 KEYS = {"companies": ("cik",), "filings": ("accession_number",), "facts": ("source_key",)}
 
@@ -26,43 +28,37 @@ class TableStore:
         self.spark = spark
         self.root = root.rstrip("/")
 
-    def _versions(self, name: str) -> list[int]:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(path):
-            return []
-        names = [status.getPath().getName() for status in fs.listStatus(path)]
-        done = [n for n in names if n.startswith("v") and fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(path, f"{n}/_SUCCESS"))]
-        return sorted(int(n[1:]) for n in done)
-
-    def read(self, name: str, schema: str | None = None, **equal: object) -> DataFrame:
-        """Latest committed version; equality conditions reach the parquet scan."""
-        versions = self._versions(name)
-        if not versions:
+    def _stored(self, name: str) -> DataFrame | None:
+        try:
+            return self.spark.read.parquet(f"{self.root}/{name}")
+        except AnalysisException:
+            return None
+
+    def read(self, name: str, **equal: object) -> DataFrame:
+        """The table under equality conditions, which reach the parquet scan."""
+        stored = self._stored(name)
+        if stored is None:
+            schema = getattr(schemas, name.upper(), None)
             if schema is None:
                 raise FileNotFoundError(f"{self.root}/{name}")
-            return self.spark.createDataFrame([], schema)
-        return filter_by(self.spark.read.parquet(f"{self.root}/{name}/v{versions[-1]}"), **equal)
+            stored = self.spark.createDataFrame([], schema)
+        return filter_by(stored, **equal)
 
     def write(self, name: str, df: DataFrame) -> None:
-        """Commit a new version; readers switch only when it is complete."""
-        versions = self._versions(name)
-        df.write.mode("overwrite").parquet(f"{self.root}/{name}/v{(versions[-1] if versions else 0) + 1}")
+        durable(df, name).write.mode("overwrite").parquet(f"{self.root}/{name}")
 
     def upsert(self, name: str, incoming: DataFrame, order: Sequence[str]) -> None:
-        stored = self.read(name, getattr(schemas, name.upper()))
-        rows = incoming.select(*[c for c in stored.columns], *[c for c in order if c not in stored.columns])
-        merged = upsert(stored, rows, KEYS[name], order)
-        self.write(name, merged.select(*stored.columns))
+        stored = self.read(name)
+        extra = [c for c in order if c not in stored.columns]
+        rows = incoming.select(*stored.columns, *extra)
+        self.write(name, upsert(stored, rows, KEYS[name], order))
 
     def replace(self, name: str, incoming: DataFrame, affected: DataFrame) -> None:
         """Delete the affected filings' rows and add the incoming ones."""
-        try:
-            stored = self.read(name)
-        except FileNotFoundError:
-            stored = None
-        keys = ["accession_number"]
-        self.write(name, incoming if stored is None else replace_by_key(stored.select(*incoming.columns), incoming, keys, affected))
+        stored = self._stored(name)
+        if stored is not None:
+            incoming = replace_by_key(stored.select(*incoming.columns), incoming, ["accession_number"], affected)
+        self.write(name, incoming)
 
 
 def ordered(df: DataFrame, kind: str) -> DataFrame:
