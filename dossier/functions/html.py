@@ -7,6 +7,7 @@ clean-up around it stays in Spark expressions.
 from __future__ import annotations
 
 import html
+from collections.abc import Callable
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -17,47 +18,51 @@ from pyspark.sql.types import StringType
 from dossier import constants as K
 from dossier.functions.text import looks_like_html, normalize_layout
 
-_BREAKS = frozenset(K.BLOCK_TAGS)
-_SKIPPED = frozenset(K.SKIPPED_TAGS)
 
 
-class _VisibleText(HTMLParser):
-    """Collects visible text; block-level tags break the line on both sides."""
+def _reader() -> Callable[..., Column]:
+    """The UDF, built from nested definitions so that it travels to workers without this package."""
+    breaks, skipped = frozenset(K.BLOCK_TAGS), frozenset(K.SKIPPED_TAGS)
 
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.pieces: list[str] = []
-        self.hidden = 0
+    class VisibleText(HTMLParser):
+        """Collects visible text; block-level tags break the line on both sides."""
 
-    def handle_starttag(self, tag, attrs):
-        self.hidden += tag in _SKIPPED
-        self._line_break(tag)
+        def __init__(self) -> None:
+            super().__init__(convert_charrefs=True)
+            self.pieces: list[str] = []
+            self.hidden = 0
 
-    def handle_endtag(self, tag):
-        if tag in _SKIPPED:
-            self.hidden = max(self.hidden - 1, 0)
-        self._line_break(tag)
+        def handle_starttag(self, tag, attrs):
+            self.hidden += tag in skipped
+            self.line_break(tag)
 
-    def _line_break(self, tag):
-        if tag in _BREAKS:
-            self.pieces.append("\n")
+        def handle_endtag(self, tag):
+            if tag in skipped:
+                self.hidden = max(self.hidden - 1, 0)
+            self.line_break(tag)
 
-    def handle_data(self, data):
-        visible = "" if self.hidden else html.unescape(data)
-        if not visible.isspace():
-            self.pieces.append(visible)
+        def line_break(self, tag):
+            if tag in breaks:
+                self.pieces.append("\n")
 
+        def handle_data(self, data):
+            visible = "" if self.hidden else html.unescape(data)
+            if not visible.isspace():
+                self.pieces.append(visible)
 
-def _visible(document: str) -> str:
-    reader = _VisibleText()
-    reader.feed(document)
-    reader.close()
-    return html.unescape("".join(reader.pieces))
+    def visible(document: str) -> str:
+        reader = VisibleText()
+        reader.feed(document)
+        reader.close()
+        return html.unescape("".join(reader.pieces))
 
+    def resolve(markup: pd.Series, plain: pd.Series) -> pd.Series:
+        return markup.map(visible, na_action="ignore").fillna(plain.map(html.unescape, na_action="ignore"))
 
-@F.pandas_udf(StringType())
-def _resolve(markup: pd.Series, plain: pd.Series) -> pd.Series:
-    return markup.map(_visible, na_action="ignore").fillna(plain.map(html.unescape, na_action="ignore"))
+    return F.pandas_udf(resolve, StringType())
+
+
+_resolve = _reader()
 
 
 def extract_text(document: Column) -> Column:

@@ -304,7 +304,7 @@ def vector_topk(spark, sf):
         F.round(V.array_cosine(F.col("query"), F.col("embedding")), 9).alias("score"),
     )
     return R.keep_top(scored, F.desc("score")).select(
-        F.col("question_id").alias("label"), long("rank").alias("rank"), F.col("chunk_id").alias("vec_id"), F.round("score", 6).alias("score")
+        F.col("question_id").alias("label"), long("rank").alias("rank"), F.col("chunk_id").alias("vec_id"), "score"
     )
 
 

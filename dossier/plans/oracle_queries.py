@@ -97,7 +97,7 @@ FINAL["strong_hits"] = f"select question_id, rank, chunk_id, section_type, sha25
 FINAL["hybrid_topk"] = """
 select question_id, rank, chunk_id, round(score, 9) as score from (select *, row_number() over (partition by question_id order by round(score, 9) desc, chunk_id) as rank from x_fused) where rank <= top_k"""
 FINAL["vector_topk"] = """
-select label, rank, vec_id, round(score, 6) as score from (
+select label, rank, vec_id, round(score, 9) as score from (
   select *, row_number() over (partition by label order by round(score, 9) desc, vec_id) as rank from (
     select v.label::bigint as label, v.vec_id, list_cosine_similarity(f.query, v.embedding::double[]) as score
     from embeddings v join (select label, arg_min(embedding, vec_id)::double[] as query from embeddings group by label) f using (label))) where rank <= 5"""
