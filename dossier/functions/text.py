@@ -135,11 +135,14 @@ def line_windows(lines: Column, before: int, after: int) -> Column:
 
 def any_contains(text: Column, needles: Sequence[str]) -> Column:
     """True when any of the fixed phrases occurs in ``text`` (already case-normalised)."""
-    found = F.lit(False)
-    for needle in needles:
-        found = found | F.contains(text, F.lit(needle))
-    return found
+    return text.rlike("|".join(rf"\Q{needle}\E" for needle in needles))
 
 
 def literals(values: Sequence[str]) -> Column:
-    return F.array(*[F.lit(v) for v in values])
+    """A constant array of strings (built as one expression, folded once)."""
+    return F.expr("array(" + ", ".join(quoted(v) for v in values) + ")")
+
+
+def quoted(value: str) -> str:
+    """A string as a SQL literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"

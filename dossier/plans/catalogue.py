@@ -76,7 +76,7 @@ def index_of(spark: SparkSession, sf: str, hybrid: bool = False) -> DataFrame:
 
 
 def series_documents(spark: SparkSession, sf: str) -> DataFrame:
-    return X.text_table(spark, sf, "documents").select("doc_id", "text")
+    return X.spread_table(spark, sf, "documents").select("doc_id", "text")
 
 
 def user_turns(spark: SparkSession, sf: str) -> DataFrame:
@@ -102,7 +102,7 @@ def html_sniff(spark, sf):
 
 @query
 def html_extract(spark, sf):
-    return X.text_table(spark, sf, "pages").select("page_id", extract_text(F.col("html")).alias("text"))
+    return X.spread_table(spark, sf, "pages").select("page_id", extract_text(F.col("html")).alias("text"))
 
 
 @query
@@ -537,7 +537,7 @@ def fact_lookup(spark, sf):
 
 def series_filings(spark: SparkSession, sf: str) -> DataFrame:
     """Documents as dated filings: source is the company, language the form, one filing a day."""
-    return X.text_table(spark, sf, "documents").select(
+    return X.spread_table(spark, sf, "documents").select(
         F.col("doc_id").alias("filing_key"),
         F.lpad(F.regexp_replace("source", "[^0-9]", ""), 10, "0").alias("cik"),
         F.concat(F.lpad(F.regexp_replace("source", "[^0-9]", ""), 10, "0"), F.format_string("-20-%06d", "doc_id")).alias("accession_number"),

@@ -46,7 +46,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def text_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def spread_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table whose rows are costly to process: spread out when it has fewer splits than cores.
 
     A table of many files or row groups is left as it is, so at scale there is no extra shuffle.
@@ -138,7 +138,7 @@ def statement(amount: Column, status: Column) -> Column:
 
 def filing_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Filings that have a document: normalised text with headings and a numeric statement."""
-    docs = text_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("filing_key"), F.col("text").alias("body"))
+    docs = spread_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("filing_key"), F.col("text").alias("body"))
     joined = filings(spark, sf_dir).join(docs, "filing_key")
     return joined.withColumn(
         "text",
@@ -164,7 +164,9 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("filing_key") * 10).alias("ingest_seq"),
     )
     number = F.col("l_linenumber")
-    items = table(spark, sf_dir, "lineitem").join(filed, F.col("l_orderkey") == F.col("filing_key"))
+    items = spread_table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_partkey", "l_linenumber", "l_extendedprice", "l_shipdate"
+    ).join(filed, F.col("l_orderkey") == F.col("filing_key"))
     amount = F.col("l_extendedprice").cast("decimal(18,2)")
     detail = items.select(
         "cik",
