@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from dossier import constants as K
 from dossier.functions.coerce import point_id
 from dossier.functions.vectors import cosine, count_vector
+from dossier.session import durable
 
 EMBED_MODES = ("text", "text_with_metadata")
 
@@ -89,6 +90,12 @@ def keep_top(scored: DataFrame, order: Column, limit: int = K.MAX_TOP_K) -> Data
     return ranked.where(F.col("rank") <= F.col("top_k"))
 
 
+def embed_questions(questions: DataFrame, column: str, dimensions: int, keep: Sequence[str] = ()) -> DataFrame:
+    """Question vectors as a small written table, so that they are computed once and not per pair."""
+    vector = count_vector(F.col("question"), dimensions).alias(column)
+    return durable(questions.select("question_id", "accession_number", "top_k", *keep, vector), "question-vectors")
+
+
 def retrieve(
     questions: DataFrame,
     index: DataFrame,
@@ -99,9 +106,7 @@ def retrieve(
     ``questions``: ``question_id, question, accession_number, top_k`` and the filter columns.
     Ranks on ids first and fetches the chunk text for the winners only.
     """
-    keyed = questions.select(
-        "question_id", "accession_number", "top_k", *filters, count_vector(F.col("question")).alias("vector")
-    )
+    keyed = embed_questions(questions, "vector", K.DENSE_DIMENSIONS, filters)
     slim = index.select("accession_number", "chunk_id", "vector", *[f for f in filters if f != "accession_number"])
     return keep_top(score_pairs(keyed, slim, filters), F.desc("score"))
 
@@ -133,9 +138,7 @@ def retrieve_hybrid(questions: DataFrame, index: DataFrame, alpha: float = 0.5)
     """
     lists = []
     for vector, dimensions, name in (("vector", K.DENSE_DIMENSIONS, "dense"), ("sparse_vector", K.SPARSE_DIMENSIONS, "sparse")):
-        keyed = questions.select(
-            "question_id", "accession_number", "top_k", count_vector(F.col("question"), dimensions).alias(vector)
-        )
+        keyed = embed_questions(questions, vector, dimensions)
         slim = index.select("accession_number", "chunk_id", vector)
         top = keep_top(score_pairs(keyed, slim, vector=vector), F.desc("score"))
         lists.append(

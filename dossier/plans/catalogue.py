@@ -328,7 +328,7 @@ def coercions(spark, sf):
     text = F.when(key % 6 == 0, F.lit("  ")).when(key % 6 == 1, F.lit("abc")).when(key % 6 == 2, F.concat(F.lit(" "), key.cast("string"), F.lit(" "))).when(
         key % 6 == 3, F.concat(key.cast("string"), F.lit(".25"))
     ).when(key % 6 == 4, F.date_format(F.col("o_orderdate").cast("date"), "yyyy-MM-dd")).otherwise(F.date_format(F.col("o_orderdate").cast("date"), "yyyy-M-dd"))
-    return X.table(spark, sf, "orders").select(
+    return X.spread_table(spark, sf, "orders").select(
         key.alias("id"), C.optional_string(text).alias("as_string"), long(F.coalesce(C.optional_int(text), F.lit(-1))).alias("as_int"),
         day(C.optional_date(text)).alias("as_date"), C.optional_decimal(text).cast("string").alias("as_decimal"),
         C.first_non_empty(F.array(F.lit(None).cast("string"), F.lit(" "), text, F.lit("z"))).alias("first_text"),
@@ -344,7 +344,7 @@ def fiscal_calendar(spark, sf):
     source_year = F.when(key % 10 == 0, F.year(report) + 3)
     period = F.when(key % 8 == 0, F.lit("Q4")).when(key % 8 == 1, F.lit("Q5")).when(key % 8 == 2, F.lit("FY"))
     year, quarter = C.fiscal_year(form, report, year_end, source_year), C.fiscal_quarter(form, report, year_end, period)
-    return X.table(spark, sf, "orders").select(
+    return X.spread_table(spark, sf, "orders").select(
         key.alias("id"), long(year).alias("fiscal_year"), long(F.coalesce(quarter, F.lit(-1))).alias("fiscal_quarter"),
         C.lookup_period(form, quarter).alias("lookup_period"), C.period_label(C.lookup_period(form, quarter), year, quarter).alias("label"),
         C.period_label(F.lit(None).cast("string"), F.when(key % 3 > 0, year), quarter).alias("bare_label"),
@@ -360,7 +360,7 @@ def source_keys(spark, sf):
 def fact_format(spark, sf):
     v = F.col("l_extendedprice").cast("decimal(18,2)")
     value = F.when(F.col("l_linenumber") % 2 == 0, v).when(F.col("l_linenumber") == 3, F.floor(v) * -1000).otherwise(F.floor(v)).cast("decimal(38,6)")
-    return X.table(spark, sf, "lineitem").select(
+    return X.spread_table(spark, sf, "lineitem").select(
         F.col("l_orderkey").alias("id"), N.format_fact_value(value).alias("shown"), joined(F.sort_array(N.fact_tokens(value))).alias("tokens")
     )
 
@@ -375,7 +375,7 @@ def number_tokens(spark, sf):
 @query
 def expected_tokens(spark, sf):
     value = F.concat(F.lit("$"), F.format_number(F.floor("o_totalprice") * F.when(F.col("o_orderkey") % 3 == 0, 1000000).otherwise(10), 0))
-    return X.table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), joined(F.sort_array(N.expected_tokens(value))).alias("tokens"))
+    return X.spread_table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), joined(F.sort_array(N.expected_tokens(value))).alias("tokens"))
 
 
 # ---- feeds and loading ----------------------------------------------------------------------------------
@@ -456,7 +456,7 @@ def facts_flatten(spark, sf):
         F.col("l_suppkey").cast("string").alias("cik"),
         F.create_map(F.lit("gaap"), F.create_map(X.pick(X.CONCEPTS, F.col("l_partkey")), concept)).alias("facts"),
     )
-    rows = X.table(spark, sf, "lineitem").select(F.from_json(F.to_json(payload), schemas.COMPANY_FACTS).alias("p")).select("p.*")
+    rows = X.spread_table(spark, sf, "lineitem").select(F.from_json(F.to_json(payload), schemas.COMPANY_FACTS).alias("p")).select("p.*")
     flat = feeds.flatten_facts(rows, [c for i, c in enumerate(X.CONCEPTS) if i % 2 == 0])
     return flat.select(
         "cik", "accession_number", "concept", "label", "unit", F.col("value").cast("decimal(18,2)").cast("string").alias("value"), "fiscal_period",

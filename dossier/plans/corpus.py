@@ -53,7 +53,7 @@ def spread_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """
     df = table(spark, sf_dir, name)
     cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if len(df.inputFiles()) < cores and df.rdd.getNumPartitions() < cores else df
 
 
 def pick(values: list[str], key: Column) -> Column:
@@ -87,7 +87,7 @@ def form_of(priority: Column) -> Column:
 def raw_filings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Feed rows of every order before normalisation."""
     date = F.col("o_orderdate").cast("date")
-    return table(spark, sf_dir, "orders").select(
+    return spread_table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("filing_key"),
         F.col("o_custkey").alias("company_key"),
         F.col("o_totalprice").alias("amount"),
