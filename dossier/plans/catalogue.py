@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dossier import constants as K
@@ -509,10 +509,10 @@ def replace_chunks(spark, sf):
 
 @query
 def ordered_filings(spark, sf):
-    """Annual and quarterly filings newest first, numbered within each company."""
-    w = Window.partitionBy("cik").orderBy(F.desc("filing_date"), F.asc("accession_number"))
-    rows = R.filter_by(X.filings(spark, sf), form_type="10-K", fiscal_quarter=None)
-    return rows.select("cik", "accession_number", long(F.row_number().over(w)).alias("position"))
+    """Annual filings newest first, numbered within each company."""
+    return tables.numbered_filings(R.filter_by(X.filings(spark, sf), form_type="10-K", fiscal_quarter=None)).select(
+        "cik", "accession_number", long("position").alias("position")
+    )
 
 
 @query

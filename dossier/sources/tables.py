@@ -10,7 +10,7 @@ import json
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from dossier import schemas
@@ -82,6 +82,19 @@ def company_filings(filings: DataFrame, cik: str, form_types: Sequence[str] | No
     return ordered(rows, "filings")
 
 
+def numbered_filings(filings: DataFrame) -> DataFrame:
+    """Position of every filing in its company's list (newest first, accession number on equal dates).
+
+    The position is the number of filings on later days plus the rank within the day, so no task ever orders
+    all filings of a company: the running sum handles one row per day.
+    """
+    later = Window.partitionBy("cik").orderBy(F.desc("filing_date")).rowsBetween(Window.unboundedPreceding, -1)
+    days = filings.groupBy("cik", "filing_date").agg(F.count("*").alias("n"))
+    before = days.select("cik", "filing_date", F.coalesce(F.sum("n").over(later), F.lit(0)).alias("before"))
+    within = F.row_number().over(Window.partitionBy("cik", "filing_date").orderBy("accession_number"))
+    return filings.join(before, ["cik", "filing_date"]).withColumn("position", F.col("before") + within).drop("before")
+
+
 def write_report(path: str, metrics: list[dict], lines: list[str]) -> None:
     """Small driver-side report files: at most eight variants and ten failures."""
     with open(path + ".json", "w", encoding="utf-8") as out:

@@ -9,9 +9,8 @@ from tools.check_oracles import compare, connect
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 QUICK = (
-    "html_extract", "filing_sections", "chunk_windows", "claim_split", "query_classify", "metric_match", "sparse_embed", "filtered_topk",
-    "hybrid_topk", "fiscal_calendar", "source_keys", "filing_rows", "facts_flatten", "upsert_counts", "previous_filing", "compare_sections",
-    "snippet_best", "guard_checks", "ask_filings", "eval_scores", "external_refusals",
+    "html_extract", "filing_sections", "chunk_windows", "query_classify", "metric_match", "sparse_embed", "hybrid_topk", "fiscal_calendar",
+    "filing_rows", "facts_flatten", "upsert_counts", "ordered_filings", "previous_filing", "compare_sections", "guard_checks", "eval_scores",
 )
 
 

@@ -76,48 +76,61 @@ def test_parsing_again_replaces(store, cache):
     assert store.read("chunks").count() == before
 
 
-def answer(store, question, accession="0000000077-24-000001", **filters):
-    return service.ask(store, service.question_table(store, accession, question, 5, **filters)).first()
-
-
-def test_numeric_answers_are_grounded(store):
-    good = answer(store, "How much revenue was reported in 2024?")
+A24, A23 = "0000000077-24-000001", "0000000077-23-000001"
+
+
+def ask_all(store, asked, candidates=None):
+    """Answers by id for ``{id: (question, accession, section type)}``, in one job."""
+    rows = [(i, text, accession, 5, None, None, None, None, section) for i, (text, accession, section) in asked.items()]
+    questions = store.spark.createDataFrame(rows, service.QUESTION_SCHEMA)
+    if candidates is not None:
+        candidates = store.spark.createDataFrame(list(candidates.items()), "question_id string, candidate_answer string")
+    return {r.question_id: r for r in service.ask(store, questions, candidates, "m").collect()}
+
+
+def test_answers_are_grounded_cited_or_refused(store):
+    got = ask_all(store, {
+        "good": ("How much revenue was reported in 2024?", A24, None),
+        "bad": ("How much revenue were net sales in millions for the year?", A23, None),
+        "missing": ("How much was spent on dividends?", A24, None),
+        "vague": ("What is the total number?", A24, None),
+        "text": ("Which phones and computers does it design?", A24, None),
+        "advice": ("Should I buy it?", "no-such-filing", None),
+        "section": ("Describe supply risk", A24, "risk_factors"),
+    })
+    good = got["good"]
     assert good.supported and good.confidence == 1.0 and good.numeric_grounding.status == "validated"
     assert good.answer == "The structured SEC fact for revenue is 391,035,000,000 USD for FY 2024 (XBRL concept: Revenues)."
-    bad = answer(store, "How much revenue were net sales in millions for the year?", "0000000077-23-000001")
-    assert (bad.supported, bad.insufficient_evidence_reason) == (False, "numeric_fact_mismatch")
-    assert answer(store, "How much was spent on dividends?").insufficient_evidence_reason == "fact_not_found"
-    assert answer(store, "What is the total number?").insufficient_evidence_reason == "no_metric_match"
+    assert (got["bad"].supported, got["bad"].insufficient_evidence_reason) == (False, "numeric_fact_mismatch")
+    assert got["missing"].insufficient_evidence_reason == "fact_not_found"
+    assert got["vague"].insufficient_evidence_reason == "no_metric_match"
+    text = got["text"]
+    assert text.supported and "phones" in text.answer and text.citations[0].section_type == "business" and 0 < text.confidence <= 1
+    assert (got["advice"].query_type, got["advice"].retrieval_count) == ("unsupported", 0)
+    assert {c.section_type for c in got["section"].citations} == {"risk_factors"}
 
 
-def test_text_and_refusals(store):
-    text = answer(store, "Which phones and computers does it design?")
-    assert text.supported and "phones" in text.answer and text.citations[0].section_type == "business" and 0 < text.confidence <= 1
-    refused = answer(store, "Should I buy it?", "no-such-filing")
-    assert (refused.query_type, refused.retrieval_count) == ("unsupported", 0)
+def test_requests_that_cannot_run_are_errors(store):
     with pytest.raises(service.FilingNotFound):
-        answer(store, "Describe risks", "no-such-filing")
+        ask_all(store, {"x": ("Describe risks", "no-such-filing", None)})
     with pytest.raises(ValueError):
         service.question_table(store, "a", "b", 21)
-    only = answer(store, "Describe supply risk", section_type="risk_factors")
-    assert {c.section_type for c in only.citations} == {"risk_factors"}
 
 
 def test_generated_answers_are_guarded(store):
-    questions = service.question_table(store, "0000000077-24-000001", "How much revenue was reported in 2024?")
-    def judged(text):
-        candidates = store.spark.createDataFrame([("q", text)], "question_id string, candidate_answer string")
-        row = service.ask(store, questions, candidates, "m").first()
-        return row.answer_mode, row.synthesis_status, row.synthesis_reason
-
-    assert judged("Revenue was 391,035,000,000 USD in FY 2024.") == ("llm", "succeeded", None)
-    assert judged("Revenue was 391,035,000,001 USD in FY 2024.")[2] == "numeric_value_changed_or_omitted"
-    assert judged("Revenue was 391,035,000,000 in FY 2024.")[2] == "numeric_unit_changed_or_omitted"
-    assert judged("Revenue was $391,035,000,000 in FY 2023.")[2] == "numeric_period_changed_or_omitted"
-    assert judged("You should buy: $391,035,000,000 in FY 2024.")[2] == "investment_advice_language"
-    assert judged("$391,035,000,000 in FY 2024, https://evil.example/x.")[2] == "unknown_citation_reference"
-    assert judged("  ")[2] == "empty_llm_answer"
-    assert judged(None) == ("extractive", "unavailable", "missing_openai_api_key")
+    expected = {
+        "Revenue was 391,035,000,000 USD in FY 2024.": ("llm", "succeeded", None),
+        "Revenue was 391,035,000,001 USD in FY 2024.": ("extractive", "fallback", "numeric_value_changed_or_omitted"),
+        "Revenue was 391,035,000,000 in FY 2024.": ("extractive", "fallback", "numeric_unit_changed_or_omitted"),
+        "Revenue was $391,035,000,000 in FY 2023.": ("extractive", "fallback", "numeric_period_changed_or_omitted"),
+        "You should buy: $391,035,000,000 in FY 2024.": ("extractive", "fallback", "investment_advice_language"),
+        "$391,035,000,000 in FY 2024, https://evil.example/x.": ("extractive", "fallback", "unknown_citation_reference"),
+        "  ": ("extractive", "fallback", "empty_llm_answer"),
+        None: ("extractive", "unavailable", "missing_openai_api_key"),
+    }
+    texts = {f"q{i}": text for i, text in enumerate(expected)}
+    got = ask_all(store, {i: ("How much revenue was reported in 2024?", A24, None) for i in texts}, texts)
+    assert {texts[i]: (r.answer_mode, r.synthesis_status, r.synthesis_reason) for i, r in got.items()} == expected
 
 
 def test_comparison(store):
