@@ -159,12 +159,14 @@ def evaluate(store: TableStore, dataset: str, variants: Sequence[str] = K.DEFAUL
     Latency is the run's wall clock divided by its predictions: the engine answers a batch, so there is no
     per-question clock.
     """
+    external = [v for v in variants if v.startswith("openai")]
+    if external:
+        raise ValueError(f"{external} need stored answers: use evaluation.external_predictions and evaluation.score")
     questions = read_questions(store.spark, dataset)
     table = evaluation.variant_table(store.spark, variants)
     started = time.perf_counter()
-    local = table.where(~F.col("variant").startswith("openai"))
     predictions = durable(
-        evaluation.predict(questions, local, store.read("filings"), store.read("chunks"), store.read("facts")), "predictions"
+        evaluation.predict(questions, table, store.read("filings"), store.read("chunks"), store.read("facts")), "predictions"
     )
     per_row = (time.perf_counter() - started) * 1000.0 / max(predictions.count(), 1)
     scores = durable(evaluation.score(predictions.withColumn("latency_ms", F.lit(per_row))), "scores")
