@@ -40,8 +40,11 @@ def training_sample(
     rows = documents.where(named(lang).isNotNull() & (F.length(named(text)) > 0))
     rows = rows.select(named(lang).cast("string").alias("lang"), F.xxhash64(named(text)).alias("h"), named(text).alias("text"))
     listed = rows.select("lang", "h").distinct()
+    # First within fine parts, so that what meets in a task is bounded however many tasks there are.
+    part = listed.withColumn("part", F.pmod("h", F.lit(64)))
+    part = part.withColumn("r", F.expr("row_number() over (partition by lang, part order by h)")).where(F.col("r") <= texts)
     rank = F.expr("row_number() over (partition by lang order by h)")
-    chosen = materialise(listed.withColumn("r", rank).where(F.col("r") <= texts).drop("r"))
+    chosen = materialise(part.withColumn("r", rank).where(F.col("r") <= texts).select("lang", "h"))
     # At most ``texts`` rows per language.
     found = rows.join(F.broadcast(chosen), ["lang", "h"]).dropDuplicates(["lang", "h"])
     pieces = F.expr(f"transform(sequence(0, (length(text) - 1) div {excerpt}), i -> substring(text, i * {excerpt} + 1, {excerpt}))")

@@ -7,7 +7,31 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dossier.llm import common, decontam, langid, linededup, packing, simhash
+from dossier.llm import common, decontam, langid, linededup, packing, pii, sharding, simhash, vectors
+
+
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document: what stands open, and what is disguised."""
+    found = pii.detect(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base, every = F.col("pii.base"), F.concat("pii.base", "pii.added")
+    counts = [pii.count(base, kind).alias(f"n_{kind}") for kind in pii.KINDS]
+    return found.select(
+        "doc_id", *counts, F.sha2(pii.digest(base), 256).alias("base_sha256"), pii.digest(every).alias("spans"),
+        F.size("pii.added").cast("long").alias("n_added"),
+    )
+
+
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and place of every document after the two passes; the digest is taken from the written records."""
+    docs = common.table(spark, sf_dir, "documents")
+    folder = sharding.scratch(spark, "shards")
+    found = sharding.shard(docs, folder)
+    digest = common.materialise(found.select(
+        "doc_id", sharding.record_size(F.col("text")).alias("size"), F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"),
+        F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"),
+    ))
+    sharding.discard(spark, folder)
+    return digest
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +51,11 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all vectors at a cosine of 0.9 or more."""
+    return vectors.near_duplicates(common.table(spark, sf_dir, "embeddings"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Test windows found in every document."""
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -53,8 +82,11 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii": op1_pii,
+    "op2_sharding": op2_sharding,
     "op3_language_id": op3_language_id,
     "op4_simhash": op4_simhash,
+    "op6_embedding_dedup": op6_embedding_dedup,
     "op8_decontamination": op8_decontamination,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_line_dedup": op10_line_dedup,
