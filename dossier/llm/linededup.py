@@ -19,17 +19,27 @@ def line_key(line: Column) -> Column:
     return F.trim(F.regexp_replace(folded, r"[ \t\x0B\f\r]+", " "))
 
 
+# Steps from the markup of a page to its visible lines: pattern and what replaces it.
+HIDDEN = r"(?is)<(?:script|style)\b[^>]*>.*?</(?:script|style)[^>]*>|<!--.*?-->"
+BLOCKS = (
+    r"(?i)</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|footer|form|h[1-6]|head|header|hr|li|main|nav|ol|p|pre|section|"
+    r"table|td|th|title|tr|ul)\b[^>]*>"
+)
+MARKUP = [(HIDDEN, " "), (r"[\r\n]+", " "), (BLOCKS, "\n"), (r"<[^>]*>", "")]
+ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")]
+LAYOUT = [(r"[ \t]*\n[ \t]*", "\n"), (r"\n{2,}", "\n"), (r"^[ \t\n]+|[ \t\n]+$", "")]
+
+
 def html_lines(html: Column) -> Column:
     """The visible lines of a page as a text: scripts, styles and comments out, a line break at block tags."""
-    text = F.regexp_replace(html, r"(?is)<(?:script|style)\b[^>]*>.*?</(?:script|style)[^>]*>|<!--.*?-->", " ")
-    text = F.regexp_replace(text, r"[\r\n]+", " ")
-    text = F.regexp_replace(
-        text, r"(?i)</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|footer|form|h[1-6]|head|header|hr|li|main|nav|ol|p|pre|section|table|td|th|title|tr|ul)\b[^>]*>", "\n"
-    )
-    text = F.regexp_replace(text, r"<[^>]*>", "")
-    for name, sign in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
+    text = html
+    for pattern, put in MARKUP:
+        text = F.regexp_replace(text, pattern, put)
+    for name, sign in ENTITIES:
         text = F.replace(text, F.lit(name), F.lit(sign))
-    return F.regexp_replace(F.regexp_replace(text, r"(?m)^[ \t]+|[ \t]+$", ""), r"\n{2,}", "\n")
+    for pattern, put in LAYOUT:
+        text = F.regexp_replace(text, pattern, put)
+    return text
 
 
 def boilerplate(pages: DataFrame, host: str, text: str, ratio: float, min_pages: int) -> DataFrame:
@@ -90,3 +100,37 @@ def recount(documents: DataFrame, text: str, count: str) -> DataFrame:
     kind = documents.schema[count].dataType
     counted = F.when(named(text).isNull(), named(count)).otherwise(F.length(named(text))).cast(kind)
     return documents.select(*[counted.alias(c) if c == count else named(c) for c in documents.columns])
+
+
+def pages_sql(ratio: float = RATIO, min_pages: int = MIN_PAGES) -> str:
+    """The same result over ``pages`` in SQL."""
+
+    def text(value: str) -> str:
+        return "'" + value.replace("'", "''") + "'" if "\n" not in value else "chr(10)"
+
+    page = "html"
+    for pattern, put in MARKUP:
+        page = f"regexp_replace({page}, {text(pattern)}, {text(put)}, 'g')"
+    for name, sign in ENTITIES:
+        page = f"replace({page}, {text(name)}, {text(sign)})"
+    for pattern, put in LAYOUT:
+        page = f"regexp_replace({page}, {text(pattern)}, {text(put)}, 'g')"
+    low = "translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    key = f"trim(regexp_replace({low}, '[ \\t\\x0B\\f\\r]+', ' ', 'g'))"
+    return f"""
+with read as (
+  select page_id, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)) as host, {page} as text, row_number() over () as r
+  from pages
+),
+lines as (
+  select r, host, unnest(string_split(text, chr(10))) as line, unnest(range(len(string_split(text, chr(10))))) as pos from read where text is not null
+),
+keyed as (select *, {key} as k from lines),
+counts as (select host, k, count(*) as n from (select distinct r, host, k from keyed where k <> '' and host is not null) group by host, k),
+totals as (select host, count(*) as total from read group by host),
+rules as (select host, k from counts join totals using (host) where n >= {min_pages} and n > {ratio} :: double * total),
+kept as (select r, string_agg(line, chr(10) order by pos) as clean, count(*) as n from keyed anti join rules using (host, k) group by r)
+select page_id, host, case when text is null then null else coalesce(clean, '') end as text,
+  case when text is null then 0 else len(string_split(text, chr(10))) end :: bigint as n_lines,
+  case when text is null then 0 else len(string_split(text, chr(10))) - coalesce(n, 0) end :: bigint as n_dropped
+from read left join kept using (r)"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dossier.llm import common, decontam, langid, linededup, packing, pii, sharding, simhash, vectors
+from dossier.llm import common, decontam, langid, licences, linededup, packing, pii, quotes, sharding, simhash, vectors
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,11 +51,21 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op5_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence notices and texts among all lines and documents."""
+    return licences.scan(common.table(spark, sf_dir, "documents"))
+
+
 def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and components of all vectors at a cosine of 0.9 or more."""
     return vectors.near_duplicates(common.table(spark, sf_dir, "embeddings"))
 
 
+def op7_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All messages without quotations, linked to the messages they quote."""
+    return quotes.link(common.table(spark, sf_dir, "conversations"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Test windows found in every document."""
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -86,10 +96,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sharding": op2_sharding,
     "op3_language_id": op3_language_id,
     "op4_simhash": op4_simhash,
+    "op5_licence_scan": op5_licence_scan,
     "op6_embedding_dedup": op6_embedding_dedup,
+    "op7_quotation_linking": op7_quotation_linking,
     "op8_decontamination": op8_decontamination,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_line_dedup": op10_line_dedup,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op5_licence_scan": licences.sql(), "op10_line_dedup": linededup.pages_sql()}
