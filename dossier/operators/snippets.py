@@ -16,27 +16,33 @@ from dossier.operators.questions import is_numeric_query, query_terms, target_nu
 
 
 def candidates(text: Column, names: Sequence[str] = K.PAGE_MARKER_NAMES) -> Column:
-    """Fragments, then forward line windows, then centred line windows, in collapsed form.
-
-    Repeats are dropped only where they could matter: equal lower-case text scores equally and the
-    first of equals wins anyway, so only texts with a letter whose case folding changes its spelling
-    need the explicit first-wins pass.
-    """
+    """Fragments, then forward line windows, then centred line windows, in collapsed form."""
     windows = let(
         content_lines(text, names),
         lambda ls: F.concat(
             line_windows(ls, 0, K.LINES_AHEAD), line_windows(ls, K.LINES_BEFORE_CENTRE, K.LINES_AFTER_CENTRE)
         ),
     )
-    every = F.filter(F.concat(F.transform(fragments(text), squash), windows), lambda c: c != "")
+    return F.filter(F.concat(F.transform(fragments(text), squash), windows), lambda c: c != "")
 
-    def first_of_equals(found: Column) -> Column:
-        return let(
-            F.transform(found, casefold),
-            lambda keys: F.filter(found, lambda _, i: F.array_position(keys, keys[i]) == i + 1),
-        )
 
-    return let(every, lambda found: F.when(F.contains(text, F.lit("ß")), first_of_equals(found)).otherwise(found))
+def distinct_candidates(text: Column, names: Sequence[str] = K.PAGE_MARKER_NAMES) -> Column:
+    """``(pos, fragment)`` of the candidates in order: of those equal without regard to case only the first.
+
+    Sorting by key puts equals side by side, so the work does not grow with the square of their number.
+    """
+    keyed = let(
+        candidates(text, names),
+        lambda found: F.array_sort(F.transform(
+            found, lambda c, i: F.struct(casefold(c).alias("key"), i.cast("int").alias("pos"), c.alias("fragment"))
+        )),
+    )
+
+    def first_of_equals(rows: Column) -> Column:
+        return F.filter(rows, lambda row, i: (i == 0) | (rows[F.greatest(i - 1, F.lit(0))]["key"] != row["key"]))
+
+    kept = F.array_sort(F.transform(let(keyed, first_of_equals), lambda row: F.struct(row["pos"], row["fragment"].alias("fragment"))))
+    return F.transform(kept, lambda row, i: F.struct(i.cast("int").alias("pos"), row["fragment"].alias("fragment")))
 
 
 def _first_words(fragment: Column, count: int) -> Column:
@@ -70,31 +76,43 @@ def fragment_score(
     return let(F.array_distinct(words(fragment)), score)
 
 
+def _prepared(hits: DataFrame, query: str) -> DataFrame:
+    """``hits`` with the terms of the question; the names are ours alone."""
+    return hits.withColumns({"_terms": query_terms(F.col(query)), "_numeric": is_numeric_query(F.col(query))}).withColumn(
+        "_targets", target_numbers(F.col("_terms"))
+    )
+
+
+def scored(text: Column, terms: Column, numeric: Column, targets: Column, names: Sequence[str] = K.PAGE_MARKER_NAMES) -> Column:
+    """``(pos, fragment, score)`` of every candidate of a text, as an array."""
+    def rows(t: Column, n: Column, g: Column) -> Column:
+        return F.transform(
+            distinct_candidates(text, names),
+            lambda c: F.struct(c["pos"].alias("pos"), c["fragment"].alias("fragment"), fragment_score(c["fragment"], t, n, g, names).alias("score")),
+        )
+
+    bound = F.struct(terms.alias("terms"), numeric.alias("numeric"), targets.alias("targets"))
+    return let(bound, lambda q: rows(q["terms"], q["numeric"], q["targets"]))
+
+
 def scored_candidates(hits: DataFrame, query: str = "query", names: Sequence[str] = K.PAGE_MARKER_NAMES) -> DataFrame:
     """Every candidate of every hit with its score; ``hits`` has ``question_id, chunk_id, text``."""
-    prepared = hits.select(
-        "question_id", "chunk_id", "text",
-        query_terms(F.col(query)).alias("terms"),
-        is_numeric_query(F.col(query)).alias("numeric"),
-    ).withColumn("targets", target_numbers(F.col("terms")))
-    exploded = prepared.select(
-        "question_id", "chunk_id", "terms", "numeric", "targets",
-        F.posexplode(candidates(F.col("text"), names)).alias("pos", "fragment"),
-    )
-    return exploded.select(
-        "question_id", "chunk_id", "pos", "fragment",
-        fragment_score(F.col("fragment"), F.col("terms"), F.col("numeric"), F.col("targets"), names).alias("score"),
+    found = scored(F.col("text"), F.col("_terms"), F.col("_numeric"), F.col("_targets"), names)
+    return _prepared(hits, query).select("question_id", "chunk_id", F.explode(found).alias("c")).select(
+        "question_id", "chunk_id", "c.pos", "c.fragment", "c.score"
     )
 
 
 def best_snippets(hits: DataFrame, query: str = "query", names: Sequence[str] = K.PAGE_MARKER_NAMES) -> DataFrame:
-    """Highest-scoring candidate per hit, earliest on ties, ellipsised; the whole text if there is none."""
-    best = scored_candidates(hits, query, names).groupBy("question_id", "chunk_id").agg(
-        F.max_by("fragment", F.struct(F.col("score"), -F.col("pos"))).alias("fragment")
+    """Highest-scoring candidate per hit, earliest on ties, ellipsised; the whole text if there is none.
+
+    The choice is made within the row: nothing is exploded, shuffled or joined.
+    """
+    found = scored(F.col("text"), F.col("_terms"), F.col("_numeric"), F.col("_targets"), names)
+    best = F.array_max(F.transform(found, lambda c: F.struct(c["score"], -c["pos"], c["fragment"].alias("fragment"))))
+    return _prepared(hits, query).withColumn("snippet", clip(F.coalesce(best["fragment"], F.col("text")), K.SNIPPET_CHARS)).drop(
+        "_terms", "_numeric", "_targets"
     )
-    return hits.join(best, ["question_id", "chunk_id"], "left").withColumn(
-        "snippet", clip(F.coalesce("fragment", "text"), K.SNIPPET_CHARS)
-    ).drop("fragment")
 
 
 def has_numeric_evidence(snippets: Column) -> Column:

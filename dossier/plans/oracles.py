@@ -423,7 +423,7 @@ def snippet_views(name: str, hits: str) -> None:
 select question_id, chunk_id, terms, numeric_q, targets, text, unnest(found) as fragment, generate_subscripts(found, 1) - 1 as rawpos from {name}_lists"""
     VIEWS[f"{name}_first"] = f"""
 select * exclude (n, text), row_number() over (partition by question_id, chunk_id order by rawpos) - 1 as pos from (
-  select *, case when contains(text, 'ß') then row_number() over (partition by question_id, chunk_id, {fold('fragment')} order by rawpos) else 1 end as n from {name}_all) where n = 1"""
+  select *, row_number() over (partition by question_id, chunk_id, {fold('fragment')} order by rawpos) as n from {name}_all) where n = 1"""
     toks = words("fragment")
     first5, first12 = (words(f"array_to_string(string_split(fragment, ' ')[1:{n}], ' ')") for n in (5, 12))
     VIEWS[f"{name}_scored"] = rf"""
