@@ -84,9 +84,14 @@ class Detector:
         host = rf"[a-z0-9-]+(?:\.[a-z0-9-]+)*{dot}[a-z0-9-]+"
         self.bare_at = re.compile(rf"(?<=[a-z0-9._%+-])(?:[ \t]{{1,3}}at[ \t]{{1,3}}|[ \t]{{1,3}}@[ \t]{{0,3}}|@[ \t]{{1,3}})(?={host})", re.I)
         self.spaced_at = re.compile(r"(?<=[a-z0-9])(?:[ \t]{1,3}@[ \t]{0,3}|@[ \t]{1,3})(?=[a-z0-9-]+(?:\.[a-z0-9-]+)*\.[a-z]{2,})", re.I)
+        # "at" before an open domain only after something that looks like an account.
+        self.open_at = re.compile(r"[ \t]{1,3}at[ \t]{1,3}(?=(?:[a-z0-9-]+\.)+[a-z]{2,}(?![a-z0-9]))", re.I)
+        self.account = re.compile(r"(?:[0-9_]|[._-][a-z0-9]{1,4})$", re.I)
+        self.entity = re.compile(r"&(?:#0*64|#x0*40|commat|(?P<dot>#0*46|#x0*2e|period));", re.I)
+        self.letter = re.compile(r"(?<=[0-9])(?:(?P<zero>[Oo])|[Il])(?=[0-9])")
         self.bare_dot = re.compile(r"(?<=[a-z0-9-])[ \t]{1,3}dot[ \t]{1,3}(?=[a-z0-9])", re.I)
         self.opened = re.compile(r"[\[({<][ \t]{0,3}(?:at|@|[.])", re.I)
-        self.hints = frozenset(w.encode() for w in [*DIGIT_WORDS, "plus", "dot", "punkt", "punto", "point"])
+        self.hints = frozenset(w.encode() for w in [*DIGIT_WORDS, "at", "plus", "dot", "punkt", "punto", "point"])
         letters = bytes(range(0x61, 0x7B))
         self.words = bytes(b + 32 if 0x41 <= b <= 0x5A else b if b in letters else 0x20 for b in range(256))
 
@@ -127,20 +132,24 @@ class Detector:
         hints = self.hints.intersection(plain.encode("utf-8", "surrogatepass").translate(self.words).split())
         opened = bool(self.opened.search(plain))
         dotted = opened or bool(hints & {b"dot", b"punkt", b"punto", b"point"})
-        worded = len(hints - {b"dot", b"plus", b"punkt", b"punto", b"point"}) > 0
+        worded = len(hints - {b"at", b"dot", b"plus", b"punkt", b"punto", b"point"}) > 0
         apart = "@" in plain
         for pattern, wanted, write in (
+            (self.entity, "&" in plain, lambda m: "." if m["dot"] else "@"),
+            (self.letter, True, lambda m: "0" if m["zero"] else "1"),
             (self.address, dotted, self.digits),
             (self.spelled, worded, self.digits),
             (self.plus, b"plus" in hints, lambda m: "+"),
             (self.after_plus, worded, self.digits),
             (self.bracket_at, opened, lambda m: "@"),
             (self.bare_at, dotted, lambda m: "@"),
+            (self.open_at, b"at" in hints, lambda m: "@" if self.account.search(m.string, max(0, m.start() - 6), m.start()) else None),
             (self.spaced_at, apart, lambda m: "@"),
             (self.bracket_dot, dotted, lambda m: "."),
             (self.bare_dot, dotted, lambda m: "."),
         ):
-            edits = [(m.start(), m.end(), write(m)) for m in pattern.finditer(plain)] if wanted else []
+            found = ((m.start(), m.end(), write(m)) for m in pattern.finditer(plain)) if wanted else ()
+            edits = [e for e in found if e[2] is not None]
             if edits:
                 plain, starts, ends = apply(plain, starts, ends, edits)
                 rewritten = True

@@ -72,6 +72,10 @@ def test_base_spans_of_random_texts():
     ("no. ４１１１ 1111 1111 1111", "card", "４１１１ 1111 1111 1111"),
     ("411​1 1111 1111 1111", "card", "411​1 1111 1111 1111"),
     ("+٤٤ 20 7946 0958 is", "phone", "+٤٤ 20 7946 0958"),
+    ("ann.46 at mail8.example.com is", "email", "ann.46 at mail8.example.com"),
+    ("ann&#64;mail&period;com", "email", "ann&#64;mail&period;com"),
+    ("from 1O1.2.3.4", "ip", "1O1.2.3.4"),
+    ("no. four one one one one one one one one one one one one one one one", "card", "four one one one one one one one one one one one one one one one"),
     ("x @ example.com", "email", "x @ example.com"),
 ])
 def test_disguises_map_back_to_the_source(text, kind, found):
