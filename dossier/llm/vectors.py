@@ -91,13 +91,17 @@ def tiles(classes: DataFrame, axes: np.ndarray, tile: int) -> DataFrame:
     Cut points come from a quantile sketch; a tile that ends up larger (many equal places on the axis) is split by
     hash.
     """
-    first = [float(x) for x in axes[:, 0]] if axes.size else []
-    v = F.col("v").cast("array<double>")
-    v = F.transform(v, lambda x: x / F.array_max(F.transform(v, F.abs)))
-    length = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
-    along = F.zip_with(v, F.array(*map(F.lit, first)).cast("array<double>"), lambda x, y: F.coalesce(x * y, F.lit(0.0)))
-    place = F.aggregate(along, F.lit(0.0), lambda s, x: s + x)
-    rows = classes.withColumn("dim", F.size("v")).withColumn("place", F.coalesce(F.try_divide(place, length), F.lit(0.0)))
+
+    @F.pandas_udf("double")
+    def along(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            place = np.zeros(len(batch))
+            fit = np.flatnonzero(batch.map(len).to_numpy() == len(axes))
+            if len(fit):
+                place[fit] = normalised(np.vstack(batch.iloc[fit].to_numpy()).astype(np.float64)) @ axes[:, 0]
+            yield pd.Series(place)
+
+    rows = materialise(classes.select("*", F.size("v").alias("dim"), along("v").alias("place")))
     total = rows.count()
     parts = max(1, -(-total // tile))
     cuts = sorted(set(rows.approxQuantile("place", [i / parts for i in range(1, parts)], min(0.01, 0.25 / parts)))) if parts > 1 else []
