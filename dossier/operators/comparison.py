@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from dossier import constants as K
 from dossier.functions.text import claim_key, claims
+from dossier.session import durable
 
 
 def previous_filing(filings: DataFrame) -> DataFrame:
@@ -54,21 +55,31 @@ def section_claims(chunks: DataFrame) -> DataFrame:
     )
 
 
-def diff_claims(pairs: DataFrame, current: DataFrame, prior: DataFrame) -> DataFrame:
+def sections_compared(pairs: DataFrame) -> DataFrame:
+    """``pair_id, side, accession_number, section_sequence``: both sides of every pair."""
+    sides = [
+        F.struct(F.lit(name).alias("side"), F.col(f"{name}_accession").alias("accession_number"), F.col(f"{name}_sequence").alias("section_sequence"))
+        for name in ("current", "prior")
+    ]
+    return pairs.select("pair_id", F.explode(F.array(*sides)).alias("s")).select("pair_id", "s.*")
+
+
+def pair_claims(pairs: DataFrame, chunks: DataFrame) -> DataFrame:
+    """``section_claims`` of the sections that the pairs compare; no other chunk is split."""
+    wanted = sections_compared(pairs).select("accession_number", "section_sequence").distinct()
+    return section_claims(chunks.join(wanted, ["accession_number", "section_sequence"], "left_semi"))
+
+
+def diff_claims(pairs: DataFrame, found: DataFrame) -> DataFrame:
     """Claims of each comparison pair labelled ``added``, ``removed`` or ``unchanged``.
 
-    ``pairs``: ``pair_id, current_accession, prior_accession`` plus the section sequence of each side.
-    Both sides are keyed by (pair, claim) and matched in one full outer join.
+    ``pairs``: ``pair_id, current_accession, prior_accession`` plus the section sequence of each side;
+    ``found``: their distinct claims. Both sides are keyed by (pair, claim) in one join and meet in one aggregate.
     """
-    def side(claims_: DataFrame, accession: str, sequence: str, name: str) -> DataFrame:
-        keyed = pairs.select("pair_id", F.col(accession).alias("accession_number"), F.col(sequence).alias("section_sequence"))
-        rows = keyed.join(claims_, ["accession_number", "section_sequence"])
-        kept = [c for c in claims_.columns if c not in ("claim_key", "section_sequence")]
-        return rows.select("pair_id", "claim_key", F.struct(*kept).alias(name))
-
-    now = side(current, "current_accession", "current_sequence", "current")
-    before = side(prior, "prior_accession", "prior_sequence", "prior")
-    return now.join(before, ["pair_id", "claim_key"], "full_outer").withColumn(
+    rows = sections_compared(pairs).join(found, ["accession_number", "section_sequence"])
+    kept = F.struct(*[c for c in found.columns if c not in ("claim_key", "section_sequence")])
+    sides = [F.any_value(F.when(F.col("side") == name, kept), F.lit(True)).alias(name) for name in ("current", "prior")]
+    return rows.groupBy("pair_id", "claim_key").agg(*sides).withColumn(
         "change",
         F.when(F.col("prior").isNull(), F.lit("added")).when(F.col("current").isNull(), F.lit("removed")).otherwise(F.lit("unchanged")),
     )
@@ -89,10 +100,35 @@ def _citation(role: str, side: Column, section: Column, section_type: Column, ur
 
 
 def resolve_pairs(requests: DataFrame, filings: DataFrame, sections: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Both filings and sections of every comparison request, with the first failing condition as reason."""
+    """Both filings and sections of every comparison request, with the first failing condition as reason.
+
+    Only filings of the requested companies and forms, and sections of the filings in the pairs, are looked at. The result
+    is a written table, small next to the others and read by several steps.
+    """
     filed = filings.select("accession_number", "source_url")
-    chunked = chunks.select("accession_number", "section_sequence").distinct().withColumn("has_chunks", F.lit(True))
-    heads = first_section(sections).join(chunked, ["accession_number", "section_sequence"], "left")
+    group = ["cik", "form_type"]
+    asked = filings.join(requests.select("accession_number").distinct(), "accession_number", "left_semi").select(*group).distinct()
+    earlier = previous_filing(filings.join(asked, group, "left_semi"))
+    resolved = (
+        requests.join(filed.select("accession_number", F.col("source_url").alias("current_url")), "accession_number")
+        .join(earlier, "accession_number", "left")
+        .withColumnRenamed("accession_number", "current_accession")
+        .withColumn("prior_accession", F.coalesce(F.nullif(F.col("prior_accession_number"), F.lit("")), F.col("previous_accession_number")))
+        .drop("previous_accession_number", "prior_accession_number")
+    )
+    # A prior accession that is asked for explicitly still has to exist.
+    known = filed.select(F.col("accession_number").alias("prior_accession"), F.col("source_url").alias("prior_url"))
+    resolved = durable(resolved.join(known, "prior_accession", "left").withColumn(
+        "prior_accession", F.when(F.col("prior_url").isNotNull(), F.col("prior_accession"))
+    ), "compared-filings")
+
+    wanted = resolved.select(F.explode(F.array("current_accession", "prior_accession")).alias("accession_number"), "section_type")
+    wanted = wanted.where("accession_number is not null").distinct()
+    heads = first_section(sections.join(wanted, ["accession_number", "section_type"], "left_semi"))
+    chunked = chunks.select("accession_number", "section_sequence").join(
+        wanted.select("accession_number").distinct(), "accession_number", "left_semi"
+    ).distinct().withColumn("has_chunks", F.lit(True))
+    heads = heads.join(chunked, ["accession_number", "section_sequence"], "left")
 
     def side(name: str) -> tuple[DataFrame, list[str]]:
         key = f"{name}_accession"
@@ -105,18 +141,6 @@ def resolve_pairs(requests: DataFrame, filings: DataFrame, sections: DataFrame,
         )
         return renamed, [key, "section_type"]
 
-    resolved = (
-        requests.join(filed.select("accession_number", F.col("source_url").alias("current_url")), "accession_number")
-        .join(previous_filing(filings), "accession_number", "left")
-        .withColumnRenamed("accession_number", "current_accession")
-        .withColumn("prior_accession", F.coalesce(F.nullif(F.col("prior_accession_number"), F.lit("")), F.col("previous_accession_number")))
-        .drop("previous_accession_number", "prior_accession_number")
-    )
-    # A prior accession that is asked for explicitly still has to exist.
-    known = filed.select(F.col("accession_number").alias("prior_accession"), F.col("source_url").alias("prior_url"))
-    resolved = resolved.join(known, "prior_accession", "left").withColumn(
-        "prior_accession", F.when(F.col("prior_url").isNotNull(), F.col("prior_accession"))
-    )
     for name in ("current", "prior"):
         table, keys = side(name)
         resolved = resolved.join(table, keys, "left")
@@ -126,7 +150,7 @@ def resolve_pairs(requests: DataFrame, filings: DataFrame, sections: DataFrame,
         .when(F.col("prior_sequence").isNull(), F.lit("prior_section_missing"))
         .when(~(F.col("current_chunked") & F.col("prior_chunked")), F.lit("section_chunks_missing"))
     )
-    return resolved.withColumn("reason", reason)
+    return durable(resolved.withColumn("reason", reason), "compared-pairs")
 
 
 def compare(requests: DataFrame, filings: DataFrame, sections: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -137,11 +161,11 @@ def compare(requests: DataFrame, filings: DataFrame, sections: DataFrame, chunks
     """
     pairs = resolve_pairs(requests, filings, sections, chunks)
     usable = pairs.where(F.col("reason").isNull())
-    found = section_claims(chunks)
-    claim_rows = diff_claims(usable, found, found).join(
+    listed_at_most = pairs.agg(F.max("max_claims")).first()[0] or 0
+    claim_rows = durable(diff_claims(usable, pair_claims(usable, chunks)).join(
         usable.select("pair_id", "section_type", "max_claims", "current_section", "prior_section", "current_url", "prior_url"),
         "pair_id",
-    )
+    ), "compared-claims")
     now = _citation("current", F.col("current"), F.col("current_section"), F.col("section_type"), F.col("current_url"))
     before = _citation("prior", F.col("prior"), F.col("prior_section"), F.col("section_type"), F.col("prior_url"))
 
@@ -156,7 +180,7 @@ def compare(requests: DataFrame, filings: DataFrame, sections: DataFrame, chunks
     w = Window.partitionBy("pair_id", "change").orderBy("chunk_id", "claim_pos")
     listed = (
         changed.withColumn("position", F.row_number().over(w))
-        .where(F.col("position") <= K.MAX_TOP_K)
+        .where(F.col("position") <= listed_at_most)
         .where(F.col("position") <= F.col("max_claims"))
         .groupBy("pair_id")
         .agg(*[

@@ -79,8 +79,13 @@ def score_pairs(
     ).where(F.col(score).isNotNull())
 
 
-def keep_top(scored: DataFrame, order: Column, limit: int = K.MAX_TOP_K) -> DataFrame:
-    """First ``top_k`` rows per question.
+def largest_top_k(questions: DataFrame) -> int:
+    """The greatest ``top_k`` that any of the (written) questions asks for."""
+    return questions.agg(F.max("top_k")).first()[0] or 0
+
+
+def keep_top(scored: DataFrame, order: Column, limit: int) -> DataFrame:
+    """First ``top_k`` rows per question; ``limit`` is the greatest of them.
 
     The literal bound lets Spark keep at most ``limit`` rows per question in every task before the
     shuffle, so a question with very many candidates never reaches one task whole.
@@ -108,7 +113,7 @@ def retrieve(
     """
     keyed = embed_questions(questions, "vector", K.DENSE_DIMENSIONS, filters)
     slim = index.select("accession_number", "chunk_id", "vector", *[f for f in filters if f != "accession_number"])
-    return keep_top(score_pairs(keyed, slim, filters), F.desc("score"))
+    return keep_top(score_pairs(keyed, slim, filters), F.desc("score"), largest_top_k(keyed))
 
 
 def fetch_hits(hits: DataFrame, index: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -130,7 +135,7 @@ def _relative(score: str) -> Column:
     return F.coalesce(F.try_divide(F.col(score) - low, high - low), F.col(score))
 
 
-def retrieve_hybrid(questions: DataFrame, index: DataFrame, alpha: float = 0.5) -> DataFrame:
+def retrieve_hybrid(questions: DataFrame, index: DataFrame, alpha: float = 0.5, filters: Sequence[str] = ()) -> DataFrame:
     """Dense and sparse top-k lists fused by relative score: ``alpha * dense + (1 - alpha) * sparse``.
 
     Each list is cut to the question's ``top_k`` and min-max scaled; a chunk missing from a list
@@ -138,9 +143,10 @@ def retrieve_hybrid(questions: DataFrame, index: DataFrame, alpha: float = 0.5)
     """
     lists = []
     for vector, dimensions, name in (("vector", K.DENSE_DIMENSIONS, "dense"), ("sparse_vector", K.SPARSE_DIMENSIONS, "sparse")):
-        keyed = embed_questions(questions, vector, dimensions)
-        slim = index.select("accession_number", "chunk_id", vector)
-        top = keep_top(score_pairs(keyed, slim, vector=vector), F.desc("score"))
+        keyed = embed_questions(questions, vector, dimensions, filters)
+        slim = index.select("accession_number", "chunk_id", vector, *[f for f in filters if f != "accession_number"])
+        limit = largest_top_k(keyed)
+        top = keep_top(score_pairs(keyed, slim, filters, vector=vector), F.desc("score"), limit)
         lists.append(
             top.withColumn("part", _relative("score") * (alpha if name == "dense" else 1 - alpha)).select(
                 "question_id", "top_k", "accession_number", "chunk_id", "part"
@@ -151,4 +157,4 @@ def retrieve_hybrid(questions: DataFrame, index: DataFrame, alpha: float = 0.5)
         .groupBy("question_id", "top_k", "accession_number", "chunk_id")
         .agg(F.sum("part").alias("score"))
     )
-    return keep_top(fused, F.desc(F.round("score", 9)))
+    return keep_top(fused, F.desc(F.round("score", 9)), limit)

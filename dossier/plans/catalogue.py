@@ -303,7 +303,7 @@ def vector_topk(spark, sf):
         F.col("label").alias("question_id"), F.lit(K.DEFAULT_TOP_K).alias("top_k"), F.col("vec_id").alias("chunk_id"),
         F.round(V.array_cosine(F.col("query"), F.col("embedding")), 9).alias("score"),
     )
-    return R.keep_top(scored, F.desc("score")).select(
+    return R.keep_top(scored, F.desc("score"), K.DEFAULT_TOP_K).select(
         F.col("question_id").alias("label"), long("rank").alias("rank"), F.col("chunk_id").alias("vec_id"), "score"
     )
 
@@ -480,7 +480,7 @@ def facts_linked(spark, sf):
 def split_events(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     events = X.table(spark, sf, "events").select("user_id", "event_type", "event_id", "value", "props")
     stored = U.latest_per_key(events.where("event_id % 10 < 6 and user_id % 5 <> 0"), ["user_id", "event_type"], ["event_id"])
-    return stored, events.where("event_id % 10 >= 6")
+    return stored, events.where("event_id % 10 >= 6 or user_id % 5 = 0")
 
 
 @query
@@ -570,7 +570,8 @@ def previous_filing(spark, sf):
 
 def usable_pairs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     requests, filings, sections, chunks = comparison_inputs(spark, sf)
-    return CMP.resolve_pairs(requests, filings, sections, chunks), CMP.section_claims(chunks)
+    pairs = CMP.resolve_pairs(requests, filings, sections, chunks)
+    return pairs, CMP.pair_claims(pairs.where("reason is null"), chunks)
 
 
 @query
@@ -583,7 +584,7 @@ def comparison_support(spark, sf):
 def claims_changed(spark, sf):
     """Claims present on one side only, with the side's citation."""
     pairs, claims = usable_pairs(spark, sf)
-    rows = CMP.diff_claims(pairs.where("reason is null"), claims, claims).where("change <> 'unchanged'")
+    rows = CMP.diff_claims(pairs.where("reason is null"), claims).where("change <> 'unchanged'")
     side = F.when(F.col("change") == "added", F.col("current")).otherwise(F.col("prior"))
     return rows.select("pair_id", "change", "claim_key", side["chunk_id"].alias("chunk_id"), side["claim"].alias("claim"))
 
@@ -591,7 +592,7 @@ def claims_changed(spark, sf):
 @query
 def claims_unchanged(spark, sf):
     pairs, claims = usable_pairs(spark, sf)
-    rows = CMP.diff_claims(pairs.where("reason is null"), claims, claims)
+    rows = CMP.diff_claims(pairs.where("reason is null"), claims)
     return rows.groupBy("pair_id").agg(F.count(F.when(F.col("change") == "unchanged", 1)).alias("unchanged"))
 
 
@@ -771,7 +772,7 @@ def variant_metrics(spark, sf):
 
 @query
 def issuer_headline(spark, sf):
-    by_issuer = E.aggregate(scores_of(spark, sf).withColumn("issuer", F.substring("accession_number", 10, 1)), "issuer", "variant")
+    by_issuer = E.aggregate(scores_of(spark, sf).withColumn("issuer", F.substring("accession_number", 1, 10)), "issuer", "variant")
     return E.headline(by_issuer, METRICS).select("variant", *[F.round(m, 9).alias(m) for m in METRICS])
 
 
@@ -828,10 +829,10 @@ def external_refusals(spark, sf):
 
 @query
 def web_citations(spark, sf):
-    """Cited pages per site language, first mention of each URL wins."""
+    """Cited pages, first mention of each URL wins."""
     pages = X.table(spark, sf, "pages")
     sources = pages.select(
-        F.lit("q1").alias("question_id"), F.col("page_id").alias("position"), F.regexp_extract("url", r"^(https?://[^/]+)", 1).alias("url"),
+        F.lit("q1").alias("question_id"), F.col("page_id").alias("position"), F.col("url"),
         F.when(F.col("page_id") % 3 == 0, F.lit("")).otherwise(F.regexp_extract("url", r"//([^/]+)", 1)).alias("title"),
         F.when(F.col("page_id") % 2 == 0, F.lit("site")).alias("source"),
     ).withColumn("question_id", F.concat(F.lit("q"), (F.length("url") % 5).cast("string")))

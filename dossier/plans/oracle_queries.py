@@ -177,7 +177,7 @@ FINAL["facts_linked"] = """
 select concept, g.filing_key is null as unlinked, count(*) as n, coalesce(sum(g.filing_key), -1)::bigint as key_sum
 from x_facts f left join (select * from x_filings where form_type <> '8-K') g using (accession_number) group by all"""
 _stored = "(select user_id, event_type, max(event_id) as event_id from events where event_id % 10 < 6 and user_id % 5 <> 0 group by all)"
-_incoming = "(select user_id, event_type, max(event_id) as event_id, count(*) as n from events where event_id % 10 >= 6 group by all)"
+_incoming = "(select user_id, event_type, max(event_id) as event_id, count(*) as n from events where event_id % 10 >= 6 or user_id % 5 = 0 group by all)"
 FINAL["upsert_latest"] = f"""
 select e.user_id, e.event_type, e.event_id, e.value, e.props from {_stored} s full outer join {_incoming} i using (user_id, event_type) join events e on e.event_id = coalesce(i.event_id, s.event_id)"""
 FINAL["upsert_counts"] = f"""
@@ -336,8 +336,8 @@ select conv_id, turn, {_refuses} as refusal, {external_reason('answer', 'kind',
 FINAL["web_citations"] = r"""
 select question_id, position, 'web:' || substr(sha1(url), 1, 12) as chunk_id, shown as section_name, 'web' as section_type, url as source_url, shown as snippet from (
   select *, coalesce(nullif(title, ''), source, url) as shown, row_number() over (partition by question_id, url order by position) as n from (
-    select 'q' || (length(site) % 5) as question_id, page_id as position, site as url, case when page_id % 3 = 0 then '' else regexp_extract(url, '//([^/]+)', 1) end as title,
-      case when page_id % 2 = 0 then 'site' end as source from (select page_id, url, regexp_extract(url, '^(https?://[^/]+)', 1) as site from pages))) where n = 1"""
+    select 'q' || (length(url) % 5) as question_id, page_id as position, url, case when page_id % 3 = 0 then '' else regexp_extract(url, '//([^/]+)', 1) end as title,
+      case when page_id % 2 = 0 then 'site' end as source from pages)) where n = 1"""
 _fy = "case when coalesce(fiscal_year, 0) <> 0 and coalesce(fiscal_quarter, 0) <> 0 then 'Q' || fiscal_quarter || ' ' || fiscal_year when coalesce(fiscal_year, 0) <> 0 then 'FY ' || fiscal_year end"
 _head = f"concat_ws({NL}, 'Question: ' || question, 'Accession number: ' || accession_number, 'Company: ' || cik, 'Form type: ' || form_type, 'Period: ' || ({_fy}))"
 FINAL["context_prompts"] = f"""

@@ -685,7 +685,7 @@ METRIC_SQL = {
     "refusal_accuracy": "avg(case when refusal_match >= 0 then refusal_match end)",
 }
 VIEWS["e_metrics"] = "select variant, count(*) as questions, " + ", ".join(f"{e} as {n}" for n, e in METRIC_SQL.items()) + " from e_scores group by variant"
-VIEWS["e_issuers"] = "select variant, substr(accession_number, 10, 1) as issuer, " + ", ".join(f"{e} as {n}" for n, e in METRIC_SQL.items()) + " from e_scores group by all"
+VIEWS["e_issuers"] = "select variant, substr(accession_number, 1, 10) as issuer, " + ", ".join(f"{e} as {n}" for n, e in METRIC_SQL.items()) + " from e_scores group by all"
 
 
 def compose(final: str) -> str:
