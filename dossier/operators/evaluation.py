@@ -6,12 +6,14 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
 from dossier import constants as K
 from dossier.functions.numeric import expected_tokens, number_text, number_tokens, percent_text
 from dossier.functions.text import any_contains, casefold, clip, digits, let, squash, strip
-from dossier.operators import answering
+from dossier.operators import answering, retrieval
 from dossier.operators.questions import classify
+from dossier.operators.snippets import best_snippets
 
 SCORES = (
     "answer_correct", "supported_match", "keyword_match", "citation_recall", "section_recall", "evidence_recall",
@@ -183,36 +185,74 @@ def closed_book(questions: DataFrame) -> DataFrame:
     )
 
 
+PREDICTED = (
+    "query_type", "confidence", "citations", "numeric_grounding", "retrieval_count", "error", "answer_mode", "synthesis_status",
+    "synthesis_reason",
+)
+
+
 def predict(
-    questions: DataFrame, variants: DataFrame, filings: DataFrame, index: DataFrame, facts: DataFrame
+    questions: DataFrame, variants: DataFrame, filings: DataFrame, index: DataFrame, facts: DataFrame,
+    stored: DataFrame | None = None, model: str | None = None,
 ) -> DataFrame:
-    """Predictions of the deterministic variants for every question.
+    """Predictions of all variants for every question.
 
-    All retrieval variants run as one answering job over (question, variant) rows. A question whose
-    filing cannot be searched becomes an error row instead of failing the run.
+    All retrieval variants run as one answering job over (question, variant) rows. The guarded variant and the external ones take
+    generated answers from ``stored`` (``question_id, variant, answer, web``). A question that a variant cannot run
+    for, because its filing cannot be searched, becomes an error row instead of failing the run.
     """
     rows = expand(questions, variants).withColumn("base_id", F.col("question_id")).withColumn(
         "question_id", F.concat_ws("|", F.col("base_id").cast("string"), F.col("variant"))
     )
-    searched = rows.where(F.col("variant") != "closed_book")
+    external = F.col("variant").startswith(K.EXTERNAL_PREFIX)
+    searched = rows.where((F.col("variant") != "closed_book") & ~external)
     answered = answering.answer(searched, filings, index, facts).withColumn("error", F.lit(None).cast("string"))
+    guarded = F.col("variant") == K.GUARDED_VARIANT
+    none = [F.lit(None).cast("string").alias(c) for c in ("answer_mode", "synthesis_status", "synthesis_reason")]
+    names = [*answered.columns, "answer_mode", "synthesis_status", "synthesis_reason"]
+    if stored is not None:
+        key = F.concat_ws("|", "question_id", "variant")
+        candidates = stored.where(guarded).select(key.alias("question_id"), F.col("answer").alias("candidate_answer"))
+        judged = answering.with_answer_mode(answered.where(guarded), candidates, model).select(*names)
+        answered = answered.where(~guarded).select("*", *none).unionByName(judged)
+    else:
+        answered = answered.select("*", *none)
     types = {f.name: f.dataType for f in answered.schema.fields}
 
     def complete(df: DataFrame) -> DataFrame:
-        for name in ("query_type", "confidence", "citations", "numeric_grounding", "retrieval_count", "error"):
+        for name in PREDICTED:
             if name not in df.columns:
                 value = F.array() if name == "citations" else F.lit(None)
                 df = df.withColumn(name, value.cast(types[name]))
-        return df.select(*answered.columns)
+        return df.select(*names)
 
     books = complete(closed_book(rows.where(F.col("variant") == "closed_book")))
-    failed = searched.join(answering.request_errors(searched, filings, index), "question_id").select(
+    needing = rows.where((F.col("variant") != "closed_book") & (~external | (F.col("variant") == K.CONTEXT_VARIANT)))
+    errors = answering.request_errors(needing.where(~external), filings, index).unionByName(
+        answering.request_errors(needing.where(external), filings, index, every=True)
+    )
+    failed = needing.join(errors, "question_id").select(
         "*",
         F.lit(False).alias("supported"),
         F.lit(K.INSUFFICIENT_ANSWER).alias("answer"),
         F.lit("eval_variant_error").alias("insufficient_evidence_reason"),
     )
-    return answered.unionByName(books).unionByName(complete(failed))
+    result = answered.unionByName(books).unionByName(complete(failed))
+    if stored is None:
+        return result
+    asked = rows.where(external).join(errors.select("question_id"), "question_id", "left_anti")
+    excerpts = context_excerpts(asked.where(F.col("variant") == K.CONTEXT_VARIANT), index)
+    return result.unionByName(complete(external_predictions(asked, stored, excerpts, types["citations"])))
+
+
+def context_excerpts(questions: DataFrame, index: DataFrame) -> DataFrame:
+    """``question_id, excerpts``: the citations of the chunks retrieved for each question, in rank order."""
+    hits = retrieval.retrieve(questions, index, answering.FILTERS)
+    columns = ("section_name", "section_type", "source_url", "source_start", "source_end", "text")
+    found = retrieval.fetch_hits(hits, index, columns).join(questions.select("question_id", "question"), "question_id")
+    cited = best_snippets(found, "question")
+    listed = F.sort_array(F.collect_list(F.struct("rank", F.struct(*answering.CITATION_FIELDS).alias("citation"))))
+    return cited.groupBy("question_id").agg(listed["citation"].alias("excerpts"))
 
 
 # ---- stored answers of external models ----------------------------------------------------------
@@ -306,13 +346,32 @@ def cache_key(variant: Column, question_id: Column, question: Column, prompt: Co
     return F.concat_ws("-", variant, question_id, F.substring(F.sha2(payload, 256), 1, 24))
 
 
-def external_predictions(rows: DataFrame, stored: DataFrame) -> DataFrame:
-    """Predictions of external variants from stored answers (``question_id, variant, answer``).
+def external_predictions(
+    rows: DataFrame, stored: DataFrame, excerpts: DataFrame | None = None, citations: DataType | None = None
+) -> DataFrame:
+    """Predictions of external variants from stored answers (``question_id, variant, answer`` and optionally ``web``).
 
-    A question without a stored answer becomes an error row: this engine makes no network calls.
+    A question without a stored answer becomes an error row: this engine makes no network calls. Given the type of
+    ``citations``, a prediction cites its excerpts (``question_id, excerpts``) and then the web sources of its answer.
     """
-    joined = rows.join(stored.select("question_id", "variant", F.col("answer").alias("_stored")), ["question_id", "variant"], "left")
+    own = "base_id" if "base_id" in rows.columns else "question_id"
+    web = [F.col("web").alias("_web")] if "web" in stored.columns else []
+    held = stored.select(F.col("question_id").alias("_id"), "variant", F.col("answer").alias("_stored"), *web)
+    joined = rows.withColumn("_id", F.col(own).cast("string")).join(held, ["_id", "variant"], "left")
     missing = F.col("_stored").isNull()
+    cited = []
+    if citations is not None:
+        joined = joined.join(excerpts, "question_id", "left")
+        fields = citations.elementType.names
+        shaped = F.transform("_web", lambda w: F.struct(*[
+            (w[n] if n in ("chunk_id", "section_name", "section_type", "source_url", "snippet") else F.lit(None)).alias(n) for n in fields
+        ])).cast(citations)
+        seen = F.transform("excerpts", lambda e: F.struct(*[(e[n] if n in answering.CITATION_FIELDS else F.lit(None)).alias(n) for n in fields])).cast(citations)
+        empty = F.array().cast(citations)
+        cited = [
+            F.concat(F.coalesce(seen, empty), F.coalesce(shaped, empty)).alias("citations"),
+            F.coalesce(F.size("excerpts"), F.lit(0)).cast("int").alias("retrieval_count"),
+        ]
     return joined.select(
         *rows.columns,
         (~missing & (strip(F.col("_stored")) != "") & ~looks_like_refusal(F.col("_stored"))).alias("supported"),
@@ -321,9 +380,35 @@ def external_predictions(rows: DataFrame, stored: DataFrame) -> DataFrame:
         .otherwise(external_reason(F.col("_stored"), classify(F.col("question")), F.col("fiscal_year")))
         .alias("insufficient_evidence_reason"),
         F.when(missing, F.lit("no stored answer")).alias("error"),
+        *cited,
     )
 
 
+def response_citations(output: Column) -> Column:
+    """Web citations of a raw response: sources of its searches and cited pages of its messages, each page once."""
+    def mentioned(item: Column) -> Column:
+        cited = F.flatten(F.transform(F.coalesce(item["content"], F.array()), lambda c: F.coalesce(c["annotations"], F.array())))
+        return F.when(item["type"] == "web_search_call", item["action"]["sources"]).when(
+            item["type"] == "message", F.filter(cited, lambda a: a["type"] == "url_citation")
+        )
+
+    every = F.flatten(F.array_compact(F.transform(output, mentioned)))
+    named = F.filter(every, lambda s: F.coalesce(s["url"], F.lit("")) != "")
+
+    def first_mentions(sources: Column) -> Column:
+        urls = F.transform(sources, lambda s: s["url"])
+        return let(urls, lambda u: F.filter(sources, lambda s, i: F.array_position(u, s["url"]) == i + 1))
+
+    def citation(source: Column) -> Column:
+        title = F.coalesce(F.nullif(source["title"], F.lit("")), F.nullif(source["source"], F.lit("")), source["url"])
+        return F.struct(
+            F.concat(F.lit("web:"), F.substring(F.sha1(source["url"].cast("binary")), 1, 12)).alias("chunk_id"),
+            title.alias("section_name"), F.lit("web").alias("section_type"), source["url"].alias("source_url"), title.alias("snippet"),
+        )
+
+    return F.transform(let(named, first_mentions), citation)
+
+
 # ---- report -------------------------------------------------------------------------------------
 
 

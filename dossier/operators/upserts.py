@@ -15,13 +15,19 @@ def latest_per_key(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -
     return rows.groupBy(*keys).agg(newest).select(*keys, "row.*").select(*rows.columns)
 
 
-def upsert(stored: DataFrame, incoming: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+def upsert(
+    stored: DataFrame, incoming: DataFrame, keys: Sequence[str], order: Sequence[str], kept: Sequence[str] = ()
+) -> DataFrame:
     """``stored`` with every incoming key inserted or overwritten; the last incoming row of a key wins.
 
-    Only the incoming side is reduced; stored rows are unique already and pass through an anti-join.
+    Columns in ``kept`` stay as they are stored where the key exists. Only the incoming side is reduced; stored rows are
+    unique already and pass through an anti-join.
     """
     newest = latest_per_key(incoming, keys, order)
     untouched = stored.join(newest.select(*keys), list(keys), "left_anti")
+    if kept:
+        first = stored.select(*keys, *[F.col(c).alias(f"_{c}") for c in kept])
+        newest = newest.join(first, list(keys), "left").withColumns({c: F.coalesce(f"_{c}", c) for c in kept})
     return untouched.unionByName(newest.select(*stored.columns))
 
 

@@ -461,7 +461,7 @@ def facts_flatten(spark, sf):
     return flat.select(
         "cik", "accession_number", "concept", "label", "unit", F.col("value").cast("decimal(18,2)").cast("string").alias("value"), "fiscal_period",
         long(F.coalesce("fiscal_year", F.lit(-1))).alias("fiscal_year"), long(F.coalesce("fiscal_quarter", F.lit(-1))).alias("fiscal_quarter"),
-        day("filed_date").alias("filed_date"), long(F.col("ingest_seq") % 1000000).alias("position"), "source_key",
+        day("filed_date").alias("filed_date"), F.element_at("ingest_seq", 5).alias("position"), "source_key",
     )
 
 

@@ -47,13 +47,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table whose rows are costly to process: spread out when it has fewer splits than cores.
+    """A table whose rows are costly to process: spread over ``spark.dossier.inputPartitions`` tasks where that is set.
 
-    A table of many files or row groups is left as it is, so at scale there is no extra shuffle.
+    It is set for small files that one task would read; unset, the splits are those of the files.
     """
     df = table(spark, sf_dir, name)
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores and df.rdd.getNumPartitions() < cores else df
+    parts = int(spark.conf.get("spark.dossier.inputPartitions", "0"))
+    return df.repartition(parts) if parts else df
 
 
 def pick(values: list[str], key: Column) -> Column:

@@ -29,6 +29,15 @@ QUESTION = f"""
     metadata map<string, string>
 """
 
+# A stored model answer: either the extracted answer with its web citations, or the raw response itself.
+SOURCES = "array<struct<type: string, url: string, title: string, source: string>>"
+STORED_ANSWER = f"""
+    answer string, web_citations array<struct<chunk_id: string, section_name: string, section_type: string, source_url: string, snippet: string>>,
+    output_text string,
+    output array<struct<type: string, action: struct<sources: {SOURCES}>,
+        content: array<struct<type: string, text: string, annotations: {SOURCES}>>>>
+"""
+
 COMPANIES = "cik string, ticker string, name string, exchange string, sic string, fiscal_year_end string"
 FILINGS = """
     accession_number string, cik string, form_type string, filing_date date, report_date date, fiscal_year int,
@@ -37,5 +46,5 @@ FILINGS = """
 FACTS = """
     source_key string, cik string, accession_number string, concept string, label string, unit string,
     value decimal(38,6), fiscal_period string, fiscal_year int, fiscal_quarter int, form_type string,
-    filed_date date, frame string, ingest_seq bigint
+    filed_date date, frame string, ingest_seq array<bigint>, filing_accession string
 """

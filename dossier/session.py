@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,26 +33,53 @@ def get_spark(app_name: str = "dossier", master: str | None = None, **conf: str)
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    A temporary folder is used only where the setting is absent *and* the master is local,
-    because a machine-local folder is invisible to the other machines of a cluster.
+    Where the setting is absent one is made for a local master only, because a machine-local folder is
+    invisible to the other machines of a cluster.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not spark.sparkContext.master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
     fallback = tempfile.mkdtemp(prefix="dossier-")
     spark.conf.set("spark.checkpoint.dir", fallback)
     return fallback
 
 
+_WRITTEN: list[str] = []
+
+
 def durable(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as parquet in the shared folder and read it back.
 
     Used where several later stages read the same costly result: the written table cuts the
     lineage, survives the loss of executors and still gives column pruning on every read.
+    It stays until ``release`` or the end of an ``intermediates`` block.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
     df.write.mode("errorifexists").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder on whatever file system it is."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def release(spark: SparkSession, keep: int = 0) -> None:
+    """Remove the intermediate tables written after the first ``keep`` ones; call it when results have been consumed."""
+    while len(_WRITTEN) > keep:
+        remove(spark, _WRITTEN.pop())
+
+
+@contextmanager
+def intermediates(spark: SparkSession) -> Iterator[None]:
+    """A block whose intermediate tables are removed at its end; nothing lazy may leave it."""
+    before = len(_WRITTEN)
+    try:
+        yield
+    finally:
+        release(spark, before)

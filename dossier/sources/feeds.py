@@ -20,20 +20,48 @@ RECENT = ("accessionNumber", "form", "filingDate", "reportDate", "primaryDocumen
 
 
 def read_submissions(spark: SparkSession, cache_dir: str) -> DataFrame:
-    return spark.read.schema(schemas.SUBMISSIONS).option("multiLine", True).json(f"{cache_dir}/submissions")
+    """Payloads with the time and path of their file, by which the last one of a company is known."""
+    rows = spark.read.schema(schemas.SUBMISSIONS).option("multiLine", True).json(f"{cache_dir}/submissions")
+    return rows.select("*", F.col("_metadata.file_modification_time").alias("loaded_at"), F.col("_metadata.file_path").alias("loaded_from"))
 
 
 def read_company_facts(spark: SparkSession, cache_dir: str) -> DataFrame:
     return spark.read.schema(schemas.COMPANY_FACTS).option("multiLine", True).json(f"{cache_dir}/companyfacts")
 
 
-def read_documents(spark: SparkSession, cache_dir: str) -> DataFrame:
-    """``path, document_key, content`` of every cached document; the key is ``<cik>/<accession digits>/<name>``."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(f"{cache_dir}/filings")
-    path = F.col("_metadata.file_path")
-    return files.select(
-        path.alias("path"), F.regexp_extract(path, r"([^/]+/[^/]+/[^/]+)$", 1).alias("document_key"), F.col("value").alias("content")
-    )
+# So many documents are opened by name; more are read as a folder and matched by path.
+NAMED_DOCUMENTS = 1000
+
+
+def list_documents(spark: SparkSession, cache_dir: str) -> DataFrame:
+    """``path, document_key`` of every cached document; the key is ``<cik>/<accession digits>/<name>``. Opens no file."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(f"{cache_dir}/filings")
+    return files.select("path", F.regexp_extract("path", r"([^/]+/[^/]+/[^/]+)$", 1).alias("document_key"))
+
+
+def read_documents(spark: SparkSession, cache_dir: str, wanted: DataFrame) -> DataFrame:
+    """``path, content`` of the wanted documents (a column ``path``).
+
+    A bounded number of them is opened by name, so a request for one filing opens one file. Files that are
+    gone are not in the result.
+    """
+    few = [row.path for row in wanted.select("path").distinct().limit(NAMED_DOCUMENTS + 1).collect()]
+    path = F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "file:/")
+    if not few:
+        return spark.createDataFrame([], "path string, content string")
+    reader = spark.read.option("wholetext", True).option("ignoreMissingFiles", True)
+    if len(few) <= NAMED_DOCUMENTS:
+        there = [p for p in few if exists(spark, p)]
+        if not there:
+            return spark.createDataFrame([], "path string, content string")
+        return reader.text(there).select(path.alias("path"), F.col("value").alias("content"))
+    files = reader.option("recursiveFileLookup", True).text(f"{cache_dir}/filings").select(path.alias("path"), F.col("value").alias("content"))
+    return files.join(wanted.select("path").distinct(), "path", "left_semi")
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
 
 
 def document_key(cik: Column, accession_number: Column, primary_document: Column) -> Column:
@@ -51,6 +79,7 @@ def normalize_companies(submissions: DataFrame) -> DataFrame:
         C.first_non_empty(F.col("exchanges")).alias("exchange"),
         C.optional_string(F.col("sic")).alias("sic"),
         C.optional_string(F.col("fiscalYearEnd")).alias("fiscal_year_end"),
+        *[c for c in ("loaded_at", "loaded_from") if c in submissions.columns],
     ).where(F.col("cik").isNotNull())
 
 
@@ -106,10 +135,11 @@ def normalize_filings(
     return kept
 
 
-def flatten_facts(payloads: DataFrame, concepts: Sequence[str] | None = None) -> DataFrame:
+def flatten_facts(payloads: DataFrame, concepts: Sequence[str] | None = None, load: int = 0) -> DataFrame:
     """Nested facts to rows; values that are not numbers are dropped.
 
-    ``ingest_seq`` keeps the order within the payload for the "last ingested wins" rule.
+    ``ingest_seq`` holds the number of the load and the positions of taxonomy, concept, unit and value in the payload. It
+    is ordered like them, for the "last ingested wins" rule, whatever the sizes are.
     """
     by_concept = payloads.select(
         C.normalize_cik(F.col("cik")).alias("cik"), F.posexplode("facts").alias("p1", "taxonomy", "by_concept")
@@ -133,7 +163,6 @@ def flatten_facts(payloads: DataFrame, concepts: Sequence[str] | None = None) ->
         C.optional_string(F.col("r.form")).alias("form_type"),
         C.optional_date(F.col("r.filed")).alias("filed_date"),
         C.optional_string(F.col("r.frame")).alias("frame"),
-        # Positions packed most significant first: taxonomy, concept, unit, value.
-        (((F.col("p1") * 100_000 + F.col("p2")).cast("bigint") * 1_000 + F.col("p3")) * 1_000_000 + F.col("p4")).alias("ingest_seq"),
+        F.array(F.lit(load), "p1", "p2", "p3", "p4").cast("array<bigint>").alias("ingest_seq"),
     ).where(F.col("value").isNotNull())
     return typed.withColumn("source_key", C.source_key({c: F.col(c) for c in typed.columns})).drop("value_text")

@@ -1,32 +1,46 @@
-"""The stored tables: parquet folders with idempotent writes.
+"""The stored tables: parquet folders in buckets of their main key, with idempotent writes.
 
-A write first lands complete in the shared folder (Spark cannot overwrite a folder it is reading, and a
-failed job must not damage the table), then replaces the table.
+Every table is partitioned by a hash of the key it is looked up by, so a lookup reads one bucket and a write replaces
+only the buckets of its keys. A write first lands complete in the shared folder, because Spark cannot overwrite
+what it is reading; then the affected buckets are overwritten. A crash between the two may leave a bucket missing;
+all writes are idempotent, so running the command again restores it.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from dossier import schemas
 from dossier.operators.retrieval import filter_by
 from dossier.operators.upserts import replace_by_key, upsert
-from dossier.session import durable
+from dossier.session import durable, intermediates, remove
 
 KEYS = {"companies": ("cik",), "filings": ("accession_number",), "facts": ("source_key",)}
+# The column whose hash decides the bucket; equal keys always share it.
+BUCKETED_BY = {"companies": "cik", "facts": "cik"}
+# Columns that an update leaves as they were first stored.
+KEPT = {"facts": ("ingest_seq",)}
+BUCKETS = 64
 
 
 class TableStore:
-    """Parquet tables below one folder."""
+    """Parquet tables below one folder; the number of buckets is fixed for the life of a store."""
 
-    def __init__(self, spark: SparkSession, root: str) -> None:
+    def __init__(self, spark: SparkSession, root: str, buckets: int = BUCKETS) -> None:
         self.spark = spark
         self.root = root.rstrip("/")
+        self.buckets = buckets
+
+    def _bucket(self, key: Column) -> Column:
+        return F.pmod(F.xxhash64(key), F.lit(self.buckets)).cast("int")
+
+    def _key(self, name: str) -> str:
+        return BUCKETED_BY.get(name, "accession_number")
 
     def _stored(self, name: str) -> DataFrame | None:
         try:
@@ -34,31 +48,77 @@ class TableStore:
         except AnalysisException:
             return None
 
+    def _empty(self, name: str) -> DataFrame:
+        schema = getattr(schemas, name.upper(), None)
+        if schema is None:
+            raise FileNotFoundError(f"{self.root}/{name}")
+        return self.spark.createDataFrame([], schema)
+
     def read(self, name: str, **equal: object) -> DataFrame:
-        """The table under equality conditions, which reach the parquet scan."""
+        """The table under equality conditions, which reach the parquet scan; one on the main key reads one bucket."""
+        stored = self._stored(name)
+        if stored is None:
+            return filter_by(self._empty(name), **equal)
+        wanted = equal.get(self._key(name))
+        if wanted is not None:
+            stored = stored.where(F.col("bucket") == self._bucket(F.lit(wanted)))
+        return filter_by(stored.drop("bucket"), **equal)
+
+    def read_for(self, name: str, keys: DataFrame) -> DataFrame:
+        """The buckets of the table that hold the given keys (at most all of them), for joins with those keys."""
         stored = self._stored(name)
         if stored is None:
-            schema = getattr(schemas, name.upper(), None)
-            if schema is None:
-                raise FileNotFoundError(f"{self.root}/{name}")
-            stored = self.spark.createDataFrame([], schema)
-        return filter_by(stored, **equal)
+            return self._empty(name)
+        return stored.where(F.col("bucket").isin(self.buckets_of(keys, self._key(name)))).drop("bucket")
 
-    def write(self, name: str, df: DataFrame) -> None:
-        durable(df, name).write.mode("overwrite").parquet(f"{self.root}/{name}")
+    def buckets_of(self, keys: DataFrame, column: str) -> list[int]:
+        """The buckets that a table's keys fall into: at most ``buckets`` numbers."""
+        found = keys.where(F.col(column).isNotNull()).select(self._bucket(F.col(column)).alias("bucket")).distinct()
+        return sorted(row.bucket for row in found.collect())
+
+    def _rewrite(self, name: str, affected: DataFrame, change: Callable[[DataFrame | None], DataFrame]) -> None:
+        """Replace the buckets of the affected keys by what ``change`` makes of their rows."""
+        touched = self.buckets_of(affected, self._key(name))
+        stored = self._stored(name)
+        if stored is not None:
+            stored = stored.where(F.col("bucket").isin(touched)).drop("bucket")
+        with intermediates(self.spark):
+            rows = change(stored)
+            staged = durable(rows.withColumn("bucket", self._bucket(F.col(self._key(name)))), name)
+            staged.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(
+                f"{self.root}/{name}"
+            )
+            left = {row.bucket for row in staged.select("bucket").distinct().collect()}
+        for bucket in touched:
+            if bucket not in left:
+                remove(self.spark, f"{self.root}/{name}/bucket={bucket}")
 
     def upsert(self, name: str, incoming: DataFrame, order: Sequence[str]) -> None:
-        stored = self.read(name)
-        extra = [c for c in order if c not in stored.columns]
-        rows = incoming.select(*stored.columns, *extra)
-        self.write(name, upsert(stored, rows, KEYS[name], order))
+        """Insert or overwrite rows by key; the last of ``order`` wins among incoming rows of a key."""
+        columns = self.read(name).columns
+        extra = [c for c in order if c not in columns]
+        rows = incoming.select(*columns, *extra)
+        kept = KEPT.get(name, ())
+
+        def change(stored: DataFrame | None) -> DataFrame:
+            return upsert(stored if stored is not None else self._empty(name), rows, KEYS[name], order, kept)
+
+        self._rewrite(name, rows, change)
 
     def replace(self, name: str, incoming: DataFrame, affected: DataFrame) -> None:
-        """Delete the affected filings' rows and add the incoming ones."""
-        stored = self._stored(name)
-        if stored is not None:
-            incoming = replace_by_key(stored.select(*incoming.columns), incoming, ["accession_number"], affected)
-        self.write(name, incoming)
+        """Delete the affected filings' rows and add the incoming ones; all other filings keep theirs."""
+
+        def change(stored: DataFrame | None) -> DataFrame:
+            if stored is None:
+                return incoming
+            # Columns that only one side has (an index with and without sparse vectors) are null on the other.
+            missing = [c for c in incoming.columns if c not in stored.columns]
+            stored = stored.withColumns({c: F.lit(None).cast(incoming.schema[c].dataType) for c in missing})
+            lacking = [c for c in stored.columns if c not in incoming.columns]
+            rows = incoming.withColumns({c: F.lit(None).cast(stored.schema[c].dataType) for c in lacking})
+            return replace_by_key(stored, rows, ["accession_number"], affected)
+
+        self._rewrite(name, affected, change)
 
 
 def ordered(df: DataFrame, kind: str) -> DataFrame:
@@ -75,13 +135,6 @@ def ordered(df: DataFrame, kind: str) -> DataFrame:
     return df.orderBy(*orders[kind])
 
 
-def company_filings(filings: DataFrame, cik: str, form_types: Sequence[str] | None = None) -> DataFrame:
-    rows = filings.where(F.col("cik") == cik)
-    if form_types:
-        rows = rows.where(F.col("form_type").isin(list(form_types)))
-    return ordered(rows, "filings")
-
-
 def numbered_filings(filings: DataFrame) -> DataFrame:
     """Position of every filing in its company's list (newest first, accession number on equal dates).
 
@@ -95,9 +148,15 @@ def numbered_filings(filings: DataFrame) -> DataFrame:
     return filings.join(before, ["cik", "filing_date"]).withColumn("position", F.col("before") + within).drop("before")
 
 
-def write_report(path: str, metrics: list[dict], lines: list[str]) -> None:
-    """Small driver-side report files: at most eight variants and ten failures."""
+def write_report(path: str, results: Iterable[dict], metrics: list[dict], lines: list[str]) -> None:
+    """The report files of a run: JSON with the metrics and every question's prediction and scores, and Markdown.
+
+    ``results`` may be long; it is written row by row.
+    """
     with open(path + ".json", "w", encoding="utf-8") as out:
-        json.dump(metrics, out, indent=2, default=str)
+        out.write('{"metrics": ' + json.dumps(metrics, default=str) + ', "results": [')
+        for i, row in enumerate(results):
+            out.write((",\n" if i else "\n") + json.dumps(row, default=str))
+        out.write("\n]}\n")
     with open(path + ".md", "w", encoding="utf-8") as out:
         out.write("\n".join(lines))

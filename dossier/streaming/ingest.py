@@ -1,6 +1,6 @@
 """Idempotent ingestion as a file stream: each micro-batch of fact payloads is upserted by source key.
 
-Re-delivered files change nothing, because the source key identifies a fact by its content.
+Only the buckets of the batch's companies are rewritten. Re-delivered files change nothing, because the source key identifies a fact by its content.
 """
 
 from __future__ import annotations
@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from dossier import schemas
+from dossier.operators.upserts import link_filings
+from dossier.plans.service import linkable, load_number
 from dossier.sources import feeds
 from dossier.sources.tables import TableStore
 
@@ -18,7 +20,8 @@ def stream_facts(store: TableStore, folder: str, checkpoint: str) -> StreamingQu
     payloads = store.spark.readStream.schema(schemas.COMPANY_FACTS).option("multiLine", True).json(folder)
 
     def merge(batch: DataFrame, _: int) -> None:
-        store.upsert("facts", feeds.flatten_facts(batch), ["ingest_seq"])
+        facts = feeds.flatten_facts(batch, load=load_number())
+        store.upsert("facts", link_filings(facts, linkable(store.read("filings")), "filing_accession"), ["ingest_seq"])
 
     return (
         payloads.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

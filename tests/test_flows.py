@@ -175,7 +175,7 @@ def test_question_lines_are_validated(spark):
 
 def test_command_line(store, cache):
     def call(*argv):
-        return run(build_parser().parse_args(["--store", store.root, "--cache", cache, *argv]), store)
+        return list(run(build_parser().parse_args(["--store", store.root, "--cache", cache, *argv]), store))
 
     assert call("health")[0]["status"] == "ok"
     hits = call("retrieve-sec-filing", "0000000077-24-000001", "supply chains", "--top-k", "2")
@@ -183,6 +183,9 @@ def test_command_line(store, cache):
     assert call("ask-sec-filing", "0000000077-24-000001", "How much revenue?")[0]["supported"]
     assert call("compare-sec-filing", "0000000077-24-000001", "--max-claims", "1")[0]["supported"]
     assert call("index-sec-filing", "--path", store.root + "/searchable", "--hybrid")[0]["indexed"] == store.read("chunks").count()
+    assert len(call("parse-sec-filing", "--max-tokens", "12", "--overlap-tokens", "2")) == 2
+    with pytest.raises(Exception, match="one to ten digits"):
+        call("ingest-sec-company", "no number")
 
 
 def test_stream_of_feeds_is_idempotent(spark, cache, tmp_path):
@@ -214,3 +217,139 @@ def test_score_ladder(spark):
         answering.confidence(F.array(F.lit(0.4), F.lit(1.7))).alias("confidence"),
     ).first()
     assert abs(out.recall - 2 / 3) < 1e-9 and out.keywords == 0.5 and out.confidence == 1.0
+
+
+def test_index_keeps_other_filings(store):
+    path = store.root + "/added"
+    chunks = {r.accession_number: r["count"] for r in store.read("chunks").groupBy("accession_number").count().collect()}
+    assert service.index(store, path, [A24]) == chunks[A24]
+    assert service.index(store, path, [A23], hybrid=True) == chunks[A23]
+    assert service.index(store, path, [A23]) == chunks[A23]
+    held = TableStore(store.spark, store.root).read("added")
+    assert {r.accession_number: r["count"] for r in held.groupBy("accession_number").count().collect()} == chunks
+    with pytest.raises(service.FilingNotFound):
+        service.index(store, path, [A24, "unknown"])
+    assert TableStore(store.spark, store.root).read("added").count() == sum(chunks.values())
+    question = service.question_table(store, A24, "supply chains", 3)
+    found = [service.retrieve(store, question, index_path=p).select("chunk_id", "score").collect() for p in (None, path)]
+    assert sorted(found[0]) == sorted(found[1]) and len(found[0]) == 3
+
+
+def test_retrieval_has_no_greatest_number(store):
+    chunks = store.read("chunks", accession_number=A24).count()
+    question = service.question_table(store, A24, "supply chains", 50, None)
+    assert service.retrieve(store, question).count() == chunks
+    hybrid = service.retrieve(store, service.question_table(store, A24, "supply chains", 50, None, section_type="risk_factors"), hybrid=True)
+    assert {r.section_type for r in hybrid.collect()} == {"risk_factors"}
+    with pytest.raises(service.FilingNotFound):
+        service.retrieve(store, service.question_table(store, "unknown", "x"))
+
+
+def test_filings_that_cannot_be_parsed_are_errors(spark, cache, tmp_path):
+    import os
+
+    own = TableStore(spark, str(tmp_path / "store"), buckets=4)
+    service.ingest(own, cache, use_documents=False)
+    with pytest.raises(service.FilingNotFound):
+        service.parse(own, cache, ["unknown"])
+    with pytest.raises(ValueError, match="no raw artifact path"):
+        service.parse(own, cache, [A24])
+    service.ingest(own, cache)
+    gone = own.read("filings", accession_number=A23).first().raw_artifact_path.removeprefix("file:")
+    os.rename(gone, gone + ".away")
+    try:
+        with pytest.raises(FileNotFoundError):
+            service.parse(own, cache, [A23])
+        assert service.parse(own, cache, [A24]).count() == 1
+    finally:
+        os.rename(gone + ".away", gone)
+
+
+def test_a_write_touches_only_its_buckets(spark, tmp_path):
+    import os
+
+    store = TableStore(spark, str(tmp_path), buckets=8)
+    rows = [(f"{i:010d}", None, f"name {i}", None, None, None, i) for i in range(40)]
+    columns = "cik string, ticker string, name string, exchange string, sic string, fiscal_year_end string, n int"
+    store.upsert("companies", spark.createDataFrame(rows, columns), ["n"])
+
+    def times():
+        return {os.path.join(d, f): os.stat(os.path.join(d, f)).st_mtime_ns for d, _, fs in os.walk(tmp_path) for f in fs if f.startswith("part-")}
+
+    before = times()
+    change = [("0000000003", None, "zebra", None, None, None, 1), ("0000000003", None, "ant", None, None, None, 2)]
+    store.upsert("companies", spark.createDataFrame(change, columns), ["n"])
+    kept = set(before.items()) & set(times().items())
+    assert len({os.path.dirname(p) for p, _ in kept}) == len({os.path.dirname(p) for p in before}) - 1
+    assert store.read("companies").count() == 40 and store.read("companies", cik="0000000003").first().name == "ant"
+    chunks = spark.createDataFrame([("a", 1), ("b", 2)], "accession_number string, n int")
+    store.replace("chunks", chunks, chunks.select("accession_number"))
+    store.replace("chunks", chunks.where("1 = 0"), chunks.where("accession_number = 'a'").select("accession_number"))
+    assert [tuple(r) for r in store.read("chunks").select("accession_number", "n").collect()] == [("b", 2)]
+
+
+def test_facts_keep_their_first_place_and_know_their_filing(spark, cache, tmp_path):
+    own = TableStore(spark, str(tmp_path / "store"), buckets=4)
+    service.ingest(own, cache)
+    first = {r.source_key: r.ingest_seq for r in own.read("facts").collect()}
+    service.ingest(own, cache)
+    assert {r.source_key: r.ingest_seq for r in own.read("facts").collect()} == first
+    assert {r.filing_accession for r in own.read("facts").collect()} == {A24, A23}
+
+
+def test_all_rows_of_many_filings_are_shown(spark, tmp_path):
+    cache, n = tmp_path / "cache", 25
+    accessions = [f"0000000088-24-{i:06d}" for i in range(n)]
+    (cache / "submissions").mkdir(parents=True)
+    (cache / "companyfacts").mkdir()
+    recent = {"accessionNumber": accessions, "form": ["10-K"] * n, "filingDate": ["2024-11-01"] * n, "reportDate": ["2024-09-28"] * n, "primaryDocument": ["d.htm"] * n}
+    (cache / "submissions" / "CIK0000000088.json").write_text(json.dumps({"cik": 88, "name": "Many", "filings": {"recent": recent}}))
+    (cache / "companyfacts" / "CIK0000000088.json").write_text(json.dumps({"cik": 88, "facts": {}}))
+    for a in accessions:
+        folder = cache / "filings" / "0000000088" / a.replace("-", "")
+        folder.mkdir(parents=True)
+        (folder / "d.htm").write_text(filing_html("24", "1"))
+    store = TableStore(spark, str(tmp_path / "store"), buckets=2)
+    service.ingest(store, str(cache), filing_limit=n)
+    shown = list(run(build_parser().parse_args(["--store", store.root, "--cache", str(cache), "parse-sec-filing"]), store))
+    assert sorted(r["accession_number"] for r in shown) == accessions
+
+
+def test_variants_with_stored_answers(store, tmp_path):
+    folder = tmp_path / "answers"
+    folder.mkdir()
+    web = {"type": "web_search_call", "action": {"sources": [{"url": "https://a.example/1", "title": "One"}, {"url": "https://a.example/1"}]}}
+    said = {"type": "message", "content": [{"type": "output_text", "text": " Revenue was 391,035,000,000 USD. ", "annotations": [
+        {"type": "url_citation", "url": "https://b.example/2"}, {"type": "file", "url": "https://no.example"}]}]}
+    files = {
+        "openai_closed_book-n-0123456789abcdef01234567": {"answer": "I cannot answer this."},
+        "openai_retrieved_context-n-0123456789abcdef01234567": {"answer": "Revenue was 391,035,000,000 USD in FY 2024."},
+        "openai_web_search-n-0123456789abcdef01234567": {"output": [web, said]},
+        "improved_rag_xbrl_llm-n-0123456789abcdef01234567": {"answer": "Revenue was 391,035,000,000 USD in FY 2024."},
+        "improved_rag_xbrl_llm-m-0123456789abcdef01234567": {"answer": "Revenue was 1 USD in FY 2024."},
+    }
+    for name, content in files.items():
+        (folder / f"{name}.json").write_text(json.dumps(content))
+    expected = {"xbrl_concepts": ["Revenues"], "numeric_value": "391,035,000,000", "numeric_unit": "USD"}
+    lines = [{"id": i, "question": "How much revenue in 2024?", "accession_number": a, "expected": expected} for i, a in (("n", A24), ("m", A24), ("x", "unknown"))]
+    (tmp_path / "q.jsonl").write_text("\n".join(map(json.dumps, lines)))
+    variants = ["improved_rag_xbrl_llm", "openai_closed_book", "openai_retrieved_context", "openai_web_search"]
+    args = build_parser().parse_args(["--store", store.root, "run-eval", "--dataset", str(tmp_path / "q.jsonl"), "--stored-answers", str(folder),
+                                      "--report", str(tmp_path / "report"), *[x for v in variants for x in ("--variant", v)]])
+    metrics = run(args, store)
+    assert {m["variant"] for m in metrics} == set(variants)
+    results = {tuple(r["question_id"].split("|")): r for r in json.loads((tmp_path / "report.json").read_text())["results"]}
+    assert len(results) == 12
+    guarded = results["n", "improved_rag_xbrl_llm"]
+    assert (guarded["answer_mode"], guarded["synthesis_status"], guarded["answer"]) == ("llm", "succeeded", "Revenue was 391,035,000,000 USD in FY 2024.")
+    assert results["m", "improved_rag_xbrl_llm"]["synthesis_reason"] == "numeric_value_changed_or_omitted"
+    context = results["n", "openai_retrieved_context"]
+    assert context["supported"] and context["retrieval_count"] == len(context["citations"]) > 0 and context["numeric_match"] == 1.0
+    found = results["n", "openai_web_search"]
+    assert [c["source_url"] for c in found["citations"]] == ["https://a.example/1", "https://b.example/2"] and found["citations"][0]["section_name"] == "One"
+    assert found["answer"] == "Revenue was 391,035,000,000 USD." and found["answer_correct"] == 1.0
+    assert not results["n", "openai_closed_book"]["supported"]
+    assert results["m", "openai_web_search"]["insufficient_evidence_reason"] == "openai_eval_error"
+    assert results["x", "openai_retrieved_context"]["insufficient_evidence_reason"] == "eval_variant_error"
+    report = (tmp_path / "report.md").read_text()
+    assert "## Ablation Notes" in report and "## Failure Examples" in report
