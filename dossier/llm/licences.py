@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -57,22 +59,34 @@ def template_bigrams(text: str) -> list[str]:
     return sorted({f"{a} {b}" for a, b in zip(words, words[1:])})
 
 
-def anchors(bigrams: list[str], threshold: float) -> list[str]:
-    """Words of which a text must hold at least one to reach the threshold against a template.
+def anchors(bigrams: list[str], threshold: float, most: int = 4) -> list[list[str]]:
+    """Groups of words: a text that reaches the threshold against a template holds a word of each group.
 
     With m bigrams in the template and a Dice coefficient of t, at least m * t / (2 - t) of them are shared. So if
-    the bigrams that hold a chosen word leave fewer than that, every match holds a chosen word. Longer words,
-    being rarer, are chosen first.
+    the bigrams without the words of a group are fewer than that, every match holds a word of the group. Longer words,
+    being rarer, are chosen first; the groups have no word in common.
     """
-    needed, left, chosen = len(bigrams) * threshold / (2 - threshold), list(bigrams), []
+    needed = len(bigrams) * threshold / (2 - threshold)
     words = sorted({w for b in bigrams for w in b.split()}, key=lambda w: (-len(w), w))
-    for word in words:
-        if len(left) < needed - 1e-9:
+    groups: list[list[str]] = []
+    while len(groups) < most:
+        left, chosen = list(bigrams), []
+        for word in words:
+            if len(left) < needed - 1e-9:
+                break
+            if any(word in b.split() for b in left):
+                chosen.append(word)
+                left = [b for b in left if word not in b.split()]
+        if len(left) >= needed - 1e-9:
             break
-        if any(word in b.split() for b in left):
-            chosen.append(word)
-            left = [b for b in left if word not in b.split()]
-    return chosen
+        groups.append(chosen)
+        words = [w for w in words if w not in chosen]
+    return groups
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.transform(F.array(value), body)[0]
 
 
 def words_of(text: Column) -> Column:
@@ -102,13 +116,33 @@ def scan(
     """
     bags = {name: template_bigrams(body) for name, body in sorted((TEMPLATES if templates is None else templates).items())}
     bags = {name: bag for name, bag in bags.items() if bag}
-    needed = sorted({word for bag in bags.values() for word in anchors(bag, threshold)})
-    least = min((len(b) for b in bags.values()), default=0) * threshold / (2 - threshold)
-    most = max((len(b) for b in bags.values()), default=0) * (2 - threshold) / threshold
+    needed = [anchors(bag, threshold) for bag in bags.values()]
 
     def hopeful(body: Column) -> Column:
-        low = F.lower(body)
-        return reduce(lambda a, b: a | b, [F.contains(low, F.lit(w)) for w in needed], F.lit(False))
+        def holds(low: Column) -> Column:
+            every = [[reduce(or_, [F.contains(low, F.lit(w)) for w in group]) for group in groups] for groups in needed]
+            return reduce(or_, [reduce(and_, groups, F.lit(True)) for groups in every], F.lit(False))
+
+        return let(F.lower(body), holds)
+
+    def near(bag: Column, n: Column) -> Column:
+        """The best template of a set of ``n`` bigrams, among those whose size permits a match."""
+        scores = [
+            F.when(
+                n.between(len(other) * threshold / (2 - threshold) - 1e-9, len(other) * (2 - threshold) / threshold + 1e-9),
+                F.struct(
+                    (2.0 * F.size(F.array_intersect(bag, F.array(*map(F.lit, other)))) / (n + len(other))).alias("dice"),
+                    F.lit(-place).alias("place"), F.lit(name).alias("licence"), n.cast("long").alias("n_bigrams"),
+                ),
+            )
+            for place, (name, other) in enumerate(bags.items())
+        ]
+        nothing = F.lit(None).cast("struct<dice:double,place:int,licence:string,n_bigrams:bigint>")
+        return F.array_max(F.array(*scores, nothing))
+
+    def judged(unit: Column) -> Column:
+        best = let(words_of(unit["body"]), lambda w: let(bigrams_of(w), lambda bag: let(F.size(bag), lambda n: near(bag, n))))
+        return F.struct(unit["scope"].alias("scope"), unit["line_no"].alias("line_no"), best.alias("best"))
 
     rows = documents.select(named(doc_id).alias("doc_id"), named(text).cast("string").alias("text")).where(hopeful(F.col("text")))
     lines = F.filter(
@@ -119,24 +153,10 @@ def scan(
         F.contains("text", F.lit("\n")),
         F.array(F.struct(F.lit("document").alias("scope"), F.lit(-1).cast("long").alias("line_no"), F.col("text").alias("body"))),
     ).otherwise(F.array().cast("array<struct<scope:string,line_no:bigint,body:string>>"))
-    units = rows.select("doc_id", F.explode(F.concat(lines, whole)).alias("u")).select("doc_id", "u.*")
-    # No two words are closer than two characters, so a short unit cannot have the bigrams; a long one is counted.
-    units = units.where(F.length("body") >= 2 * least).withColumn("words", words_of(F.col("body")))
-    units = units.withColumn("bag", bigrams_of(F.col("words"))).withColumn("n", F.size("bag")).where(F.col("n").between(least - 1e-9, most + 1e-9))
-    scores = [
-        F.when(
-            F.col("n").between(len(bag) * threshold / (2 - threshold) - 1e-9, len(bag) * (2 - threshold) / threshold + 1e-9),
-            F.struct(
-                (2.0 * F.size(F.array_intersect("bag", F.array(*map(F.lit, bag)))) / (F.col("n") + len(bag))).alias("dice"),
-                F.lit(-place).alias("place"), F.lit(name).alias("licence"),
-            ),
-        )
-        for place, (name, bag) in enumerate(bags.items())
-    ]
-    if not scores:
-        scores = [F.lit(None).cast("struct<dice:double,place:int,licence:string>")]
-    best = units.withColumn("best", F.array_max(F.array(*scores))).where(F.col("best.dice") >= threshold)
-    return best.select("doc_id", "scope", "line_no", F.col("best.licence").alias("licence"), F.col("best.dice").alias("dice"), F.col("n").cast("long").alias("n_bigrams"))
+    # Units are judged inside the generator's input, once each; only matches become rows.
+    found = F.filter(F.transform(F.concat(lines, whole), judged), lambda u: u["best"]["dice"] >= threshold)
+    best = rows.select("doc_id", F.explode(found).alias("u"))
+    return best.select("doc_id", "u.scope", "u.line_no", "u.best.licence", "u.best.dice", "u.best.n_bigrams")
 
 
 def quoted(value: str) -> str:
