@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from dossier.llm.common import free_names, materialise, named
 
+# White space that is not a single space already.
+SQUEEZED = r"[ \t\x0B\f\r]{2,}|[\t\x0B\f\r]"
 RATIO = 0.1
 MIN_PAGES = 5
 # Hosts and boilerplate lines that are broadcast at most (some 20 MB).
@@ -14,9 +16,8 @@ BROADCAST_ENTRIES = 1_000_000
 
 
 def line_key(line: Column) -> Column:
-    """What makes lines equal: white space trimmed and squeezed, A-Z lower-cased. Empty for a blank line."""
-    folded = F.translate(line, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.trim(F.regexp_replace(folded, r"[ \t\x0B\f\r]+", " "))
+    """What makes lines equal: white space trimmed and squeezed, letters lower-cased. Empty for a blank line."""
+    return F.trim(F.regexp_replace(F.lower(line), SQUEEZED, " "))
 
 
 # Steps from the markup of a page to its visible lines: pattern and what replaces it.
@@ -25,21 +26,19 @@ BLOCKS = (
     r"(?i)</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|footer|form|h[1-6]|head|header|hr|li|main|nav|ol|p|pre|section|"
     r"table|td|th|title|tr|ul)\b[^>]*>"
 )
-MARKUP = [(HIDDEN, " "), (r"[\r\n]+", " "), (BLOCKS, "\n"), (r"<[^>]*>", "")]
+MARKUP = [(HIDDEN, " "), (BLOCKS, "\n"), (r"<[^>]*>", "")]
 ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")]
-LAYOUT = [(r"[ \t]*\n[ \t]*", "\n"), (r"\n{2,}", "\n"), (r"^[ \t\n]+|[ \t\n]+$", "")]
+BLANK = r"\n[ \t\n]+"
 
 
 def html_lines(html: Column) -> Column:
     """The visible lines of a page as a text: scripts, styles and comments out, a line break at block tags."""
-    text = html
+    text = F.replace(F.replace(html, F.lit("\r"), F.lit(" ")), F.lit("\n"), F.lit(" "))
     for pattern, put in MARKUP:
         text = F.regexp_replace(text, pattern, put)
     for name, sign in ENTITIES:
         text = F.replace(text, F.lit(name), F.lit(sign))
-    for pattern, put in LAYOUT:
-        text = F.regexp_replace(text, pattern, put)
-    return text
+    return F.trim(F.regexp_replace(text, BLANK, "\n"), F.lit(" \t\n"))
 
 
 def boilerplate(pages: DataFrame, host: str, text: str, ratio: float, min_pages: int) -> DataFrame:
@@ -50,9 +49,8 @@ def boilerplate(pages: DataFrame, host: str, text: str, ratio: float, min_pages:
     hashes are shuffled, summed on the map side first, so a host with most of the pages is no hot task.
     """
     pages = pages.where(named(host).isNotNull()).select(named(host).alias("host"), named(text).alias("text"))
-    keys = F.filter(F.transform(F.split("text", "\n"), line_key), lambda k: k != "")
-    hashes = F.array_distinct(F.transform(keys, lambda k: F.xxhash64(k)))
-    lines = pages.select("host", F.explode(hashes).alias("line"))
+    hashes = F.array_distinct(F.transform(F.split("text", "\n"), lambda line: F.xxhash64(line_key(line))))
+    lines = pages.select("host", F.explode(hashes).alias("line")).where(F.col("line") != F.xxhash64(F.lit("")))
     counts = lines.groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
     totals = pages.groupBy("host").agg(F.count("*").alias("total"))
     over = counts.join(totals, "host").where(F.col("n") > F.lit(float(ratio)) * F.col("total"))
@@ -65,7 +63,7 @@ def drop_lines(
 ) -> DataFrame:
     """``pages`` without the lines that stand on more than ``ratio`` of their host's pages (and on ``min_pages`` or more).
 
-    Lines are equal when they agree but for white space and the case of A-Z. The remaining lines are joined as they
+    Lines are equal when they agree but for white space and the case of letters. The remaining lines are joined as they
     were. ``counts`` names two further columns: the lines of the page and those dropped.
 
     Null texts stay null (no lines), rows with a null host are kept whole and count for no host, blank lines are
@@ -80,17 +78,18 @@ def drop_lines(
     if held <= BROADCAST_ENTRIES:
         rules = F.broadcast(rules)  # else adaptive execution joins by host and splits the large ones
     joined = pages.join(rules, named(host) == named(key), "left")
-    lines = F.split(named(text), "\n")
-    kept = F.filter(lines, lambda line: (line_key(line) == "") | ~F.array_contains(named(bad), F.xxhash64(line_key(line))))
-    kept = F.when(named(bad).isNull(), lines).otherwise(kept)
+    # One pass over the lines of a page, and only where its host has rules; a blank line is never among them.
+    passed = F.filter(F.split(named(text), "\n"), lambda line: ~F.array_contains(named(bad), F.xxhash64(line_key(line))))
+    kept = F.transform(F.array(passed), lambda x: F.struct(F.array_join(x, "\n").alias("text"), F.size(x).cast("long").alias("n")))[0]
+    (out,) = free_names(joined, "kept")
+    result = joined.withColumn(out, F.when(named(bad).isNotNull() & named(text).isNotNull(), kept))
+    clean = F.when(named(bad).isNotNull() & named(text).isNotNull(), named(out)["text"]).otherwise(named(text))
     more = []
     if counts:
-        size = F.coalesce(F.size(lines), F.lit(0)).cast("long")
-        size = F.when(named(text).isNull(), F.lit(0).cast("long")).otherwise(size)
-        left = F.when(named(text).isNull(), F.lit(0).cast("long")).otherwise(F.size(kept).cast("long"))
-        more = [size.alias(counts[0]), (size - left).alias(counts[1])]
-    own = [F.array_join(kept, "\n").alias(c) if c == text else named(c) for c in columns]
-    return joined.select(*own, *more)
+        size = F.length(named(text)) - F.length(F.replace(named(text), F.lit("\n"), F.lit(""))) + 1
+        size = F.coalesce(size, F.lit(0)).cast("long")
+        more = [size.alias(counts[0]), F.coalesce(size - named(out)["n"], F.lit(0)).cast("long").alias(counts[1])]
+    return result.select(*[clean.alias(c) if c == text else named(c) for c in columns], *more)
 
 
 def recount(documents: DataFrame, text: str, count: str) -> DataFrame:
@@ -108,15 +107,13 @@ def pages_sql(ratio: float = RATIO, min_pages: int = MIN_PAGES) -> str:
     def text(value: str) -> str:
         return "'" + value.replace("'", "''") + "'" if "\n" not in value else "chr(10)"
 
-    page = "html"
+    page = "translate(html, chr(13) || chr(10), '  ')"
     for pattern, put in MARKUP:
         page = f"regexp_replace({page}, {text(pattern)}, {text(put)}, 'g')"
     for name, sign in ENTITIES:
         page = f"replace({page}, {text(name)}, {text(sign)})"
-    for pattern, put in LAYOUT:
-        page = f"regexp_replace({page}, {text(pattern)}, {text(put)}, 'g')"
-    low = "translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-    key = f"trim(regexp_replace({low}, '[ \\t\\x0B\\f\\r]+', ' ', 'g'))"
+    page = f"trim(regexp_replace({page}, '{BLANK}', chr(10), 'g'), ' ' || chr(9) || chr(10))"
+    key = f"trim(regexp_replace(lower(line), '{SQUEEZED}', ' ', 'g'), ' ')"
     return f"""
 with read as (
   select page_id, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)) as host, {page} as text, row_number() over () as r

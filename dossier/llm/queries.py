@@ -88,6 +88,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Visible text of every page without the boilerplate lines of its host."""
     pages = common.table(spark, sf_dir, "pages")
     rows = pages.select("page_id", common.host_of(F.col("url")).alias("host"), linededup.html_lines(F.col("html")).alias("text"))
+    rows = common.materialise(rows)  # read twice; the markup is read once
     return linededup.drop_lines(rows, counts=("n_lines", "n_dropped"))
 
 
