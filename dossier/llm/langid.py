@@ -212,13 +212,16 @@ def identify(documents: DataFrame, model: Model, text: str = "text", out: str =
     letter and all texts under a model without languages are ``und`` with score 0; equal rates go to the first
     language by name. Rows are independent, so repeated rows agree and nothing is shuffled.
     """
-    shared = documents.sparkSession.sparkContext.broadcast(model)
+    # Plain data only: broadcasts are pickled by reference to their classes, which executors need not have.
+    shared = documents.sparkSession.sparkContext.broadcast(vars(model))
     (column,) = free_names(documents, out)
 
     @F.pandas_udf("lang string, score double, phrase double")
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        own = Model.__new__(Model)
+        vars(own).update(shared.value)
         for batch in batches:
-            yield pd.DataFrame(shared.value.predict(list(batch)), columns=["lang", "score", "phrase"])
+            yield pd.DataFrame(own.predict(list(batch)), columns=["lang", "score", "phrase"])
 
     return documents.withColumn(column, predict(named(text)))
 

@@ -21,7 +21,7 @@ def line_key(line: Column) -> Column:
 
 
 # Steps from the markup of a page to its visible lines: pattern and what replaces it.
-HIDDEN = r"(?is)<(?:script|style)\b[^>]*>.*?</(?:script|style)[^>]*>|<!--.*?-->"
+HIDDEN = r"(?is)<(?:(?:script|style)\b[^>]*>.*?</(?:script|style)[^>]*>|!--.*?-->)"
 BLOCKS = (
     r"(?i)</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|footer|form|h[1-6]|head|header|hr|li|main|nav|ol|p|pre|section|"
     r"table|td|th|title|tr|ul)\b[^>]*>"
