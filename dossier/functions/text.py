@@ -41,8 +41,11 @@ def rstrip(text: Column) -> Column:
 
 
 def casefold(text: Column) -> Column:
-    """Lower case with the one full-folding rule that occurs in practice."""
-    return F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
+    """Lower case, with the letters whose full case folding is another than that."""
+    folded = F.lower(text)
+    for letter, fold in K.FOLDS:
+        folded = F.replace(folded, F.lit(letter), F.lit(fold))
+    return folded
 
 
 def words(text: Column) -> Column:

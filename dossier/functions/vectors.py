@@ -20,18 +20,17 @@ def bucket(token: Column, dimensions: int) -> Column:
 
 
 def _run_lengths(ordered: Column) -> Column:
-    """Distinct values of a sorted array with their counts, from first positions only."""
+    """Distinct values of a sorted array with their counts, in one pass over neighbours."""
+    starts = F.array_compact(F.transform(
+        ordered, lambda v, i: F.when((i == 0) | (F.get(ordered, F.greatest(i - 1, F.lit(0))) != v), i)
+    ))
     return let(
-        F.array_distinct(ordered),
-        lambda values: let(
-            F.transform(values, lambda v: F.array_position(ordered, v)),
-            lambda firsts: F.struct(
-                values.alias("idx"),
-                F.transform(
-                    firsts,
-                    lambda first, i: (F.coalesce(F.get(firsts, i + 1), F.size(ordered).cast("bigint") + 1) - first).cast("int"),
-                ).alias("cnt"),
-            ),
+        starts,
+        lambda firsts: F.struct(
+            F.transform(firsts, lambda first: F.get(ordered, first)).alias("idx"),
+            F.transform(
+                firsts, lambda first, i: (F.coalesce(F.get(firsts, i + 1), F.size(ordered)) - first).cast("int")
+            ).alias("cnt"),
         ),
     )
 

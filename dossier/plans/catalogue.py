@@ -84,10 +84,11 @@ def user_turns(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def every_question(spark: SparkSession, sf: str) -> DataFrame:
-    """Derived questions of all filings plus all user turns."""
+    """Derived questions of all filings, all user turns and all benchmark texts."""
     derived = X.all_questions(spark, sf).select(F.concat(F.lit("f"), F.col("question_id").cast("string")).alias("qid"), "question")
     turns = user_turns(spark, sf).select(F.format_string("c%d.%d", "conv_id", "turn").alias("qid"), "question")
-    return derived.unionByName(turns)
+    items = X.table(spark, sf, "benchmark").select(F.concat(F.lit("b"), F.col("item_id").cast("string")).alias("qid"), F.col("text").alias("question"))
+    return derived.unionByName(turns).unionByName(items)
 
 
 # ---- text -----------------------------------------------------------------------------------------

@@ -186,9 +186,14 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One question per filing with a document, from a rotation of templates."""
+    """One question per filing with a document, from a rotation of templates, and the benchmark's texts asked of filings."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("filing_key"))
-    return question_rows(filings(spark, sf_dir).join(docs, "filing_key"))
+    derived = question_rows(filings(spark, sf_dir).join(docs, "filing_key"))
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("item_text"))
+    asked = derived.join(items, F.col("question_id") == F.col("item_id")).withColumns(
+        {"question_id": -(F.col("item_id") + 1), "question": F.col("item_text")}
+    )
+    return derived.unionByName(asked.select(*derived.columns))
 
 
 def all_questions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -42,7 +42,10 @@ def rstrip(e: str) -> str:
 
 
 def fold(e: str) -> str:
-    return f"replace(lower({e}), 'ß', 'ss')"
+    folded = f"lower({e})"
+    for letter, other in K.FOLDS:
+        folded = f"replace({folded}, '{letter}', '{other}')"
+    return folded
 
 
 def words(e: str) -> str:
@@ -314,10 +317,14 @@ select filing_key as question_id, {QUESTION_TEXT} as question, accession_number,
   case when filing_key % 3 = 0 then cik end as cik, case when filing_key % 4 = 0 then form_type end as form_type,
   case when filing_key % 5 = 0 then fiscal_year end as fiscal_year, case when filing_key % 6 = 0 then fiscal_quarter end as fiscal_quarter,
   case when filing_key % 7 = 0 then 'risk_factors' end as section_type from x_filings"""
-VIEWS["x_questions"] = "select * from x_all_questions where question_id in (select doc_id from documents)"
+VIEWS["x_derived_questions"] = "select * from x_all_questions where question_id in (select doc_id from documents)"
+VIEWS["x_questions"] = """
+select * from x_derived_questions
+union all select -(item_id + 1) as question_id, text as question, d.* exclude (question_id, question) from x_derived_questions d join benchmark b on d.question_id = b.item_id"""
 VIEWS["x_every_question"] = """
 select 'f' || question_id as qid, question from x_all_questions
-union all select 'c' || conv_id || '.' || turn, text from conversations where role = 'user'"""
+union all select 'c' || conv_id || '.' || turn, text from conversations where role = 'user'
+union all select 'b' || item_id, text from benchmark"""
 
 
 def marker_views(name: str, source: str) -> None:
