@@ -29,7 +29,7 @@ from dossier.operators import retrieval as R
 from dossier.operators import snippets as S
 from dossier.operators import upserts as U
 from dossier.plans import corpus as X
-from dossier.session import durable
+from dossier.session import durable, temporary_path
 from dossier.sources import feeds, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -508,6 +508,20 @@ def replace_chunks(spark, sf):
     )
 
 
+@query
+def index_replace(spark, sf):
+    """A stored index to which filings of even key are added again, cut wider: the other filings keep their rows."""
+    sections = sections_of(spark, sf)
+    store = tables.TableStore(spark, temporary_path(spark, "store"), buckets=8)
+    first = R.build_index(P.cut_chunks(sections.where("filing_key % 3 <> 1"), MAX_TOKENS, OVERLAP))
+    again = R.build_index(P.cut_chunks(sections.where("filing_key % 2 = 0"), 2 * MAX_TOKENS, OVERLAP), hybrid=True)
+    for rows in (first, again):
+        store.replace("index", rows, rows.select("accession_number").distinct())
+    return store.read("index").select(
+        "accession_number", "chunk_id", long("token_count").alias("token_count"), F.col("sparse_vector").isNotNull().alias("sparse")
+    )
+
+
 @query
 def ordered_filings(spark, sf):
     """Annual filings newest first, numbered within each company."""
@@ -614,7 +628,7 @@ def compare_sections(spark, sf):
 def retrieved(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """Top-k hits of the derived questions with their text, and the questions."""
     index, questions = index_of(spark, sf), X.questions(spark, sf)
-    hits = R.fetch_hits(R.retrieve(questions, index, ()), index, ("text",))
+    hits = R.fetch_hits(R.retrieve(questions, index, ()), index, ("text", "section_name", "section_type"))
     return hits.join(questions.select("question_id", F.col("question").alias("query")), "question_id"), questions
 
 
@@ -840,10 +854,60 @@ def web_citations(spark, sf):
     return E.web_citations(sources).select("question_id", long("position").alias("position"), "chunk_id", "section_name", "section_type", "source_url", "snippet")
 
 
+@query
+def response_citations(spark, sf):
+    """Answer text and web citations of raw responses, one built from every page."""
+    url, key = F.col("url"), F.col("page_id")
+    kind = "array<struct<type: string, url: string, title: string, source: string>>"
+
+    def source(kind_: str, address: Column) -> Column:
+        title = F.when(key % 3 == 0, F.lit("")).otherwise(F.regexp_extract("url", r"//([^/]+)", 1))
+        return F.struct(F.lit(kind_).alias("type"), address.alias("url"), title.alias("title"), F.when(key % 2 == 0, F.lit("site")).alias("source"))
+
+    none = F.lit(None).cast("string")
+    search = F.struct(
+        F.lit("web_search_call").alias("type"), F.struct(F.array(source("url", url), source("url", url), source("url", none)).cast(kind).alias("sources")).alias("action"),
+        F.lit(None).cast(f"array<struct<type: string, text: string, annotations: {kind}>>").alias("content"),
+    )
+    cited = F.array(source("url_citation", F.concat(url, F.lit("#2"))), source("file", F.lit("x")), source("url_citation", url)).cast(kind)
+    parts = F.array(
+        F.struct(F.lit("output_text").alias("type"), F.concat(F.lit(" see "), url, F.lit(" ")).alias("text"), cited.alias("annotations")),
+        F.struct(F.lit("refusal").alias("type"), F.lit("no").alias("text"), F.lit(None).cast(kind).alias("annotations")),
+    )
+    message = F.struct(F.lit("message").alias("type"), F.lit(None).cast(f"struct<sources: {kind}>").alias("action"), parts.alias("content"))
+    response = F.struct(F.when(key % 5 == 0, F.lit(" said ")).alias("output_text"), F.array(search, message).alias("output"))
+    rows = X.table(spark, sf, "pages").select("page_id", response.alias("r"))
+    return rows.select("page_id", G.response_text(F.col("r")).alias("answer"), F.posexplode(E.response_citations(F.col("r.output"))).alias("pos", "c")).select(
+        "page_id", long("pos").alias("pos"), "answer", "c.chunk_id", "c.section_name", "c.section_type", "c.source_url"
+    )
+
+
+@query
+def external_scores(spark, sf):
+    """Scores of an external variant whose stored answers are the assistant's turns."""
+    turns = X.table(spark, sf, "conversations")
+    key = F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("."), F.col("turn").cast("string")).alias("question_id")
+    variant = F.lit("openai_web_search").alias("variant")
+    stored = turns.where("role = 'assistant'").select(key, variant, F.col("text").alias("answer"))
+    empty = F.array().cast("array<string>")
+    expected = F.struct(
+        (F.col("conv_id") % 3 != 0).alias("supported"), F.array(F.lit("THE"), F.lit("de")).alias("answer_keywords"), empty.alias("citation_chunk_ids"),
+        empty.alias("section_types"), empty.alias("xbrl_concepts"), *[F.lit(None).cast("string").alias(n) for n in ("numeric_value", "numeric_unit", "insufficient_reason")],
+    )
+    asked = turns.select(key, variant, F.col("text").alias("question"), F.lit(2024).alias("fiscal_year"), expected.alias("expected"))
+    predicted = E.external_predictions(asked, stored).withColumns({
+        "citations": F.lit(None).cast("array<struct<chunk_id: string, section_type: string, snippet: string>>"),
+        "numeric_grounding": F.lit(None).cast("struct<status: string, value: string, unit: string, concept: string>"), "latency_ms": F.lit(0.0),
+    }).withColumn("citations", F.coalesce("citations", F.array()))
+    names = ("answer_correct", "supported_match", "keyword_match", "refusal_match", "numeric_match", "error")
+    return E.score(predicted).select("question_id", *[F.round(n, 9).alias(n) for n in names])
+
+
 @query
 def context_prompts(spark, sf):
     hits, questions = retrieved(spark, sf)
-    excerpts = hits.select("question_id", "rank", "chunk_id", F.lit("section").alias("section"), "text")
+    section = F.coalesce(F.nullif(F.col("section_name"), F.lit("")), F.col("section_type"), F.lit("unknown section"))
+    excerpts = hits.select("question_id", "rank", "chunk_id", section.alias("section"), "text")
     return E.context_prompt(questions.withColumn("company", F.col("cik")), excerpts)
 
 

@@ -187,6 +187,9 @@ O.VIEWS["x_wide_source"] = "select * from x_sections where filing_key % 2 = 0"
 FINAL["replace_chunks"] = """
 select accession_number, chunk_id, token_count::bigint as token_count from x_chunks where filing_key % 2 = 1
 union all select accession_number, chunk_id, token_count::bigint from x_wide_chunks"""
+FINAL["index_replace"] = """
+select accession_number, chunk_id, token_count::bigint as token_count, false as sparse from x_chunks where filing_key % 2 = 1 and filing_key % 3 <> 1
+union all select accession_number, chunk_id, token_count::bigint, true from x_wide_chunks"""
 FINAL["ordered_filings"] = "select cik, accession_number, row_number() over (partition by cik order by filing_date desc, accession_number) as position from x_filings where form_type = '10-K'"
 FINAL["fact_selection"] = """
 select concept, cik, accession_number, value::decimal(20,2)::varchar as value, strftime(filed_date, '%Y-%m-%d') as filed_date from x_facts
@@ -342,8 +345,21 @@ _fy = "case when coalesce(fiscal_year, 0) <> 0 and coalesce(fiscal_quarter, 0) <
 _head = f"concat_ws({NL}, 'Question: ' || question, 'Accession number: ' || accession_number, 'Company: ' || cik, 'Form type: ' || form_type, 'Period: ' || ({_fy}))"
 FINAL["context_prompts"] = f"""
 select question_id, {O.strip(f"{_head} || {NL} || {NL} || 'Filing excerpts:' || {NL} || coalesce(body, 'No filing excerpts were retrieved.')")} as prompt
-from x_questions left join (select question_id, string_agg('[' || rank || '] ' || chunk_id || ' / section' || {NL} || {O.clip('text', K.EXCERPT_CHARS)} || {NL}, {NL} order by rank) as body
+from x_questions left join (select question_id, string_agg('[' || rank || '] ' || chunk_id || ' / ' || coalesce(nullif(section_name, ''), section_type, 'unknown section') || {NL} || {O.clip('text', K.EXCERPT_CHARS)} || {NL}, {NL} order by rank) as body
   from x_retrieved group by question_id) using (question_id)"""
+_shown = "coalesce(nullif(case when page_id % 3 = 0 then '' else regexp_extract(url, '//([^/]+)', 1) end, ''), case when page_id % 2 = 0 then 'site' end, address)"
+FINAL["response_citations"] = f"""
+select page_id, pos, case when page_id % 5 = 0 then 'said' else 'see ' || url end as answer, 'web:' || substr(sha1(address), 1, 12) as chunk_id,
+  {_shown} as section_name, 'web' as section_type, address as source_url
+from (select page_id, url, 0::bigint as pos, url as address from pages union all select page_id, url, 1::bigint, url || '#2' from pages)"""
+_context = "(coalesce(answer, 'OpenAI baseline failed to produce an answer.') || ' ')"
+FINAL["external_scores"] = f"""
+select question_id, case when failed = 1 then 0.0::double when not wanted then refusal_match when not supported then 0.0::double else (keyword_match = 1)::int::double end as answer_correct,
+  (supported = wanted)::int::double as supported_match, keyword_match, refusal_match, -1.0::double as numeric_match, failed as error
+from (select *, case when wanted then -1.0::double else (not supported)::int::double end as refusal_match from (
+  select 'c' || conv_id || '.' || turn as question_id, conv_id % 3 <> 0 as wanted, coalesce(trim(answer) <> '' and not {_refuses}, false) as supported,
+    (answer is null)::int::double as failed, (contains({O.fold(_context)}, 'the')::int + contains({O.fold(_context)}, 'de')::int) / 2.0::double as keyword_match
+  from (select *, case when role = 'assistant' then text end as answer from conversations)))"""
 _question = "replace(replace(replace(text, '\\', '\\\\'), '\"', '\\\"'), chr(10), '\\n')"
 FINAL["stored_answers"] = f"""
 select 'c' || conv_id || '.' || turn as question_id, coalesce(trim(answer) <> '' and not {_refuses}, false) as supported,

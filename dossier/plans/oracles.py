@@ -448,7 +448,7 @@ select question_id, chunk_id, fragment from (select *, row_number() over (partit
 select h.*, {clip('coalesce(b.fragment, h.text)', K.SNIPPET_CHARS)} as snippet from {hits} h left join {name}_best b using (question_id, chunk_id)"""
 
 
-VIEWS["x_retrieved"] = "select h.*, c.text, c.section_type, q.question as query from x_plain_hits h join x_chunks c using (chunk_id) join x_questions q using (question_id)"
+VIEWS["x_retrieved"] = "select h.*, c.text, c.section_type, c.section_name, q.question as query from x_plain_hits h join x_chunks c using (chunk_id) join x_questions q using (question_id)"
 snippet_views("x_ret", "x_retrieved")
 
 # ---- facts ---------------------------------------------------------------------------------------------

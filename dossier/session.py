@@ -63,6 +63,12 @@ def durable(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def temporary_path(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder, removed like an intermediate table."""
+    _WRITTEN.append(f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}")
+    return _WRITTEN[-1]
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder on whatever file system it is."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
