@@ -38,6 +38,22 @@ def ensure_shared(spark: SparkSession) -> None:
     context.setCheckpointDir(folder)
 
 
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 4 << 20
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """``df``, in a session that hands texts to Python a few megabytes at a time.
+
+    An executor holds several copies of a batch on both sides; 64 MB each, the default, would be most of a small
+    executor's memory outside the heap. Only the size of batches changes, never a result; a smaller setting is kept.
+    """
+    conf = df.sparkSession.conf
+    if df.sparkSession._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(conf.get(BATCH)) > BATCH_BYTES:
+        conf.set(BATCH, str(BATCH_BYTES))
+    return df
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Compute ``df`` once into the shared folder and cut its lineage there.
 

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dossier.llm.common import free_names, named, ship
+from dossier.llm.common import bounded_batches, free_names, named, ship
 
 ship(__name__)
 
@@ -106,18 +106,21 @@ def scan(text: str | None, vocabulary: dict, windows: dict, hashes: dict) -> tup
 
 
 def benchmark_sets(benchmark: DataFrame, item_id: str, text: str, words_per_set: int) -> Iterator[list[tuple[str, str | None]]]:
-    """The items in groups of at most ``words_per_set`` words (an item above the bound has a group of its own)."""
+    """The items in groups of at most ``words_per_set`` words (an item above the bound has a group of its own).
+
+    They come one partition after another, and only one group is held at a time. Without items there is one empty group.
+    """
     rows = benchmark.select(named(item_id).cast("string"), named(text)).where(named(text).isNotNull())
     group: list[tuple[str, str | None]] = []
-    held = 0
+    held, given = 0, False
     for key, value in rows.toLocalIterator():
         size = len(split_words(value))
         if group and held + size > words_per_set:
             yield group
-            group, held = [], 0
+            given, group, held = True, [], 0
         group.append((key, value))
         held += size
-    if group:
+    if group or not given:
         yield group
 
 
@@ -157,12 +160,11 @@ def find(
     Null or empty texts have no words and no hits. Null item texts and items without words have no windows; null item
     ids take part and are not listed. Repeated rows each get their own result. An empty benchmark hits nothing.
     """
-    sets = list(benchmark_sets(benchmark, item_id, item_text, words_per_set)) or [[]]
     (column,) = free_names(documents, out)
     context = documents.sparkSession.sparkContext
     parts = []
-    result = documents
-    for group in sets:
+    result = bounded_batches(documents)
+    for group in benchmark_sets(benchmark, item_id, item_text, words_per_set):
         (part,) = free_names(result, f"{column}_{len(parts)}")
         result = result.withColumn(part, matcher(context.broadcast(group), window)(named(text)))
         parts.append(part)

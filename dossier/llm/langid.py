@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dossier.llm.common import free_names, materialise, named, ship
+from dossier.llm.common import bounded_batches, free_names, materialise, named, ship
 
 ship(__name__)
 
@@ -223,7 +223,7 @@ def identify(documents: DataFrame, model: Model, text: str = "text", out: str =
         for batch in batches:
             yield pd.DataFrame(own.predict(list(batch)), columns=["lang", "score", "phrase"])
 
-    return documents.withColumn(column, predict(named(text)))
+    return bounded_batches(documents).withColumn(column, predict(named(text)))
 
 
 def keep_identified(documents: DataFrame, model: Model, text: str = "text", min_phrase: float = MIN_PHRASE) -> DataFrame:

@@ -6,7 +6,7 @@ import zlib
 import numpy as np
 from pyspark.sql import DataFrame
 
-from dossier.llm.common import free_names, named, ship
+from dossier.llm.common import bounded_batches, free_names, named, ship
 
 ship(__name__)
 
@@ -30,21 +30,27 @@ class Encoder:
 
     def __init__(self, tokenizer: str = TOKENIZER) -> None:
         import base64
+        import json
         import re
 
         import public_tokenizers
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.exact = Tokenizer.from_file(public_tokenizers.path(f"{tokenizer}.json"))
+        self.path = public_tokenizers.path(f"{tokenizer}.json")
+        self.exact = None
+        with open(self.path, encoding="utf-8") as described:
+            special = {t["content"]: t["id"] for t in json.load(described)["added_tokens"]}
         with open(public_tokenizers.path(f"{tokenizer}.tiktoken"), "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        special = {t.content: i for i, t in self.exact.get_added_tokens_decoder().items()}
         self.fast = tiktoken.Encoding(tokenizer, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
         self.run = re.compile(r"\S{%d}|\s{%d}" % (LONG_RUN, LONG_RUN))
 
     def __call__(self, text: str) -> np.ndarray:
         if self.run.search(text):
+            if self.exact is None:
+                from tokenizers import Tokenizer
+
+                self.exact = Tokenizer.from_file(self.path)
             return np.array(self.exact.encode(text, add_special_tokens=False).ids, np.uint32)
         return self.fast.encode_to_numpy(text, allowed_special="all")
 
@@ -91,7 +97,7 @@ def tokenise(
             yield pa.RecordBatch.from_arrays(columns, names)
 
     source = documents.select(named(doc_id).alias("doc_id"), named(text).cast("string").alias("text"))
-    return source.mapInArrow(cut, schema)
+    return bounded_batches(source).mapInArrow(cut, schema)
 
 
 def choose(lengths: np.ndarray, capacity: int, max_documents: int, max_attention: int, weights: tuple) -> tuple[np.ndarray, np.ndarray]:

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dossier.llm.common import free_names, named, ship
+from dossier.llm.common import bounded_batches, free_names, named, ship
 
 ship(__name__)
 
@@ -230,7 +230,7 @@ def detect(documents: DataFrame, text: str = "text", out: str = "pii") -> DataFr
             ]
             yield pd.DataFrame(rows, columns=["base", "added"])
 
-    return documents.withColumn(column, spans(named(text)))
+    return bounded_batches(documents).withColumn(column, spans(named(text)))
 
 
 def count(spans: Column, kind: str) -> Column:

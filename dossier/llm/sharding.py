@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dossier.llm.common import ensure_shared, free_names, named, ship
+from dossier.llm.common import bounded_batches, ensure_shared, free_names, named, ship
 
 ship(__name__)
 
@@ -65,7 +65,7 @@ def shuffle_buckets(records: DataFrame, path: str, text: str = "text", seed: int
         if held:
             yield from mixed(held, current)
 
-    dealt.mapInArrow(permute, schema).write.parquet(path)
+    bounded_batches(dealt).mapInArrow(permute, schema).write.parquet(path)
     return bucket, place
 
 

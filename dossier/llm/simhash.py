@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dossier.llm.common import components, free_names, materialise, named, ship
+from dossier.llm.common import bounded_batches, components, free_names, materialise, named, ship
 
 ship(__name__)
 
@@ -57,7 +57,7 @@ def with_fingerprint(documents: DataFrame, text: str = "text", out: str = "finge
         for batch in batches:
             yield pd.Series([fingerprint(text, words) for text in batch], dtype="int64")
 
-    return documents.withColumn(column, of(named(text)))
+    return bounded_batches(documents).withColumn(column, of(named(text)))
 
 
 def hexadecimal(fp: Column) -> Column:

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dossier.llm.common import components, materialise, named, ship
+from dossier.llm.common import bounded_batches, components, materialise, named, ship
 
 ship(__name__)
 
@@ -105,8 +105,13 @@ def tiles(classes: DataFrame, axes: np.ndarray, tile: int) -> DataFrame:
     total = rows.count()
     parts = max(1, -(-total // tile))
     cuts = sorted(set(rows.approxQuantile("place", [i / parts for i in range(1, parts)], min(0.01, 0.25 / parts)))) if parts > 1 else []
-    slab = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col("place"))) if cuts else F.lit(0)
-    rows = rows.withColumn("slab", slab)
+
+    @F.pandas_udf("int")
+    def slab(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield pd.Series(np.searchsorted(cuts, batch.to_numpy()).astype(np.int32))
+
+    rows = rows.withColumn("slab", slab("place"))
     counts = rows.groupBy("dim", "slab").agg(F.ceil(F.count("*") / tile).cast("int").alias("split"))
     rows = rows.join(F.broadcast(counts), ["dim", "slab"])  # a row per tile
     part = F.pmod(F.xxhash64("vec_id"), F.col("split"))
@@ -192,7 +197,7 @@ def compare(classes: DataFrame, threshold: float = COSINE, tile: int = TILE, sam
         total = np.concatenate([counts[linked].astype(np.int64), np.zeros(len(forest), np.int64)])
         return pd.DataFrame({"a": a, "b": b, "links": total})
 
-    return dealt.repartition("n1", "n2").sortWithinPartitions("n1", "n2").mapInPandas(link, "a long, b long, links long")
+    return bounded_batches(dealt).repartition("n1", "n2").sortWithinPartitions("n1", "n2").mapInPandas(link, "a long, b long, links long")
 
 
 def near_duplicates(
