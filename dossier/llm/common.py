@@ -82,8 +82,8 @@ def named(name: str) -> Column:
 
 
 def host_of(url: Column) -> Column:
-    """The lower-case host of an address; null for null, empty where the text has none."""
-    return F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
+    """The lower-case host of an address; null where there is none."""
+    return F.nullif(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -116,7 +116,7 @@ def pages_sql(ratio: float = RATIO, min_pages: int = MIN_PAGES) -> str:
     key = f"trim(regexp_replace(lower(line), '{SQUEEZED}', ' ', 'g'), ' ')"
     return f"""
 with read as (
-  select page_id, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)) as host, {page} as text, row_number() over () as r
+  select page_id, nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)), '') as host, {page} as text, row_number() over () as r
   from pages
 ),
 lines as (
