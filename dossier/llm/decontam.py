@@ -229,3 +229,28 @@ def remove(documents: DataFrame, benchmark: DataFrame, text: str = "text", mode:
 
     spans = F.when(contaminated(found), named(found)["hit_spans"])
     return checked.withColumn(text, cut(named(text), spans)).select(*map(named, columns))
+
+
+def sql(window: int = WINDOW) -> str:
+    """The digest of ``documents`` against ``benchmark`` in SQL, by all windows of either side."""
+    low = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    words = rf"regexp_extract_all(coalesce({low}, ''), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+    return f"""
+with items as (select item_id, w, least({window}, len(w)) as k from (select item_id, {words} as w from benchmark) where len(w) > 0),
+item_windows as (
+  select distinct item_id, k, array_to_string(w[i:i + k - 1], ' ') as win from (select item_id, w, k, unnest(range(1, len(w) - k + 2)) as i from items)
+),
+docs as (select doc_id, {words} as w from documents),
+doc_windows as (
+  select doc_id, k, i, array_to_string(w[i:i + k - 1], ' ') as win
+  from (select doc_id, w, k, unnest(range(1, len(w) - k + 2)) as i from docs cross join (select distinct k from items) where len(w) >= k)
+),
+hits as (select doc_id, k, i, item_id from doc_windows join item_windows using (k, win)),
+hit_words as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(i, i + k)) as p from hits) group by doc_id),
+hit_items as (
+  select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as listed
+  from (select distinct doc_id, item_id::varchar as item from hits where item_id is not null) group by doc_id
+)
+select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
+  sha256(coalesce(listed, '')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
+from docs left join hit_words using (doc_id) left join hit_items using (doc_id)"""

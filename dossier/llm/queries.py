@@ -105,4 +105,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_line_dedup": op10_line_dedup,
 }
 
-SQL: dict[str, str] = {"op5_licence_scan": licences.sql(), "op10_line_dedup": linededup.pages_sql()}
+SQL: dict[str, str] = {
+    "op5_licence_scan": licences.sql(),
+    "op6_embedding_dedup": vectors.sql(),
+    "op7_quotation_linking": quotes.sql(),
+    "op8_decontamination": decontam.sql(),
+    "op10_line_dedup": linededup.pages_sql(),
+}

@@ -120,3 +120,60 @@ def chains_of(replies: DataFrame) -> DataFrame:
         state = longer.drop("moved")
         if longer.where("moved").isEmpty():
             return state
+
+
+def sql() -> str:
+    """The same result over ``conversations`` in SQL, one row per line and with a recursive walk along the replies."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    attribution = ATTRIBUTION.replace("'", "''")
+
+    def folded(body: str) -> str:
+        return rf"trim(regexp_replace(translate({body}, '{upper}', '{lower}'), '[ \t\x0B\f\r\n]+', ' ', 'g'))"
+
+    return rf"""
+with recursive rows as (select *, row_number() over () as r from conversations),
+lines as (
+  select r, conv_id, turn, pos, regexp_replace(line, '{MARKS}', '') as body, length(regexp_replace(regexp_extract(line, '{MARKS}', 1), '[ \t]', '', 'g')) as level
+  from (select r, conv_id, turn, unnest(string_split(text, chr(10))) as line, unnest(range(len(string_split(text, chr(10))))) as pos from rows where text is not null)
+),
+marked as (select distinct r from lines where level > 0),
+kept as (
+  select * from (select *, coalesce(lead(level) over (partition by r order by pos), 0) as next_level from lines)
+  where not (r in (select r from marked) and level = 0 and next_level > 0 and regexp_matches(body, '{attribution}'))
+),
+runs as (
+  select r, conv_id, turn, level, min(pos) as pos, string_agg(body, chr(10) order by pos) as body
+  from (select *, row_number() over (partition by r order by pos) - row_number() over (partition by r, level order by pos) as g from kept) where level > 0
+  group by r, conv_id, turn, level, g
+),
+own as (
+  select r, regexp_replace(coalesce(string_agg(body, chr(10) order by pos) filter (level = 0), ''), '^[ \t\r\n]+|[ \t\r\n]+$', '', 'g') as body
+  from kept where r in (select r from marked) group by r
+),
+clean as (
+  select t.*, case when m.r is null then t.text else coalesce(o.body, '') end as own_text, m.r is not null as quoting
+  from rows t left join marked m using (r) left join own o using (r)
+),
+keys as (
+  select conv_id, {folded('part')} as k, min(turn) as first_turn from (
+    select conv_id, turn, own_text as part from clean
+    union all select conv_id, turn, unnest(string_split_regex(own_text, '\n[ \t]*\n')) from clean
+    union all select conv_id, turn, unnest(string_split(own_text, chr(10))) from clean
+  ) where conv_id is not null and turn is not null and {folded('part')} <> '' group by all
+),
+tries as (
+  select conv_id, turn, level, pos, 0 as rank, {folded('body')} as k from runs where {folded('body')} <> ''
+  union all select conv_id, turn, level, pos, 1, {folded('line')} from (select *, unnest(string_split(body, chr(10))) as line from runs) where {folded('line')} <> ''
+),
+replies as (
+  select conv_id, turn, arg_min(first_turn, (level, pos, rank, first_turn)) as reply_to
+  from tries join keys using (conv_id, k) where first_turn < turn group by conv_id, turn
+),
+walk(conv_id, turn, origin, depth) as (
+  select conv_id, turn, reply_to, 1 from replies
+  union all select w.conv_id, w.turn, p.reply_to, w.depth + 1 from walk w join replies p on p.conv_id = w.conv_id and p.turn = w.origin
+),
+chains as (select conv_id, turn, arg_max(origin, depth) as thread, max(depth) as depth from walk group by conv_id, turn)
+select c.conv_id, c.turn, c.role, c.own_text as text, p.reply_to, coalesce(h.thread, c.turn) as thread, coalesce(h.depth, 0)::bigint as depth,
+  (select count(*) from runs q where q.r = c.r) as n_quotes
+from clean c left join replies p on p.conv_id = c.conv_id and p.turn = c.turn left join chains h on h.conv_id = c.conv_id and h.turn = c.turn"""

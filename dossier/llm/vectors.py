@@ -229,3 +229,20 @@ def near_duplicates(
         "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"),
         F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"),
     )
+
+
+def sql(threshold: float = COSINE) -> str:
+    """The same result over ``embeddings`` in SQL, by all pairs."""
+    return f"""
+with recursive good as (
+  select vec_id, v, sqrt(list_inner_product(v, v)) as norm from (select vec_id, embedding::double[] as v from embeddings)
+  where v is not null and len(list_filter(v, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(v, lambda x: x <> 0)) > 0
+),
+links as (
+  select a.vec_id as a, b.vec_id as b from good a join good b on a.vec_id <> b.vec_id and len(a.v) = len(b.v)
+  where list_inner_product(a.v, b.v) / (a.norm * b.norm) >= {threshold}
+),
+reach(a, b) as (select vec_id, vec_id from embeddings union select r.a, l.b from reach r join links l on r.b = l.a)
+select e.vec_id, coalesce(n, 0)::bigint as n_links, c.component_id, e.vec_id = c.component_id as kept
+from embeddings e join (select a, min(b) as component_id from reach group by a) c on c.a = e.vec_id
+left join (select a, count(*) as n from links group by a) l on l.a = e.vec_id"""

@@ -23,8 +23,8 @@ def test_no_python_in_the_plan(spark, name):
     assert not re.search("Python|Pandas|Arrow", plan_of(entry.queries()[name](spark, SF)))
 
 
-@pytest.mark.parametrize("name", [n for n in NATIVE if n in entry.oracle_sql()])
-def test_native_query_equals_sql(spark, name):
+@pytest.mark.parametrize("name", [*NATIVE, "op6_embedding_dedup", "op8_decontamination"])
+def test_query_equals_sql(spark, name):
     sf = SF.replace("sf0.001", "sf0.01")
     ok, note = compare(spark, connect(sf), name, sf)
     assert ok, note
@@ -119,6 +119,19 @@ def test_quotations_lead_to_their_messages(spark):
     assert quotes.link(messages.where("turn = 5")).collect()[0].thread_ == 5
 
 
+def test_quotations_equal_sql(spark):
+    """The statement over conversations, on messages that do quote."""
+    import duckdb
+    import pandas as pd
+
+    rows = [(c, t, "user", text) for c, t, text in MAIL if (c, t) != ("d", 9)]
+    got = quotes.link(spark.createDataFrame(rows, "conv_id string, turn long, role string, text string"))
+    con = duckdb.connect()
+    con.register("conversations", pd.DataFrame(rows, columns=["conv_id", "turn", "role", "text"]).astype({"turn": "Int64"}))
+    want = con.execute(quotes.sql()).fetchall()
+    assert sorted(map(repr, want)) == sorted(repr(tuple(r)) for r in got.collect())
+
+
 def test_long_chains_and_hot_passages(spark):
     chain = [("c", i, f"> text number {i - 1}\ntext number {i}" if i else "text number 0") for i in range(70)]
     hot = [("h", i, "> the first\nanswer" if i else "the first") for i in range(300)]
