@@ -29,7 +29,7 @@ def py_lookup(question, filing, facts):
     ), 1):
         found = find(**wanted)
         if found:
-            best = min(found, key=lambda f: (CONCEPTS[metric].index(f["concept"]), -(f["filed_date"].toordinal() if f["filed_date"] else 0), -f["ingest_seq"]))
+            best = min(found, key=lambda f: (CONCEPTS[metric].index(f["concept"]), -(f["filed_date"].toordinal() if f["filed_date"] else 0), -f["ingest_seq"][-1]))
             return tier, best["source_key"]
     return None
 
@@ -45,7 +45,7 @@ def test_tiered_lookup_matches_nested_loops(spark):
         facts.append(dict(source_key=f"k{n}", cik=rng.choice("xy"), accession_number=rng.choice([None, f"a{rng.randrange(60)}"]),
                           concept=rng.choice(CONCEPTS["revenue"] + CONCEPTS["assets"]), label="l", unit="USD", value=Decimal(n),
                           fiscal_period=rng.choice(["FY", "Q1", "Q2", None]), fiscal_year=rng.choice([2023, 2024, None]), fiscal_quarter=rng.choice([1, 2, None]),
-                          form_type=rng.choice(["10-K", "10-Q", None]), filed_date=rng.choice([None, dt.date(2024, 1, rng.randint(1, 20))]), frame=None, ingest_seq=n))
+                          form_type=rng.choice(["10-K", "10-Q", None]), filed_date=rng.choice([None, dt.date(2024, 1, rng.randint(1, 20))]), frame=None, ingest_seq=[1, 0, 0, 0, n], filing_accession=None))
     expected = {}
     for i, filing in enumerate(filings):
         question = rng.choice(["revenue", "assets", "weather"])
