@@ -85,9 +85,9 @@ class TableStore:
         with intermediates(self.spark):
             rows = change(stored)
             staged = durable(rows.withColumn("bucket", self._bucket(F.col(self._key(name)))), name)
-            staged.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(
-                f"{self.root}/{name}"
-            )
+            # Buckets are gathered for few files; adaptive execution splits those that are large.
+            rows = staged.hint("rebalance", "bucket")
+            rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{self.root}/{name}")
             left = {row.bucket for row in staged.select("bucket").distinct().collect()}
         for bucket in touched:
             if bucket not in left:
