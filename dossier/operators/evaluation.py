@@ -207,12 +207,12 @@ def predict(
     external = F.col("variant").startswith(K.EXTERNAL_PREFIX)
     searched = rows.where((F.col("variant") != "closed_book") & ~external)
     answered = answering.answer(searched, filings, index, facts).withColumn("error", F.lit(None).cast("string"))
-    guarded = F.col("variant") == K.GUARDED_VARIANT
+    guarded = F.col("use_model")
     none = [F.lit(None).cast("string").alias(c) for c in ("answer_mode", "synthesis_status", "synthesis_reason")]
     names = [*answered.columns, "answer_mode", "synthesis_status", "synthesis_reason"]
     if stored is not None:
         key = F.concat_ws("|", "question_id", "variant")
-        candidates = stored.where(guarded).select(key.alias("question_id"), F.col("answer").alias("candidate_answer"))
+        candidates = stored.where(F.col("variant") == K.GUARDED_VARIANT).select(key.alias("question_id"), F.col("answer").alias("candidate_answer"))
         judged = answering.with_answer_mode(answered.where(guarded), candidates, model).select(*names)
         answered = answered.where(~guarded).select("*", *none).unionByName(judged)
     else:

@@ -177,17 +177,6 @@ def with_metadata(chunks: DataFrame, keys: Sequence[str] = METADATA_KEYS) -> Dat
     return chunks.withColumn("metadata", F.struct(*keys, *OVERLAY_KEYS))
 
 
-def parse_filings(
-    filings: DataFrame,
-    documents: DataFrame,
-    max_tokens: int = K.DEFAULT_MAX_TOKENS,
-    overlap_tokens: int = K.DEFAULT_OVERLAP_TOKENS,
-) -> tuple[DataFrame, DataFrame]:
-    """Sections and chunks of every filing that has a document (``accession_number, content``)."""
-    sections = detect_sections(with_text(filings.join(documents, "accession_number")))
-    return sections, cut_chunks(sections, max_tokens, overlap_tokens)
-
-
 def parse_counts(sections: DataFrame, chunks: DataFrame) -> DataFrame:
     """Sections and chunks created per filing; a filing whose text is empty still counts its section."""
     made = sections.groupBy("accession_number").agg(F.count("*").alias("sections_created"))

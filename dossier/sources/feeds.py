@@ -69,7 +69,7 @@ def document_key(cik: Column, accession_number: Column, primary_document: Column
 
 
 def normalize_companies(submissions: DataFrame) -> DataFrame:
-    """One company per payload; payloads without a usable identifier are dropped (see ``bad_identifiers``)."""
+    """One company per payload; payloads without a usable identifier are dropped."""
     cik = C.normalize_cik(F.col("cik"))
     name = F.coalesce(F.nullif(F.col("name"), F.lit("")), F.nullif(F.col("entityName"), F.lit("")), F.concat(F.lit("CIK "), cik))
     return submissions.select(
@@ -83,11 +83,6 @@ def normalize_companies(submissions: DataFrame) -> DataFrame:
     ).where(F.col("cik").isNotNull())
 
 
-def bad_identifiers(payloads: DataFrame) -> DataFrame:
-    """Payloads whose company identifier has no digits or more than ten."""
-    return payloads.where(C.normalize_cik(F.col("cik")).isNull())
-
-
 def transpose_recent(submissions: DataFrame, columns: Sequence[str] = RECENT) -> DataFrame:
     """Parallel arrays to rows; shorter arrays leave their missing cells null. Keeps source order in ``position``."""
     recent = F.col("filings.recent")
