@@ -44,16 +44,21 @@ def html_lines(html: Column) -> Column:
 def boilerplate(pages: DataFrame, host: str, text: str, ratio: float, min_pages: int) -> DataFrame:
     """Per host the hashes of its boilerplate lines: one row ``(host, hashes)``.
 
-    A page counts a line once. The number of such lines of a host is below the mean number of lines of its pages
-    divided by ``ratio``, so the list of a host is bounded by the pages' shape and not by their number. Only
-    hashes are shuffled, summed on the map side first, so a host with most of the pages is no hot task.
+    Pages of equal text count as one page of their host, else the lines of a page with many copies would all be over
+    the ratio; such a page counts a line once. The number of such lines of a host is below the mean number of lines of
+    its pages divided by ``ratio``, so the list of a host is bounded by the pages' shape and not by their number. Only
+    hashes are shuffled, copies met and lines summed on the map side first, so a host with most of the pages is no hot task.
     """
-    pages = pages.where(named(host).isNotNull()).select(named(host).alias("host"), named(text).alias("text"))
+    pages = pages.select(named(host).alias("host"), named(text).alias("text")).where(F.col("host").isNotNull())
     hashes = F.array_distinct(F.transform(F.split("text", "\n"), lambda line: F.xxhash64(line_key(line))))
-    lines = pages.select("host", F.explode(hashes).alias("line")).where(F.col("line") != F.xxhash64(F.lit("")))
-    counts = lines.groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
-    totals = pages.groupBy("host").agg(F.count("*").alias("total"))
-    over = counts.join(totals, "host").where(F.col("n") > F.lit(float(ratio)) * F.col("total"))
+    pages = pages.select("host", F.xxhash64("text").alias("page"), F.coalesce(hashes, F.array().cast("array<bigint>")).alias("lines"))
+    pages = pages.groupBy("host", "page").agg(F.first("lines").alias("lines"))
+    # The null line stands for the page itself.
+    lines = pages.select("host", F.explode(F.concat(F.array(F.lit(None).cast("bigint")), F.array_remove("lines", F.xxhash64(F.lit(""))))).alias("line"))
+    counts = lines.groupBy("host", "line").agg(F.count("*").alias("n"))
+    counts = materialise(counts.where(F.col("line").isNull() | (F.col("n") >= min_pages)))
+    totals = counts.where(F.col("line").isNull()).select("host", F.col("n").alias("total"))
+    over = counts.where(F.col("line").isNotNull()).join(totals, "host").where(F.col("n") > F.lit(float(ratio)) * F.col("total"))
     return over.groupBy("host").agg(F.collect_list("line").alias("hashes"))
 
 
@@ -67,7 +72,7 @@ def drop_lines(
     were. ``counts`` names two further columns: the lines of the page and those dropped.
 
     Null texts stay null (no lines), rows with a null host are kept whole and count for no host, blank lines are
-    never dropped. Repeated rows are pages of their own. All columns of ``pages`` are kept, in order; an empty table
+    never dropped. Copies of a text count as one page of their host, and all stay. All columns of ``pages`` are kept, in order; an empty table
     stays empty.
     """
     columns = pages.columns

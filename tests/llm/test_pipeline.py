@@ -273,6 +273,20 @@ def test_lines_of_a_site(spark):
     assert linededup.drop_lines(pages, ratio=0.99).where("text like 'own%'").count() == 0
 
 
+def test_copies_of_a_text_do_not_empty_it(spark):
+    hot = "\n".join(f"clean line {i}" for i in range(6))
+    rows = [(i, hot, "en", "big", 0) for i in range(40)] + [(100 + i, hot.upper(), "en", "few", 0) for i in range(5)]
+    rows += [(200 + i, f"Menu\nown words of {i}", "en", "big", 0) for i in range(80)] + [(300, "other", "en", "few", 0)]
+    docs = spark.createDataFrame(rows, DOCS)
+    found = {r.doc_id: r.text for r in corpus_pipeline.lines(spark, docs, SF).collect()}
+    assert found[0] == found[39] == hot and found[100] == found[104] == hot.upper() and found[207] == "own words of 7"
+    kept = {r.text for r in corpus_pipeline.near_duplicates(spark, corpus_pipeline.lines(spark, docs, SF), SF).collect()}
+    assert kept & {hot, hot.upper()} and "" not in kept
+    # A host of one page in many copies has no line that its pages share.
+    pages = docs.where("source = 'few' and doc_id < 300").select("doc_id", F.col("source").alias("host"), "text")
+    assert linededup.drop_lines(pages, counts=("n", "dropped")).where("dropped > 0").count() == 0
+
+
 def test_pipeline_runs_and_each_stage_keeps_its_columns(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     columns, before = docs.columns, docs.count()
