@@ -17,7 +17,7 @@ ship(__name__)
 TRAIN_TEXTS = 200
 EXCERPT = 256
 TRAIN_CHARS = 24_576
-LETTERS = 250  # distinct letters of the model; rarer ones are foreign to every language
+DENSE = 252  # symbols up to which the transitions are held as a full table; with more, as a hash table
 BLOCK = 2048  # a phrase ends at every multiple of so many characters of a text
 BATCH_CHARS = 2_000_000
 UNDETERMINED = "und"
@@ -53,8 +53,8 @@ def training_sample(
     return cut.withColumn("r", rank).where(F.col("r") <= chars // excerpt).drop("r")
 
 
-def automaton(symbols: list[int], width: int) -> np.ndarray:
-    """The transitions of the suffix automaton of a sequence: states x symbols, -1 where there is none."""
+def automaton(symbols: list[int]) -> list[dict[int, int]]:
+    """The transitions of the suffix automaton of a sequence, by state."""
     link, length, nxt = [-1], [0], [{}]
     last = 0
     for c in symbols:
@@ -80,18 +80,36 @@ def automaton(symbols: list[int], width: int) -> np.ndarray:
                     nxt[p][c] = clone
                     p = link[p]
         last = cur
-    table = np.full((len(nxt), width), -1, np.int64)
-    for state, arcs in enumerate(nxt):
-        for c, to in arcs.items():
-            table[state, c] = to
-    return table
+    return nxt
+
+
+def hash_table(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys (distinct, not negative) and values by slot of an open table of at least four slots a key; free slots have key -1."""
+    slots = 1 << max(4, int(4 * len(keys) - 1).bit_length())
+    held, to = np.full(slots, -1, np.int64), np.zeros(slots, np.int64)
+    at, left = slot_of(keys, slots), np.arange(len(keys))
+    while len(left):
+        free = held[at[left]] < 0
+        held[at[left[free]]] = keys[left[free]]  # of several keys for a slot the last one gets it
+        placed = held[at[left]] == keys[left]
+        to[at[left[placed]]] = values[left[placed]]
+        left = left[~placed]
+        at[left] = (at[left] + 1) & (slots - 1)
+    return held, to
+
+
+def slot_of(keys: np.ndarray, slots: int) -> np.ndarray:
+    mixed = keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return (mixed >> np.uint64(65 - slots.bit_length())).astype(np.int64)
 
 
 class Model:
-    """Parsing tables of all languages in one array.
+    """Parsing tables of all languages, over all letters of the sample (which bounds their number).
 
-    An entry is twice the offset of the next state's row, plus 1 where a phrase starts with the symbol (at the
-    root, or where the longest match is over). A symbol that occurs nowhere in the language is a phrase of its own.
+    With few letters they are one array: an entry is twice the offset of the next state's row, plus 1 where a phrase
+    starts with the symbol (at the root, or where the longest match is over). With many letters the transitions are a
+    hash table by state and symbol, and what it does not hold starts a phrase. A symbol that occurs nowhere in the
+    language is a phrase of its own.
     """
 
     def __init__(self, excerpts: dict[str, list[str]]) -> None:
@@ -101,18 +119,30 @@ class Model:
             for ch in "".join(parts).lower():
                 if ch.isalpha():
                     counts[ch] = counts.get(ch, 0) + 1
-        letters = sorted(sorted(counts), key=lambda ch: -counts[ch])[:LETTERS]
+        letters = sorted(sorted(counts), key=lambda ch: -counts[ch])
         self.width = FIRST + len(letters)
-        self.codes = np.zeros(0x110000, np.uint8)
+        self.codes = np.zeros(0x110000, np.uint8 if self.width <= 256 else np.uint32)
         self.codes[[c for c in range(0x110000) if chr(c).isalpha()]] = FOREIGN
         for i, ch in enumerate(letters):
             self.codes[ord(ch)] = FIRST + i
-        tables, self.roots, self.scale, base = [], [], [], 0
+        self.roots, self.scale = [], []
+        found = []
         for lang in self.langs:
             joined: list[int] = []
             for part in excerpts[lang]:
                 joined += [*self.symbols(part).tolist(), FOREIGN]  # no phrase runs across excerpts
-            arcs = automaton(joined, self.width)
+            found.append(automaton(joined))
+            self.scale.append(np.log2(max(2, len(joined))))
+        self.sparse = self.width > DENSE
+        (self._hashed if self.sparse else self._tabled)(found)
+
+    def _tabled(self, found: list[list[dict[int, int]]]) -> None:
+        tables, base = [], 0
+        for nxt in found:
+            arcs = np.full((len(nxt), self.width), -1, np.int64)
+            for state, out in enumerate(nxt):
+                for c, to in out.items():
+                    arcs[state, c] = to
             arcs[:, FOREIGN] = -1
             offsets = np.where(arcs >= 0, (arcs * self.width + base) * 2, -1)
             start = np.where(arcs[0] >= 0, offsets[0] + 1, base * 2 + 1)
@@ -120,11 +150,42 @@ class Model:
             offsets[0] = start
             tables.append(offsets.reshape(-1))
             self.roots.append(base)
-            self.scale.append(np.log2(max(2, len(joined))))
             base += arcs.size
         kind = np.int32 if base < 1 << 30 else np.int64
         self.table = np.concatenate(tables).astype(kind) if tables else np.zeros(0, kind)
 
+    def _hashed(self, found: list[list[dict[int, int]]]) -> None:
+        keys: list[int] = []
+        values: list[int] = []
+        base = 0
+        self.starts = np.zeros((len(found), self.width), np.int64)
+        for row, nxt in enumerate(found):
+            self.roots.append(base)
+            self.starts[row] = base
+            for c, to in nxt[0].items():
+                if c != FOREIGN:
+                    self.starts[row, c] = base + to
+            for state, out in enumerate(nxt[1:], 1):
+                for c, to in out.items():
+                    if c != FOREIGN:
+                        keys.append((base + state) * self.width + c)
+                        values.append(base + to)
+            base += len(nxt)
+        self.held, self.to = hash_table(np.array(keys, np.int64), np.array(values, np.int64))
+
+    def moved(self, state: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The next states (languages x lanes) by the hash table, and where a phrase starts."""
+        keys = (state * self.width + symbols).reshape(-1)
+        at = slot_of(keys, len(self.held))
+        seen = self.held[at]
+        todo = np.flatnonzero((seen != keys) & (seen >= 0))
+        while len(todo):
+            at[todo] = (at[todo] + 1) & (len(self.held) - 1)
+            seen[todo] = self.held[at[todo]]
+            todo = todo[(seen[todo] != keys[todo]) & (seen[todo] >= 0)]
+        starts = (seen != keys).reshape(state.shape)
+        return np.where(starts, self.starts[:, symbols], self.to[at].reshape(state.shape)), starts
+
     def symbols(self, text: str) -> np.ndarray:
         """Symbols of a lower-cased text; all that is no letter is space, runs of it squeezed."""
         codes = self.codes[np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)]
@@ -151,12 +212,16 @@ class Model:
         lanes = np.zeros((sizes[0], len(blocks)), np.int32)
         for lane, i in enumerate(order):
             lanes[:sizes[lane], lane] = blocks[i]
-        roots = np.array(self.roots, self.table.dtype)[:, None]
+        roots = np.array(self.roots, np.int64 if self.sparse else self.table.dtype)[:, None]
         state = np.repeat(roots, len(blocks), axis=1)
         count = np.zeros(state.shape, np.int32)
         live = np.searchsorted(-sizes, -np.arange(sizes[0]), side="left")  # lanes longer than each step
         for step in range(sizes[0]):
             n = live[step]
+            if self.sparse:
+                state[:, :n], starts = self.moved(state[:, :n], lanes[step, :n])
+                count[:, :n] += starts
+                continue
             moved = self.table[state[:, :n] + lanes[step, :n]]
             count[:, :n] += moved & 1
             state[:, :n] = moved >> 1

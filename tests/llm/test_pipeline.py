@@ -243,6 +243,35 @@ def test_parsing_equals_greedy_longest_matches():
         assert [int(c) for c in row] == [greedy(text, excerpts[name]) for name in model.langs]
 
 
+def test_parsing_with_any_number_of_letters_equals_greedy_matches(monkeypatch):
+    import random
+
+    rng = random.Random(3)
+    han = [chr(0x4E00 + i) for i in range(700)]
+    excerpts = {"zh": ["".join(rng.choices(han, k=150)) for _ in range(8)], "en": ["the cat sat on the mat", "a hat"]}
+    texts = [excerpts["zh"][2][20:90] + excerpts["zh"][5][:40], "the hat sat", "".join(rng.choices(han, k=80)), "", excerpts["zh"][0][:30] + " cat"]
+    for dense in (0, langid.DENSE, 10**6):
+        monkeypatch.setattr(langid, "DENSE", dense)
+        model = langid.Model(excerpts)
+        assert model.sparse == (dense < 10**6)
+        for text, row in zip(texts, model.phrases([model.symbols(t) for t in texts])):
+            assert [int(c) for c in row] == [greedy(text, excerpts[name]) for name in model.langs]
+
+
+def test_a_language_of_many_letters_is_kept(spark):
+    import random
+
+    rng = random.Random(5)
+    words = ["".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(2)) for _ in range(1500)]
+    rows = [(i, "".join(rng.choices(words, k=120)), "zh") for i in range(120)]
+    rows += [(1000 + i, "the cat and the dog of the house " * (i + 2), "en") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs.where(langid.training_rows(docs)))
+    kept = {r.doc_id for r in langid.keep_identified(docs, model).collect()}
+    assert kept == {r[0] for r in rows}
+    assert langid.identify(docs, model).where("language.lang <> lang").count() == 0
+
+
 def test_language_edges(spark):
     rows = [(1, "the cat and the dog of the house", "en"), (2, "la maison et le chat de la rue", "fr"), (3, None, "en"), (4, "", None),
             (5, "123 --- 456", "en"), (None, "the dog", "en"), (6, "the cat", None), (1, "the cat and the dog of the house", "en"), (7, "the cat " * 9000, None)]
