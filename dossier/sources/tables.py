@@ -44,7 +44,8 @@ class TableStore:
 
     def _stored(self, name: str) -> DataFrame | None:
         try:
-            return self.spark.read.parquet(f"{self.root}/{name}")
+            # Buckets of an index differ where some were written with sparse vectors and some without.
+            return self.spark.read.option("mergeSchema", "true").parquet(f"{self.root}/{name}")
         except AnalysisException:
             return None
 

@@ -235,6 +235,23 @@ def test_index_keeps_other_filings(store):
     assert sorted(found[0]) == sorted(found[1]) and len(found[0]) == 3
 
 
+def test_buckets_with_and_without_sparse_vectors(spark, tmp_path):
+    dense = spark.createDataFrame([(f"f{i}", f"f{i}-c", 1) for i in range(40)], "accession_number string, chunk_id string, token_count int")
+    sparse = dense.withColumn("sparse_vector", F.array(F.lit(1.5)))
+    where = {r.accession_number: r.bucket for r in dense.select("accession_number", TableStore(spark, str(tmp_path), buckets=4)._bucket(F.col("accession_number")).alias("bucket")).collect()}
+    for bucket in range(4):
+        # Only one bucket is rewritten with the column; whichever file gives the schema, it is read and kept.
+        fresh = TableStore(spark, str(tmp_path / str(bucket)), buckets=4)
+        fresh.replace("index", dense, dense.select("accession_number"))
+        first, second, *_ = sorted(k for k, b in where.items() if b == bucket)
+        some = sparse.where(F.col("accession_number") == first)
+        fresh.replace("index", some, some.select("accession_number"))
+        some = dense.where(F.col("accession_number") == second)
+        fresh.replace("index", some, some.select("accession_number"))
+        held = {r.accession_number: r.sparse_vector for r in fresh.read("index").collect()}
+        assert held == {k: [1.5] if k == first else None for k in where}
+
+
 def test_retrieval_has_no_greatest_number(store):
     chunks = store.read("chunks", accession_number=A24).count()
     question = service.question_table(store, A24, "supply chains", 50, None)
