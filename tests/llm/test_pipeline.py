@@ -316,6 +316,31 @@ def test_copies_of_a_text_do_not_empty_it(spark):
     assert linededup.drop_lines(pages, counts=("n", "dropped")).where("dropped > 0").count() == 0
 
 
+def jaccard(a, b):
+    a, b = ({tuple(t.split()[i:i + 5]) for i in range(len(t.split()) - 4)} for t in (a, b))
+    return len(a & b) / len(a | b)
+
+
+def test_near_copies_at_a_similarity_of_0_8_go(spark):
+    import random
+
+    rng = random.Random(11)
+    texts = {}
+    for i in range(30):
+        words = [f"w{rng.randrange(5000)}" for _ in range(200)]
+        texts[i] = " ".join(words)
+        for at in (rng.sample(range(10, 190, 20), 4) if i % 2 else range(10, 190, 20)):  # J 0.81 or more, and far below 0.8
+            words[at] = "changed"
+        texts[100 + i] = " ".join(words)
+    alike = {i for i in range(30) if jaccard(texts[i], texts[100 + i]) >= 0.8}
+    assert alike == set(range(1, 30, 2))
+    # One group of near copies larger than a bucket.
+    texts.update({1000 + i: texts[1] + f" end{i}" for i in range(40)})
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in texts.items()], DOCS)
+    kept = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()}
+    assert kept == set(range(30)) | {100 + i for i in range(30) if i not in alike}
+
+
 def test_pipeline_runs_and_each_stage_keeps_its_columns(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     columns, before = docs.columns, docs.count()
