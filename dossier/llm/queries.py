@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dossier.llm import common, decontam, langid, licences, linededup, packing, pii, quotes, sharding, simhash, vectors
+from dossier.llm import (
+    common, decontam, infill, langid, licences, linededup, packing, pii, quotes, sharding, simhash, turnfix, vectors, voronoi,
+)
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,6 +94,28 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.drop_lines(rows, counts=("n_lines", "n_dropped"))
 
 
+def op11_voronoi_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five vectors of greatest integer inner product with every fiftieth vector."""
+    vectors_ = common.table(spark, sf_dir, "embeddings")
+    return voronoi.top_k(vectors_, F.col("vec_id") % 50 == 0, k=5)
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults and cheapest repair of every conversation after reproducible damage."""
+    conversations = common.table(spark, sf_dir, "conversations")
+    return turnfix.audit(turnfix.damage(conversations), every=conversations)
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document cut in three and rearranged; the digests are taken from the output and from the text rebuilt of it."""
+    found = infill.transform(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
+    output, form = F.col("infill.output"), F.col("infill.form")
+    return found.select(
+        "doc_id", "infill.n", "infill.form", "infill.prefix_chars", "infill.middle_chars", F.sha2(output, 256).alias("output_sha256"),
+        F.sha2(infill.restored(output, form), 256).alias("restored_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_sharding": op2_sharding,
@@ -103,6 +127,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_line_dedup": op10_line_dedup,
+    "op11_voronoi_topk": op11_voronoi_topk,
+    "op12_conversation_repair": op12_conversation_repair,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
 
 SQL: dict[str, str] = {
@@ -111,4 +138,7 @@ SQL: dict[str, str] = {
     "op7_quotation_linking": quotes.sql(),
     "op8_decontamination": decontam.sql(),
     "op10_line_dedup": linededup.pages_sql(),
+    "op11_voronoi_topk": voronoi.sql(),
+    "op12_conversation_repair": turnfix.sql(),
+    "op13_fill_in_middle": infill.sql(),
 }

@@ -24,4 +24,4 @@ def test_queries_run_without_the_package_on_the_executors(tmp_path):
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     script = SCRIPT.format(repo=repo, shared=str(tmp_path / "shared"), sf=SF)
     run = subprocess.run([sys.executable, "-c", script], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=600)
-    assert run.stdout.count("ran ") == 11, run.stdout + run.stderr[-3000:]
+    assert run.stdout.count("ran ") == 14, run.stdout + run.stderr[-3000:]
