@@ -289,3 +289,82 @@ def test_clusters_spare_work_and_bounds_hold():
         assert (real[:, place == c].max(axis=1) <= bounds[:, c]).all()
     assert (np.sort(real, axis=1)[:, -6] >= least).all()
     assert cells.needed(queries, 6).mean() < 0.2
+
+
+# --- near copies ---
+
+
+def random_sets(rng, n):
+    """Shingle sets and the pairs of them at 0.8 or more."""
+    from dossier.llm import minhash
+
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(120)) for _ in range(n)]
+    for i in range(0, n, 2):
+        words = texts[i].split()
+        for at in rng.sample(range(10, 110), 2):
+            words[at] = "changed"
+        texts[i + 1] = " ".join(words)
+    return [minhash.shingles(t) for t in texts]
+
+
+def test_all_links_of_a_hot_bucket_are_found(spark):
+    from dossier.llm import minhash
+
+    rng = random.Random(8)
+    sets = random_sets(rng, 200)
+    factors = minhash.multipliers()
+    rows = [(i, s.tobytes(), minhash.sketch(minhash.least(s, factors))) for i, s in enumerate(sets)]
+    arrays = spark.createDataFrame(rows, "node long, hashes binary, sketch binary")
+    members = spark.createDataFrame([(7, i) for i in range(200)], "value long, node long")
+    for part in (512, 40):
+        rooted = {r.node: r.root for r in minhash.links(minhash.shared_buckets(members), arrays, part=part).collect()}
+        assert rooted == {i: i - i % 2 for i in range(200)}
+
+
+def test_near_copies_equal_brute_force_and_edges(spark):
+    from dossier.llm import minhash
+
+    rng = random.Random(9)
+    template = [f"t{i}" for i in range(120)]
+    texts = []
+    for i in range(80):  # a hot template in all of them, half of each text
+        own = [f"o{i}x{j}" for j in range(60)]
+        texts.append(" ".join(template + own))
+        if i % 4 == 0:
+            own[rng.randrange(60)] = "other"
+            texts.append(" ".join(template + own))
+    base = [f"b{rng.randrange(9999)}" for _ in range(300)]
+    for _ in range(40):
+        texts.append(" ".join(base[:-1] + [f"end{rng.random()}"]))
+    texts += [None, "", "  ", "one two", "ONE  two", "long " + "word " * 60_000]
+    rows = [(i, t, i, "x", 1.0) for i, t in enumerate(texts)] + [(None, texts[0], -1, "y", 2.0), (3, texts[3], 3, "x", 1.0), (None, "only nulls here", 5, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, kd long, NODE string, kt double")
+    sets = [set(minhash.shingles(r[1]).tolist()) for r in rows]
+    group = list(range(len(rows)))
+
+    def find(i):
+        return i if group[i] == i else find(group[i])
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                group[find(i)] = find(j)
+    best = {}
+    for i, r in enumerate(rows):
+        best.setdefault(find(i), []).append((r[0] is None, r[0] or 0))
+    want = sorted(min(v) for v in best.values())
+    kept = minhash.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect()) == want
+    assert minhash.keep_one(docs.where("1 = 0")).count() == 0 and minhash.same_texts(docs.where("1 = 0")).count() == 0
+
+
+def test_a_hot_group_of_near_copies_keeps_its_lines(spark):
+    import corpus_pipeline
+
+    lines = [f"clean line {i} of this text and some more words" for i in range(20)]
+    rows = [(i, "\n".join([*lines, f"its own end {i}"]), "en", "big", 0) for i in range(40)]
+    rows += [(200 + i, "Menu\n" + f"own words of {i}", "en", "big", 0) for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    found = {r.doc_id: r.text for r in corpus_pipeline.lines(spark, docs, "").collect()}
+    assert found == {i: t.replace("Menu\n", "") for i, t, *_ in rows}
