@@ -41,27 +41,26 @@ def html_lines(html: Column) -> Column:
     return F.trim(F.regexp_replace(text, BLANK, "\n"), F.lit(" \t\n"))
 
 
-def boilerplate(pages: DataFrame, host: str, text: str, ratio: float, min_pages: int, alike: DataFrame | None = None) -> DataFrame:
+def boilerplate(pages: DataFrame, host: str, text: str, ratio: float, min_pages: int, merge: bool = False) -> DataFrame:
     """Per host the hashes of its boilerplate lines: one row ``(host, hashes)``.
 
     Pages of equal text count as one page of their host, else the lines of a page with many copies would all be over
-    the ratio; such a page counts a line once. The number of such lines of a host is below the mean number of lines of
-    its pages divided by ``ratio``, so the list of a host is bounded by the pages' shape and not by their number. Only
-    hashes are shuffled, copies met and lines summed on the map side first, so a host with most of the pages is no hot task.
-    Texts that ``alike`` puts into one group are one page too, with all their lines.
+    the ratio; such a page counts a line once. With ``merge``, pages whose least line hash agrees count as one page too,
+    the one of least text hash: near copies agree where the least line is one that they share, other pages only where it is a
+    line of the site. The number of such lines of a host is below the mean number of lines of its pages divided by
+    ``ratio``, so the list of a host is bounded by the pages' shape and not by their number. Only hashes are shuffled, copies met
+    and lines summed on the map side first, so a host with most of the pages is no hot task.
     """
     pages = pages.select(named(host).alias("host"), named(text).alias("text")).where(F.col("host").isNotNull())
     hashes = F.array_distinct(F.transform(F.split("text", "\n"), lambda line: F.xxhash64(line_key(line))))
     pages = pages.select("host", F.xxhash64("text").alias("page"), F.coalesce(hashes, F.array().cast("array<bigint>")).alias("lines"))
-    pages = pages.groupBy("host", "page").agg(F.first("lines").alias("lines"))
-    # The null line stands for the page itself.
-    every = F.explode(F.concat(F.array(F.lit(None).cast("bigint")), F.array_remove("lines", F.xxhash64(F.lit(""))))).alias("line")
-    if alike is None:
-        lines = pages.select("host", every)
+    pages = pages.select("host", "page", F.array_remove("lines", F.xxhash64(F.lit(""))).alias("lines"))
+    if merge:
+        pages = pages.groupBy("host", F.array_min("lines").alias("least")).agg(F.min_by("lines", "page").alias("lines"))
     else:
-        pages = materialise(pages.join(alike, "page", "left"))
-        group = pages.where("same is not null").select("host", "same", every).distinct()
-        lines = pages.where("same is null").select("host", every).union(group.select("host", "line"))
+        pages = pages.groupBy("host", "page").agg(F.first("lines").alias("lines"))
+    # The null line stands for the page itself.
+    lines = pages.select("host", F.explode(F.concat(F.array(F.lit(None).cast("bigint")), "lines")).alias("line"))
     counts = lines.groupBy("host", "line").agg(F.count("*").alias("n"))
     counts = materialise(counts.where(F.col("line").isNull() | (F.col("n") >= min_pages)))
     totals = counts.where(F.col("line").isNull()).select("host", F.col("n").alias("total"))
@@ -71,7 +70,7 @@ def boilerplate(pages: DataFrame, host: str, text: str, ratio: float, min_pages:
 
 def drop_lines(
     pages: DataFrame, host: str = "host", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES,
-    counts: tuple[str, str] | None = None, alike: DataFrame | None = None,
+    counts: tuple[str, str] | None = None, merge: bool = False,
 ) -> DataFrame:
     """``pages`` without the lines that stand on more than ``ratio`` of their host's pages (and on ``min_pages`` or more).
 
@@ -79,13 +78,12 @@ def drop_lines(
     were. ``counts`` names two further columns: the lines of the page and those dropped.
 
     Null texts stay null (no lines), rows with a null host are kept whole and count for no host, blank lines are
-    never dropped. Copies of a text count as one page of their host, and all stay; so do the near copies that ``alike`` names, as
-    rows ``(page, same)`` of the text's ``xxhash64`` and its group. All columns of ``pages`` are kept, in order; an empty table
+    never dropped. Copies of a text count as one page of their host, and all stay; ``merge`` also counts near copies as one page, most of them. All columns of ``pages`` are kept, in order; an empty table
     stays empty.
     """
     columns = pages.columns
     key, bad = free_names(pages, "rule_host", "rule_hashes")
-    rules = boilerplate(pages, host, text, ratio, min_pages, alike).select(F.col("host").alias(key), F.col("hashes").alias(bad))
+    rules = boilerplate(pages, host, text, ratio, min_pages, merge).select(F.col("host").alias(key), F.col("hashes").alias(bad))
     rules = materialise(rules)
     held = rules.agg(F.count("*") + F.coalesce(F.sum(F.size(named(bad))), F.lit(0))).first()[0]
     if held <= BROADCAST_ENTRIES:

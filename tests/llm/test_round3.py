@@ -313,14 +313,35 @@ def test_all_links_of_a_hot_bucket_are_found(spark):
     rng = random.Random(8)
     sets = random_sets(rng, 200)
     factors = minhash.multipliers()
-    rows = [(i, s.tobytes(), minhash.sketch(minhash.least(s, factors))) for i, s in enumerate(sets)]
-    arrays = spark.createDataFrame(rows, "node long, hashes binary, sketch binary")
-    members = spark.createDataFrame([(7, i) for i in range(200)], "value long, node long")
+    rows = [(i, [7] + [1000 * i + b for b in range(23)], s.tobytes(), minhash.sketch(minhash.least(s, factors))) for i, s in enumerate(sets)]
+    arrays = spark.createDataFrame(rows, "node long, bands array<long>, hashes binary, sketch binary")
+    members = spark.createDataFrame([(0, 7, i) for i in range(200)], "band int, value long, node long")
     for part in (512, 40):
         rooted = {r.node: r.root for r in minhash.links(minhash.shared_buckets(members), arrays, part=part).collect()}
         assert rooted == {i: i - i % 2 for i in range(200)}
 
 
+def test_shingle_hashes_tell_runs_of_words_apart():
+    from dossier.llm import minhash
+
+    rng = random.Random(10)
+    words = ["a", "b", "ab", "ba", "é", "字", "A", "x" * 3000]
+    hasher, seen = minhash.Hasher(), {}
+    for _ in range(300):
+        tokens = [rng.choice(words) for _ in range(rng.randint(0, 30))]
+        text = "".join(t + rng.choice([" ", "\n", "  \t"]) for t in tokens)
+        low = [t.encode().lower() for t in tokens]
+        runs = {tuple(low[i:i + 5]) for i in range(max(1, len(low) - 4))} if low else set()
+        found = hasher(text)
+        assert len(found) == len(runs)
+        for run in runs:
+            one = hasher(b" ".join(run).decode())
+            assert len(one) == 1 and seen.setdefault(int(one[0]), run) == run
+            assert len(run) < 5 or one[0] in found
+    long = "one two three four five six seven " * 400_000
+    assert len(hasher(long)) == 7
+
+
 def test_near_copies_equal_brute_force_and_edges(spark):
     from dossier.llm import minhash
 
@@ -356,7 +377,7 @@ def test_near_copies_equal_brute_force_and_edges(spark):
     kept = minhash.keep_one(docs)
     assert kept.columns == docs.columns
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect()) == want
-    assert minhash.keep_one(docs.where("1 = 0")).count() == 0 and minhash.same_texts(docs.where("1 = 0")).count() == 0
+    assert minhash.keep_one(docs.where("1 = 0")).count() == 0
 
 
 def test_a_hot_group_of_near_copies_keeps_its_lines(spark):
