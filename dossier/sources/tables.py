@@ -1,53 +1,114 @@
-"""The stored tables: parquet folders in buckets of their main key, with idempotent writes.
+"""The stored tables: parquet files in buckets of their main key, named by a manifest, with idempotent writes.
 
-Every table is partitioned by a hash of the key it is looked up by, so a lookup reads one bucket and a write replaces
-only the buckets of its keys. A write first lands complete in the shared folder, because Spark cannot overwrite
-what it is reading; then the affected buckets are overwritten. A crash between the two may leave a bucket missing;
-all writes are idempotent, so running the command again restores it.
+A table is the set of files that its manifest names. A write puts the rows of the buckets it touches into new files, then
+replaces the manifest by one rename: before it every reader sees the old table whole, after it the new one. A reader keeps
+the files of the manifest it opened; they are deleted by the write after the next one, so a reader must be done by then. What
+a crash leaves behind is never read and ``sweep`` removes it. The manifest holds the schema too, so no footer is read to
+find it, and files written before a column was added give nulls for it.
+
+Every table is bucketed by a hash of the key it is looked up by, so a lookup opens the files of one bucket and a write
+replaces only the buckets of its keys. Their number doubles as the table grows, so that a bucket keeps its size. Within a
+bucket rows are sorted by a second key, whose column index and Bloom filters spare the other row groups.
 """
 
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable, Iterable, Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from dossier import schemas
 from dossier.operators.retrieval import filter_by
 from dossier.operators.upserts import replace_by_key, upsert
-from dossier.session import durable, intermediates, remove
+from dossier.session import intermediates, remove
 
 KEYS = {"companies": ("cik",), "filings": ("accession_number",), "facts": ("source_key",)}
 # The column whose hash decides the bucket; equal keys always share it.
 BUCKETED_BY = {"companies": "cik", "facts": "cik"}
+# The order within a bucket; the first column, and those of BLOOM, are looked up without the main key.
+SORTED_BY = {"companies": ("ticker",), "filings": ("cik", "form_type", "filing_date"), "facts": ("concept", "source_key")}
+BLOOM = {"facts": ("source_key",)}
 # Columns that an update leaves as they were first stored.
 KEPT = {"facts": ("ingest_seq",)}
-BUCKETS = 64
+BUCKETS = 16
+BUCKET_BYTES = 256 << 20
+MANIFEST = "MANIFEST"
 
 
 class TableStore:
-    """Parquet tables below one folder; the number of buckets is fixed for the life of a store."""
+    """Parquet tables below one folder; ``buckets`` is the number that a new table starts with."""
 
-    def __init__(self, spark: SparkSession, root: str, buckets: int = BUCKETS) -> None:
+    def __init__(self, spark: SparkSession, root: str, buckets: int = BUCKETS, bucket_bytes: int = BUCKET_BYTES) -> None:
         self.spark = spark
         self.root = root.rstrip("/")
         self.buckets = buckets
+        self.bucket_bytes = bucket_bytes
 
-    def _bucket(self, key: Column) -> Column:
-        return F.pmod(F.xxhash64(key), F.lit(self.buckets)).cast("int")
+    # ---- files ----
 
-    def _key(self, name: str) -> str:
-        return BUCKETED_BY.get(name, "accession_number")
+    def _path(self, *parts: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path("/".join((self.root, *parts)))
 
-    def _stored(self, name: str) -> DataFrame | None:
-        try:
-            # Buckets of an index differ where some were written with sparse vectors and some without.
-            return self.spark.read.option("mergeSchema", "true").parquet(f"{self.root}/{name}")
-        except AnalysisException:
+    def _files(self):
+        return self._path().getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def manifest(self, name: str) -> dict | None:
+        """``buckets, schema, files`` (by bucket: path and bytes) and the paths that the last write put out of use."""
+        path, files = self._path(name, MANIFEST), self._files()
+        if not files.exists(path):
             return None
+        stream = files.open(path)
+        try:
+            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+
+    def _commit(self, name: str, manifest: dict) -> None:
+        """Replace the manifest by one rename."""
+        jvm, target, fresh = self.spark._jvm, self._path(name, MANIFEST), self._path(name, f"{MANIFEST}-{uuid.uuid4().hex}")
+        out = self._files().create(fresh)
+        out.write(bytearray(json.dumps(manifest).encode()))
+        out.close()
+        kinds = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+        how = self.spark.sparkContext._gateway.new_array(kinds, 1)
+        how[0] = kinds.OVERWRITE
+        qualified = self._files().makeQualified(target)
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(qualified.toUri(), self.spark._jsc.hadoopConfiguration())
+        context.rename(self._files().makeQualified(fresh), qualified, how)
+
+    def _written(self, name: str, folder: str) -> dict[str, list]:
+        """The data files of a finished write, by bucket."""
+        found: dict[str, list] = {}
+        listing = self._files().listFiles(self._path(name, folder), True)
+        while listing.hasNext():
+            status = listing.next()
+            path = status.getPath()
+            bucket = path.getParent().getName().removeprefix("bucket=")
+            if path.getName().endswith(".parquet"):
+                found.setdefault(bucket, []).append([f"{folder}/bucket={bucket}/{path.getName()}", status.getLen()])
+        return found
+
+    def sweep(self, name: str) -> list[str]:
+        """Remove the folders of writes that never became part of the table; run it while nobody writes."""
+        manifest = self.manifest(name) or {"files": {}, "stale": []}
+        live = {path.split("/")[0] for files in manifest["files"].values() for path, _ in files} | {p.split("/")[0] for p in manifest["stale"]}
+        gone = []
+        if self._files().exists(self._path(name)):
+            for status in self._files().listStatus(self._path(name)):
+                folder = status.getPath().getName()
+                if folder != MANIFEST and not folder.startswith(".") and folder not in live:
+                    remove(self.spark, f"{self.root}/{name}/{folder}")
+                    gone.append(folder)
+        return gone
+
+    # ---- reading ----
+
+    def _key(self, name: str) -> str:
+        return BUCKETED_BY.get(name, "accession_number")
 
     def _empty(self, name: str) -> DataFrame:
         schema = getattr(schemas, name.upper(), None)
@@ -55,44 +116,73 @@ class TableStore:
             raise FileNotFoundError(f"{self.root}/{name}")
         return self.spark.createDataFrame([], schema)
 
+    def _load(self, name: str, manifest: dict, wanted: Iterable[int] | None = None) -> DataFrame:
+        """The files of the wanted buckets (all by default), under the table's schema."""
+        schema = T.StructType.fromJson(manifest["schema"])
+        keys = manifest["files"] if wanted is None else [str(b) for b in wanted]
+        paths = [f"{self.root}/{name}/{path}" for b in keys for path, _ in manifest["files"].get(b, [])]
+        if not paths:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(*paths).select(*schema.names)
+
     def read(self, name: str, **equal: object) -> DataFrame:
-        """The table under equality conditions, which reach the parquet scan; one on the main key reads one bucket."""
-        stored = self._stored(name)
-        if stored is None:
+        """The table under equality conditions, which reach the parquet scan; one on the main key opens one bucket."""
+        manifest = self.manifest(name)
+        if manifest is None:
             return filter_by(self._empty(name), **equal)
-        wanted = equal.get(self._key(name))
-        if wanted is not None:
-            stored = stored.where(F.col("bucket") == self._bucket(F.lit(wanted)))
-        return filter_by(stored.drop("bucket"), **equal)
+        value = equal.get(self._key(name))
+        wanted = None
+        if value is not None:  # a constant, evaluated without a job
+            wanted = [self.spark.sql("select 1").select(_bucket(F.lit(value), manifest["buckets"]).alias("b")).first().b]
+        return filter_by(self._load(name, manifest, wanted), **equal)
 
     def read_for(self, name: str, keys: DataFrame) -> DataFrame:
         """The buckets of the table that hold the given keys (at most all of them), for joins with those keys."""
-        stored = self._stored(name)
-        if stored is None:
+        manifest = self.manifest(name)
+        if manifest is None:
             return self._empty(name)
-        return stored.where(F.col("bucket").isin(self.buckets_of(keys, self._key(name)))).drop("bucket")
+        return self._load(name, manifest, buckets_of(keys, self._key(name), manifest["buckets"]))
+
+    # ---- writing ----
 
-    def buckets_of(self, keys: DataFrame, column: str) -> list[int]:
-        """The buckets that a table's keys fall into: at most ``buckets`` numbers."""
-        found = keys.where(F.col(column).isNotNull()).select(self._bucket(F.col(column)).alias("bucket")).distinct()
-        return sorted(row.bucket for row in found.collect())
+    def _write(self, name: str, rows: DataFrame, buckets: int) -> dict[str, list]:
+        """Put rows into new files: gathered by bucket for few files, large buckets split, sorted by the second key."""
+        folder = f"data-{uuid.uuid4().hex}"
+        key = self._key(name)
+        spread = rows.withColumn("bucket", _bucket(F.col(key), buckets)).hint("rebalance", "bucket")
+        writer = spread.sortWithinPartitions("bucket", *SORTED_BY.get(name, (key,))).write.partitionBy("bucket")
+        for column in BLOOM.get(name, ()):
+            writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true").option("parquet.bloom.filter.adaptive.enabled", "true")
+        writer.parquet(f"{self.root}/{name}/{folder}")
+        return self._written(name, folder)
 
     def _rewrite(self, name: str, affected: DataFrame, change: Callable[[DataFrame | None], DataFrame]) -> None:
         """Replace the buckets of the affected keys by what ``change`` makes of their rows."""
-        touched = self.buckets_of(affected, self._key(name))
-        stored = self._stored(name)
-        if stored is not None:
-            stored = stored.where(F.col("bucket").isin(touched)).drop("bucket")
+        old = self.manifest(name)
+        buckets = old["buckets"] if old else self.buckets
+        touched = buckets_of(affected, self._key(name), buckets)
         with intermediates(self.spark):
-            rows = change(stored)
-            staged = durable(rows.withColumn("bucket", self._bucket(F.col(self._key(name)))), name)
-            # Buckets are gathered for few files; adaptive execution splits those that are large.
-            rows = staged.hint("rebalance", "bucket")
-            rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{self.root}/{name}")
-            left = {row.bucket for row in staged.select("bucket").distinct().collect()}
-        for bucket in touched:
-            if bucket not in left:
-                remove(self.spark, f"{self.root}/{name}/bucket={bucket}")
+            rows = change(self._load(name, old, touched) if old else None)
+            fields = {f["name"]: f for f in (old["schema"]["fields"] if old else [])}
+            for field in rows.schema.jsonValue()["fields"]:
+                fields.setdefault(field["name"], {**field, "nullable": True})
+            fresh = self._write(name, rows, buckets)
+        kept = {b: files for b, files in (old["files"].items() if old else ()) if int(b) not in touched}
+        manifest = {
+            "buckets": buckets, "schema": {"type": "struct", "fields": list(fields.values())}, "files": {**kept, **fresh},
+            "stale": [path for b, files in (old["files"].items() if old else ()) if int(b) in touched for path, _ in files],
+        }
+        total = sum(size for files in manifest["files"].values() for _, size in files)
+        if total > 2 * buckets * self.bucket_bytes:
+            # Outgrown: all rows once more into twice as many buckets, or as often as it takes.
+            while total > 2 * buckets * self.bucket_bytes:
+                buckets *= 2
+            grown = self._write(name, self._load(name, manifest), buckets)
+            replaced = [path for files in manifest["files"].values() for path, _ in files]
+            manifest = {**manifest, "buckets": buckets, "files": grown, "stale": [*manifest["stale"], *replaced]}
+        self._commit(name, manifest)
+        for path in old["stale"] if old else ():
+            remove(self.spark, f"{self.root}/{name}/{path}")
 
     def upsert(self, name: str, incoming: DataFrame, order: Sequence[str]) -> None:
         """Insert or overwrite rows by key; the last of ``order`` wins among incoming rows of a key."""
@@ -122,6 +212,16 @@ class TableStore:
         self._rewrite(name, affected, change)
 
 
+def _bucket(key: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+
+
+def buckets_of(keys: DataFrame, column: str, buckets: int) -> list[int]:
+    """The buckets that a table's keys fall into: at most ``buckets`` numbers."""
+    found = keys.where(F.col(column).isNotNull()).select(_bucket(F.col(column), buckets).alias("bucket")).distinct()
+    return sorted(row.bucket for row in found.collect())
+
+
 def ordered(df: DataFrame, kind: str) -> DataFrame:
     """Listing order of each kind of row."""
     orders = {

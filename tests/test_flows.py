@@ -9,6 +9,7 @@ from dossier.cli import build_parser, run
 from dossier.operators import answering, evaluation, snippets, upserts
 from dossier.plans import service
 from dossier.sources.questions import parse_questions, read_questions
+from dossier.sources import tables
 from dossier.sources.tables import TableStore, ordered
 from dossier.streaming.ingest import stream_facts
 
@@ -238,7 +239,7 @@ def test_index_keeps_other_filings(store):
 def test_buckets_with_and_without_sparse_vectors(spark, tmp_path):
     dense = spark.createDataFrame([(f"f{i}", f"f{i}-c", 1) for i in range(40)], "accession_number string, chunk_id string, token_count int")
     sparse = dense.withColumn("sparse_vector", F.array(F.lit(1.5)))
-    where = {r.accession_number: r.bucket for r in dense.select("accession_number", TableStore(spark, str(tmp_path), buckets=4)._bucket(F.col("accession_number")).alias("bucket")).collect()}
+    where = {r.accession_number: r.bucket for r in dense.select("accession_number", tables._bucket(F.col("accession_number"), 4).alias("bucket")).collect()}
     for bucket in range(4):
         # Only one bucket is rewritten with the column; whichever file gives the schema, it is read and kept.
         fresh = TableStore(spark, str(tmp_path / str(bucket)), buckets=4)
@@ -282,29 +283,6 @@ def test_filings_that_cannot_be_parsed_are_errors(spark, cache, tmp_path):
         os.rename(gone + ".away", gone)
 
 
-def test_a_write_touches_only_its_buckets(spark, tmp_path):
-    import os
-
-    store = TableStore(spark, str(tmp_path), buckets=8)
-    rows = [(f"{i:010d}", None, f"name {i}", None, None, None, i) for i in range(40)]
-    columns = "cik string, ticker string, name string, exchange string, sic string, fiscal_year_end string, n int"
-    store.upsert("companies", spark.createDataFrame(rows, columns), ["n"])
-
-    def times():
-        return {os.path.join(d, f): os.stat(os.path.join(d, f)).st_mtime_ns for d, _, fs in os.walk(tmp_path) for f in fs if f.startswith("part-")}
-
-    before = times()
-    change = [("0000000003", None, "zebra", None, None, None, 1), ("0000000003", None, "ant", None, None, None, 2)]
-    store.upsert("companies", spark.createDataFrame(change, columns), ["n"])
-    kept = set(before.items()) & set(times().items())
-    assert len({os.path.dirname(p) for p, _ in kept}) == len({os.path.dirname(p) for p in before}) - 1
-    assert store.read("companies").count() == 40 and store.read("companies", cik="0000000003").first().name == "ant"
-    chunks = spark.createDataFrame([("a", 1), ("b", 2)], "accession_number string, n int")
-    store.replace("chunks", chunks, chunks.select("accession_number"))
-    store.replace("chunks", chunks.where("1 = 0"), chunks.where("accession_number = 'a'").select("accession_number"))
-    assert [tuple(r) for r in store.read("chunks").select("accession_number", "n").collect()] == [("b", 2)]
-
-
 def test_facts_keep_their_first_place_and_know_their_filing(spark, cache, tmp_path):
     own = TableStore(spark, str(tmp_path / "store"), buckets=4)
     service.ingest(own, cache)
