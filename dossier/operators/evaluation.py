@@ -125,10 +125,14 @@ def score(predictions: DataFrame) -> DataFrame:
 
 def aggregate(scores: DataFrame, *by: str) -> DataFrame:
     """Mean metrics per variant (or the given keys); conditional means skip the -1.0 marker."""
+    return scores.groupBy(*(by or ("variant",))).agg(*mean_metrics())
+
+
+def mean_metrics() -> list[Column]:
     def applicable(name: str) -> Column:
         return F.avg(F.when(F.col(name) >= 0, F.col(name)))
 
-    return scores.groupBy(*(by or ("variant",))).agg(
+    return [
         F.count("*").alias("questions"),
         F.avg("answer_correct").alias("accuracy"),
         F.avg("supported_match").alias("supported_accuracy"),
@@ -139,12 +143,20 @@ def aggregate(scores: DataFrame, *by: str) -> DataFrame:
         applicable("numeric_match").alias("numeric_accuracy"),
         applicable("numeric_grounding_match").alias("numeric_grounding_accuracy"),
         applicable("refusal_match").alias("refusal_accuracy"),
-    )
+    ]
 
 
-def headline(metrics_by_issuer: DataFrame, metrics: Sequence[str]) -> DataFrame:
-    """Issuer-averaged metrics per variant (mean of the issuers' means)."""
-    return metrics_by_issuer.groupBy("variant").agg(*[F.avg(m).alias(m) for m in metrics])
+def headline(scores: DataFrame, metrics: Sequence[str]) -> DataFrame:
+    """Metrics per variant, averaged over issuers and, as ``pooled_``, over all questions.
+
+    One pass over the scores, by grouping sets. The two differ where issuers have different numbers of questions, and for
+    conditional metrics where they have different numbers of applicable ones.
+    """
+    issuer, variant = F.col("issuer"), F.col("variant")
+    levels = scores.groupingSets([[issuer, variant], [variant]], issuer, variant).agg(F.grouping_id().alias("level"), *mean_metrics())
+    pooled = F.col("level") != 0
+    means = [F.avg(F.when(~pooled, F.col(m))).alias(m) for m in metrics]
+    return levels.groupBy("variant").agg(*means, *[F.max(F.when(pooled, F.col(m))).alias(f"pooled_{m}") for m in metrics])
 
 
 # ---- predictions ------------------------------------------------------------------------------

@@ -26,6 +26,7 @@ from dossier.operators import guards as G
 from dossier.operators import parsing as P
 from dossier.operators import questions as Q
 from dossier.operators import retrieval as R
+from dossier.operators import search as SE
 from dossier.operators import snippets as S
 from dossier.operators import upserts as U
 from dossier.plans import corpus as X
@@ -295,18 +296,18 @@ def hybrid_topk(spark, sf):
     return hit_rows(R.retrieve_hybrid(X.questions(spark, sf), index_of(spark, sf, hybrid=True)))
 
 
+@query
+def sparse_topk(spark, sf):
+    """Top-k by sparse vectors through posting lists."""
+    index = index_of(spark, sf, hybrid=True)
+    return hit_rows(SE.retrieve_sparse(X.questions(spark, sf), index, durable(SE.build_postings(index), "postings")))
+
+
 @query
 def vector_topk(spark, sf):
-    """Cosine top-k over given vectors: the first vector of each label against its label."""
-    vectors = X.table(spark, sf, "embeddings").select(long("label").alias("label"), "vec_id", "embedding")
-    first = vectors.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("query"))
-    scored = vectors.join(first, "label").select(
-        F.col("label").alias("question_id"), F.lit(K.DEFAULT_TOP_K).alias("top_k"), F.col("vec_id").alias("chunk_id"),
-        F.round(V.array_cosine(F.col("query"), F.col("embedding")), 9).alias("score"),
-    )
-    return R.keep_top(scored, F.desc("score"), K.DEFAULT_TOP_K).select(
-        F.col("question_id").alias("label"), long("rank").alias("rank"), F.col("chunk_id").alias("vec_id"), "score"
-    )
+    """Cosine top-k over given vectors: every fiftieth vector against all of them."""
+    vectors = X.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return SE.nearest(vectors.where("id % 50 = 0"), vectors, K.DEFAULT_TOP_K).withColumn("rank", long("rank"))
 
 
 # ---- coercion, identifiers, numbers -------------------------------------------------------------------
@@ -510,11 +511,11 @@ def replace_chunks(spark, sf):
 
 @query
 def index_replace(spark, sf):
-    """A stored index to which filings of even key are added again, cut wider: the other filings keep their rows."""
-    sections = sections_of(spark, sf)
-    store = tables.TableStore(spark, temporary_path(spark, "store"), buckets=8)
-    first = R.build_index(P.cut_chunks(sections.where("filing_key % 3 <> 1"), MAX_TOKENS, OVERLAP))
-    again = R.build_index(P.cut_chunks(sections.where("filing_key % 2 = 0"), 2 * MAX_TOKENS, OVERLAP), hybrid=True)
+    """A stored index to which some filings, known and new ones, are added cut wider: the others keep their rows."""
+    sections = durable(sections_of(spark, sf), "sections")
+    store = tables.TableStore(spark, temporary_path(spark, "store"), buckets=64)
+    first = R.build_index(P.cut_chunks(sections.where("filing_key % 100 <> 50"), MAX_TOKENS, OVERLAP))
+    again = R.build_index(P.cut_chunks(sections.where("filing_key % 50 = 0"), 2 * MAX_TOKENS, OVERLAP), hybrid=True)
     for rows in (first, again):
         store.replace("index", rows, rows.select("accession_number").distinct())
     return store.read("index").select(
@@ -787,8 +788,9 @@ def variant_metrics(spark, sf):
 
 @query
 def issuer_headline(spark, sf):
-    by_issuer = E.aggregate(scores_of(spark, sf).withColumn("issuer", F.substring("accession_number", 1, 10)), "issuer", "variant")
-    return E.headline(by_issuer, METRICS).select("variant", *[F.round(m, 9).alias(m) for m in METRICS])
+    """The mean of the issuers' means and the mean over all questions, side by side."""
+    found = E.headline(scores_of(spark, sf).withColumn("issuer", F.substring("accession_number", 1, 10)), METRICS)
+    return found.select("variant", *[F.round(m, 9).alias(m) for m in (*METRICS, *[f"pooled_{m}" for m in METRICS])])
 
 
 @query

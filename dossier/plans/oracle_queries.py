@@ -96,11 +96,14 @@ FINAL["filtered_topk"] = "select question_id, rank, chunk_id, round(score, 9) as
 FINAL["strong_hits"] = f"select question_id, rank, chunk_id, section_type, sha256(text) as text_hash from x_retrieved where score >= {K.MIN_SIMILARITY}"
 FINAL["hybrid_topk"] = """
 select question_id, rank, chunk_id, round(score, 9) as score from (select *, row_number() over (partition by question_id order by round(score, 9) desc, chunk_id) as rank from x_fused) where rank <= top_k"""
+FINAL["sparse_topk"] = """
+select question_id, rank, chunk_id, round(score, 9) as score from (
+  select *, row_number() over (partition by question_id order by score desc, chunk_id) as rank from x_sparse_scored where score > 0) where rank <= top_k"""
 FINAL["vector_topk"] = """
-select label, rank, vec_id, round(score, 9) as score from (
-  select *, row_number() over (partition by label order by round(score, 9) desc, vec_id) as rank from (
-    select v.label::bigint as label, v.vec_id, list_cosine_similarity(f.query, v.embedding::double[]) as score
-    from embeddings v join (select label, arg_min(embedding, vec_id)::double[] as query from embeddings group by label) f using (label))) where rank <= 5"""
+select query_id, rank, vec_id, score from (
+  select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from (
+    select q.vec_id as query_id, d.vec_id, round(list_cosine_similarity(q.embedding::double[], d.embedding::double[]), 9) as score
+    from embeddings q join embeddings d on q.vec_id % 50 = 0 and len(q.embedding) = len(d.embedding))) where rank <= 5"""
 
 _dirty = "(case when c_custkey % 7 = 0 then 'n/a' when c_custkey % 11 = 0 then '123456789' || lpad(c_custkey::varchar, 4, '0') else ' CIK-' || c_custkey || ' ' end)"
 _acc = "(case when c_custkey % 5 = 0 then '  ' else ' 00-' || c_custkey || '-9 ' end)"
@@ -188,8 +191,8 @@ FINAL["replace_chunks"] = """
 select accession_number, chunk_id, token_count::bigint as token_count from x_chunks where filing_key % 2 = 1
 union all select accession_number, chunk_id, token_count::bigint from x_wide_chunks"""
 FINAL["index_replace"] = """
-select accession_number, chunk_id, token_count::bigint as token_count, false as sparse from x_chunks where filing_key % 2 = 1 and filing_key % 3 <> 1
-union all select accession_number, chunk_id, token_count::bigint, true from x_wide_chunks"""
+select accession_number, chunk_id, token_count::bigint as token_count, false as sparse from x_chunks where filing_key % 50 <> 0
+union all select accession_number, chunk_id, token_count::bigint, true from x_wide_chunks where filing_key % 50 = 0"""
 FINAL["ordered_filings"] = "select cik, accession_number, row_number() over (partition by cik order by filing_date desc, accession_number) as position from x_filings where form_type = '10-K'"
 FINAL["fact_selection"] = """
 select concept, cik, accession_number, value::decimal(20,2)::varchar as value, strftime(filed_date, '%Y-%m-%d') as filed_date from x_facts
@@ -298,7 +301,9 @@ select base_id as question_id, variant, supported, answer, array_to_string(chunk
 _scores = ("answer_correct", "supported_match", "keyword_match", "citation_recall", "section_recall", "evidence_recall", "numeric_match", "numeric_grounding_match", "refusal_match")
 FINAL["eval_scores"] = "select base_id as question_id, variant, " + ", ".join(f"round({s}, 9) as {s}" for s in _scores) + ", error_flag as error from e_scores"
 FINAL["variant_metrics"] = "select variant, questions, " + ", ".join(f"round({m}, 9) as {m}" for m in O.METRIC_SQL) + " from e_metrics"
-FINAL["issuer_headline"] = "select variant, " + ", ".join(f"round(avg({m}), 9) as {m}" for m in O.METRIC_SQL) + " from e_issuers group by variant"
+_means = ", ".join(f"round(avg(i.{m}), 9) as {m}" for m in O.METRIC_SQL)
+_pooled = ", ".join(f"round(any_value(p.{m}), 9) as pooled_{m}" for m in O.METRIC_SQL)
+FINAL["issuer_headline"] = f"select variant, {_means}, {_pooled} from e_issuers i join e_metrics p using (variant) group by variant"
 
 
 def _pct(m: str) -> str:

@@ -259,10 +259,10 @@ def evaluate(
     table = evaluation.variant_table(store.spark, variants)
     answers = read_stored_answers(store.spark, stored_answers)
     started = time.perf_counter()
-    chunks = store.read_for("chunks", questions)
-    predictions = durable(
-        evaluation.predict(questions, table, store.read("filings"), chunks, store.read("facts"), answers, model), "predictions"
-    )
+    filings, chunks = store.read_for("filings", questions), store.read_for("chunks", questions)
+    companies = filings.join(questions.select("accession_number"), "accession_number", "left_semi").select("cik")
+    facts = store.read_for("facts", companies)
+    predictions = durable(evaluation.predict(questions, table, filings, chunks, facts, answers, model), "predictions")
     per_row = (time.perf_counter() - started) * 1000.0 / max(predictions.count(), 1)
     scores = durable(evaluation.score(predictions.withColumn("latency_ms", F.lit(per_row))), "scores")
     metrics = evaluation.aggregate(scores)

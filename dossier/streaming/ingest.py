@@ -21,7 +21,7 @@ def stream_facts(store: TableStore, folder: str, checkpoint: str) -> StreamingQu
 
     def merge(batch: DataFrame, _: int) -> None:
         facts = feeds.flatten_facts(batch, load=load_number())
-        store.upsert("facts", link_filings(facts, linkable(store.read("filings")), "filing_accession"), ["ingest_seq"])
+        store.upsert("facts", link_filings(facts, linkable(store.read_for("filings", facts)), "filing_accession"), ["ingest_seq"])
 
     return (
         payloads.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
