@@ -181,7 +181,7 @@ worded as (
 ),
 bagged as (
   select doc_id, scope, line_no, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) as bag
-  from worded where len(w) between 2 and 1000
+  from worded where len(w) >= 2
 ),
 scored as (
   select doc_id, scope, line_no, licence, place, 2.0 :: double * len(list_intersect(bag, t)) / (len(bag) + len(t)) as dice, len(bag) :: bigint as n_bigrams

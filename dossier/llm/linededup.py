@@ -134,8 +134,9 @@ lines as (
   select r, host, unnest(string_split(text, chr(10))) as line, unnest(range(len(string_split(text, chr(10))))) as pos from read where text is not null
 ),
 keyed as (select *, {key} as k from lines),
-counts as (select host, k, count(*) as n from (select distinct r, host, k from keyed where k <> '' and host is not null) group by host, k),
-totals as (select host, count(*) as total from read group by host),
+pages_once as (select host, min(r) as r from read where host is not null group by host, text),
+counts as (select host, k, count(*) as n from (select distinct r, host, k from keyed semi join pages_once using (r) where k <> '') group by host, k),
+totals as (select host, count(*) as total from pages_once group by host),
 rules as (select host, k from counts join totals using (host) where n >= {min_pages} and n > {ratio} :: double * total),
 kept as (select r, string_agg(line, chr(10) order by pos) as clean, count(*) as n from keyed anti join rules using (host, k) group by r)
 select page_id, host, case when text is null then null else coalesce(clean, '') end as text,

@@ -13,7 +13,6 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pandas as pd
 from pyspark import TaskContext
@@ -66,7 +65,6 @@ def insertions() -> Cell:
 EMPTY = insertions()
 
 
-@lru_cache(64)
 def turn_cell(code: str) -> Cell:
     """The cell of one turn: ``-`` must go; else the role's initial (``x`` for any other), upper case if truncated."""
     cell: Cell = {(p, p): (DELETE, "D") for p in range(4)}
@@ -79,11 +77,17 @@ def turn_cell(code: str) -> Cell:
     return joined(joined(EMPTY, cell), EMPTY)
 
 
-@lru_cache(1 << 15)
+# Cells of short stretches, which recur from conversation to conversation; emptied when there are too many.
+KNOWN: dict[str, Cell] = {}
+REMEMBERED = 1 << 15
+
+
 def chart(codes: str) -> Cell:
     """The cell of a short stretch of turns, bottom-up by span length over all splits of every span."""
+    if codes in KNOWN:
+        return KNOWN[codes]
     n = len(codes)
-    cells = {(i, 1): turn_cell(c) for i, c in enumerate(codes)}
+    cells = {(i, 1): chart(c) if n > 1 else turn_cell(c) for i, c in enumerate(codes)}
     for length in range(2, n + 1):
         for i in range(n - length + 1):
             best: Cell = {}
@@ -92,6 +96,9 @@ def chart(codes: str) -> Cell:
                     if key not in best or found < best[key]:
                         best[key] = found
             cells[i, length] = best
+    if len(KNOWN) >= REMEMBERED:
+        KNOWN.clear()
+    KNOWN[codes] = cells[0, n]
     return cells[0, n]
 
 

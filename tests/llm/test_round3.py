@@ -389,3 +389,22 @@ def test_a_hot_group_of_near_copies_keeps_its_lines(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     found = {r.doc_id: r.text for r in corpus_pipeline.lines(spark, docs, "").collect()}
     assert found == {i: t.replace("Menu\n", "") for i, t, *_ in rows}
+
+
+def test_line_sql_counts_repeated_pages_once(spark):
+    import duckdb
+    import pandas as pd
+
+    from dossier.llm import common, linededup
+
+    hot = "<p>Menu</p><p>clean line</p><p>more of it</p>"
+    rows = [(i, "http://a.example/x", hot) for i in range(30)] + [(100 + i, "http://a.example/y", f"<p>Menu</p><p>own {i}</p>") for i in range(40)]
+    rows += [(200, "http://a.example/", None), (201, "no host", "<p>Menu</p>"), (202, None, "x"), (203, "http://b.example", "")]
+    pages = pd.DataFrame(rows, columns=["page_id", "url", "html"])  # noqa: F841, read by name
+    want = sorted(map(repr, duckdb.sql(linededup.pages_sql()).fetchall()))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    lines = df.select("page_id", common.host_of(F.col("url")).alias("host"), linededup.html_lines(F.col("html")).alias("text"))
+    found = linededup.drop_lines(lines, counts=("n_lines", "n_dropped")).collect()
+    assert sorted(repr(tuple(r)) for r in found) == want
+    texts = {r.page_id: r.text for r in found}
+    assert texts[0] == "clean line\nmore of it" and texts[103] == "own 3"
