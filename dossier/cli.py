@@ -97,7 +97,7 @@ def run(args: argparse.Namespace, store: TableStore) -> Iterable[object]:
         if args.answer_mode == "llm":
             none = store.spark.createDataFrame([], "question_id string, candidate_answer string")
             candidates = service.stored_candidates(store, args.candidates) if args.candidates else none
-        return shown(service.ask(store, asked, candidates, K.DEFAULT_MODEL))
+        return shown(service.ask_one(store, asked, candidates, K.DEFAULT_MODEL))
     if command == "compare-sec-filing":
         return shown(service.compare(store, args.accession_number, args.section_type, args.previous_accession_number, args.max_claims))
     if command == "index-sec-filing":

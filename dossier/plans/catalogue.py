@@ -541,14 +541,26 @@ def fact_selection(spark, sf):
 # ---- facts ----------------------------------------------------------------------------------------------
 
 
-@query
-def fact_lookup(spark, sf):
-    found = FA.lookup(X.all_questions(spark, sf), X.filings(spark, sf), X.facts(spark, sf))
+def looked_up(found: DataFrame) -> DataFrame:
     return found.select(
         "question_id", "metric", long(F.coalesce("tier", F.lit(0))).alias("tier"), F.col("fact.concept").alias("concept"), F.col("fact.source_key").alias("source_key"), "reason"
     )
 
 
+@query
+def fact_lookup(spark, sf):
+    return looked_up(FA.lookup(X.all_questions(spark, sf), X.filings(spark, sf), X.facts(spark, sf)))
+
+
+@query
+def fact_lookup_kept(spark, sf):
+    """The same lookup against the kept table of best facts, after two loads: half of the facts, then all of them."""
+    facts = durable(X.facts(spark, sf), "all-facts")
+    half = FA.best_facts(facts.where(F.crc32("source_key") % 2 == 0))
+    best = durable(FA.merge_best(half, facts), "best-facts")
+    return looked_up(FA.lookup(X.all_questions(spark, sf), X.filings(spark, sf), best))
+
+
 # ---- comparison -------------------------------------------------------------------------------------------
 
 

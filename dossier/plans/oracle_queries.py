@@ -198,6 +198,7 @@ FINAL["fact_selection"] = """
 select concept, cik, accession_number, value::decimal(20,2)::varchar as value, strftime(filed_date, '%Y-%m-%d') as filed_date from x_facts
 where concept in ('Revenues', 'Assets') and fiscal_year = 1998 and fiscal_period = 'FY' order by filed_date desc nulls last, ingest_seq desc"""
 FINAL["fact_lookup"] = "select question_id, metric, coalesce(tier, 0)::bigint as tier, concept, source_key, lookup_reason as reason from x_look_found"
+FINAL["fact_lookup_kept"] = FINAL["fact_lookup"]
 
 FINAL["previous_filing"] = "select accession_number, previous_accession_number from x_previous"
 FINAL["comparison_support"] = "select pair_id, current_accession, prior_accession, section_type, reason from s_pairs"

@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from dossier import __version__
 from dossier import constants as K
 from dossier.operators import answering, comparison, evaluation, parsing, retrieval, upserts
-from dossier.session import durable, intermediates
+from dossier.operators import facts as FA
+from dossier.session import at_driver, durable, in_request, intermediates, single_request
 from dossier.sources import feeds
 from dossier.sources.questions import read_questions, read_stored_answers
 from dossier.sources.tables import TableStore
@@ -78,11 +79,29 @@ def _ingest(store, cache_dir, form_types, filing_limit, fact_concepts, facts_for
             rows = durable(upserts.link_filings(rows, linkable(store.read_for("filings", rows)), "filing_accession"), "facts")
         changed = upserts.upsert_counts(store.read_for(name, rows), rows, [key]).first()
         counts[f"{name}_created"], counts[f"{name}_updated"] = changed.created, changed.updated
-        store.upsert(name, rows, order)
+        store_facts(store, rows) if name == "facts" else store.upsert(name, rows, order)
     counts["filing_documents_cached"] = filings.where("raw_artifact_path is not null").count()
     return counts
 
 
+def store_facts(store: TableStore, facts: DataFrame) -> None:
+    """Upsert facts, then bring the table of best facts up to date with them.
+
+    The second step reads the facts as they are stored, since a fact keeps the place at which it was first ingested. Both
+    tables are bucketed by company; a crash in between is mended by loading again.
+    """
+    known = store.manifest("best_facts") is not None
+    store.upsert("facts", facts, ["ingest_seq"])
+    stored = store.read_for("facts", facts) if known else store.read("facts")
+    loaded = stored.join(facts.select("source_key").distinct(), "source_key", "left_semi") if known else stored
+    store.update("best_facts", facts if known else stored, lambda best: FA.merge_best(best, loaded))
+
+
+def known_facts(store: TableStore, companies: DataFrame) -> DataFrame:
+    """The companies' best facts; all their facts in a store that was filled before that table was kept."""
+    return store.read_for("best_facts" if store.manifest("best_facts") else "facts", companies)
+
+
 def linkable(filings: DataFrame) -> DataFrame:
     return filings.select("accession_number", F.col("accession_number").alias("filing_accession"))
 
@@ -217,17 +236,32 @@ def ask(store: TableStore, questions: DataFrame, candidates: DataFrame | None =
     ``candidates`` are generated answers, which are used only where they pass the guards.
     """
     filings, chunks = store.read_for("filings", questions), store.read_for("chunks", questions)
+    if in_request():
+        named = questions.select("accession_number")
+        filings, chunks = (at_driver(df.join(named, "accession_number", "left_semi")) for df in (filings, chunks))
     raise_failed(questions, filings, chunks)
     companies = filings.join(questions.select("accession_number"), "accession_number", "left_semi").select("cik")
-    answers = answering.answer(questions, filings, chunks, store.read_for("facts", companies))
+    answers = answering.answer(questions, filings, chunks, known_facts(store, at_driver(companies) if in_request() else companies))
     return answering.with_answer_mode(answers, candidates, model)
 
 
+def ask_one(store: TableStore, question: DataFrame, candidates: DataFrame | None = None, model: str | None = None) -> DataFrame:
+    """``ask`` for the one question of a ``question_table``, answered at once."""
+    with single_request(store.spark):
+        return at_driver(ask(store, question, candidates, model))
+
+
 def compare(
     store: TableStore, accession_number: str, section_type: str = "risk_factors",
     previous_accession_number: str | None = None, max_claims: int = K.DEFAULT_TOP_K,
 ) -> DataFrame:
+    """The comparison of one filing's section with an earlier filing's, made at once."""
     _checked(max_claims, 1, K.MAX_TOP_K, "max_claims")
+    with single_request(store.spark):
+        return at_driver(_compare(store, accession_number, section_type, previous_accession_number, max_claims))
+
+
+def _compare(store: TableStore, accession_number: str, section_type: str, previous_accession_number: str | None, max_claims: int) -> DataFrame:
     current = store.read("filings", accession_number=accession_number).first()
     if current is None:
         raise FilingNotFound(f"Filing not found: {accession_number}")
@@ -242,7 +276,10 @@ def compare(
     prior = comparison.previous_filing(filings).where(F.col("accession_number") == accession_number).first()
     both = [accession_number, previous_accession_number or (prior.previous_accession_number if prior else None)]
     keys = accession_table(store, [a for a in both if a])
-    return comparison.compare(request, filings, store.read_for("sections", keys), store.read_for("chunks", keys))
+    sections, chunks = (
+        at_driver(store.read_for(name, keys).join(keys, "accession_number", "left_semi")) for name in ("sections", "chunks")
+    )
+    return comparison.compare(request, filings, sections, chunks)
 
 
 def evaluate(
@@ -261,7 +298,7 @@ def evaluate(
     started = time.perf_counter()
     filings, chunks = store.read_for("filings", questions), store.read_for("chunks", questions)
     companies = filings.join(questions.select("accession_number"), "accession_number", "left_semi").select("cik")
-    facts = store.read_for("facts", companies)
+    facts = known_facts(store, companies)
     predictions = durable(evaluation.predict(questions, table, filings, chunks, facts, answers, model), "predictions")
     per_row = (time.perf_counter() - started) * 1000.0 / max(predictions.count(), 1)
     scores = durable(evaluation.score(predictions.withColumn("latency_ms", F.lit(per_row))), "scores")

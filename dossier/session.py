@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,6 +48,39 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 _WRITTEN: list[str] = []
+_REQUEST: ContextVar[bool] = ContextVar("request", default=False)
+# A request of one filing has no skew to even out and no sizes to find out about; compiling stages costs more than its rows.
+REQUEST_CONF = {
+    "spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "1", "spark.sql.codegen.wholeStage": "false",
+}
+
+
+def in_request() -> bool:
+    return _REQUEST.get()
+
+
+@contextmanager
+def single_request(spark: SparkSession) -> Iterator[None]:
+    """A block that answers one request about one or two filings, where jobs cost more than rows.
+
+    Its intermediate results are bounded by these filings, so they stay with the driver as local relations, whose known
+    sizes let Spark plan joins without a job to measure them. Nothing lazy may leave the block.
+    """
+    before = {key: spark.conf.get(key, None) for key in REQUEST_CONF}
+    token = _REQUEST.set(True)
+    try:
+        for key, value in REQUEST_CONF.items():
+            spark.conf.set(key, value)
+        yield
+    finally:
+        _REQUEST.reset(token)
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
+def at_driver(df: DataFrame) -> DataFrame:
+    """The rows of a small result as a local relation; for single requests only."""
+    return df.sparkSession.createDataFrame(df.toArrow(), df.schema)
 
 
 def durable(df: DataFrame, label: str) -> DataFrame:
@@ -54,8 +88,11 @@ def durable(df: DataFrame, label: str) -> DataFrame:
 
     Used where several later stages read the same costly result: the written table cuts the
     lineage, survives the loss of executors and still gives column pruning on every read.
-    It stays until ``release`` or the end of an ``intermediates`` block.
+    It stays until ``release`` or the end of an ``intermediates`` block. Within a single request it is a local
+    relation instead.
     """
+    if in_request():
+        return at_driver(df)
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     _WRITTEN.append(path)

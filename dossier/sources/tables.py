@@ -24,13 +24,13 @@ from pyspark.sql import types as T
 from dossier import schemas
 from dossier.operators.retrieval import filter_by
 from dossier.operators.upserts import replace_by_key, upsert
-from dossier.session import intermediates, remove
+from dossier.session import in_request, intermediates, remove
 
 KEYS = {"companies": ("cik",), "filings": ("accession_number",), "facts": ("source_key",)}
 # The column whose hash decides the bucket; equal keys always share it.
-BUCKETED_BY = {"companies": "cik", "facts": "cik"}
+BUCKETED_BY = {"companies": "cik", "facts": "cik", "best_facts": "cik"}
 # The order within a bucket; the first column, and those of BLOOM, are looked up without the main key.
-SORTED_BY = {"companies": ("ticker",), "filings": ("cik", "form_type", "filing_date"), "facts": ("concept", "source_key")}
+SORTED_BY = {"companies": ("ticker",), "filings": ("cik", "form_type", "filing_date"), "facts": ("concept", "source_key"), "best_facts": ("concept", "lookup_key")}
 BLOOM = {"facts": ("source_key",)}
 # Columns that an update leaves as they were first stored.
 KEPT = {"facts": ("ingest_seq",)}
@@ -211,6 +211,10 @@ class TableStore:
 
         self._rewrite(name, affected, change)
 
+    def update(self, name: str, affected: DataFrame, change: Callable[[DataFrame], DataFrame]) -> None:
+        """Replace the rows in the affected keys' buckets by what ``change`` makes of them."""
+        self._rewrite(name, affected, lambda stored: change(stored if stored is not None else self._empty(name)))
+
 
 def _bucket(key: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
@@ -218,8 +222,8 @@ def _bucket(key: Column, buckets: int) -> Column:
 
 def buckets_of(keys: DataFrame, column: str, buckets: int) -> list[int]:
     """The buckets that a table's keys fall into: at most ``buckets`` numbers."""
-    found = keys.where(F.col(column).isNotNull()).select(_bucket(F.col(column), buckets).alias("bucket")).distinct()
-    return sorted(row.bucket for row in found.collect())
+    found = keys.where(F.col(column).isNotNull()).select(_bucket(F.col(column), buckets).alias("bucket"))
+    return sorted({row.bucket for row in (found if in_request() else found.distinct()).collect()})
 
 
 def ordered(df: DataFrame, kind: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from dossier import schemas
 from dossier.operators.upserts import link_filings
-from dossier.plans.service import linkable, load_number
+from dossier.plans.service import linkable, load_number, store_facts
 from dossier.sources import feeds
 from dossier.sources.tables import TableStore
 
@@ -21,7 +21,7 @@ def stream_facts(store: TableStore, folder: str, checkpoint: str) -> StreamingQu
 
     def merge(batch: DataFrame, _: int) -> None:
         facts = feeds.flatten_facts(batch, load=load_number())
-        store.upsert("facts", link_filings(facts, linkable(store.read_for("filings", facts)), "filing_accession"), ["ingest_seq"])
+        store_facts(store, link_filings(facts, linkable(store.read_for("filings", facts)), "filing_accession"))
 
     return (
         payloads.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

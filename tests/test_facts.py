@@ -2,9 +2,13 @@ import datetime as dt
 import random
 from decimal import Decimal
 
+from pyspark.sql import functions as F
+
 from dossier import constants as K
 from dossier.operators import facts as FA
+from dossier.plans import service
 from dossier.schemas import FACTS, FILINGS
+from dossier.sources.tables import TableStore
 
 CONCEPTS = {k: c for k, _, c, _ in K.METRICS}
 
@@ -58,4 +62,38 @@ def test_tiered_lookup_matches_nested_loops(spark):
     asked = spark.createDataFrame(questions, "question_id string, question string, accession_number string, form_type string, fiscal_year int, fiscal_quarter int")
     got = {r.question_id: (r.tier, r.fact.source_key) if r.fact else None for r in FA.lookup(asked, filings_df, facts_df).collect()}
     assert got == expected
+
+    # The kept table gives the same: built at once, and over loads in which facts come late and come again.
+    def kept(best):
+        return {r.question_id: (r.tier, r.fact.source_key) if r.fact else None for r in FA.lookup(asked, filings_df, best).collect()}
+
+    assert kept(FA.best_facts(facts_df)) == expected
+    late = F.crc32("source_key") % 2 == 0
+    best = FA.best_facts(facts_df.where(late))
+    assert kept(FA.merge_best(best, facts_df.where(~late | (F.crc32("source_key") % 3 == 0)))) == expected
     assert any(v and v[0] == 2 for v in expected.values()) and any(v and v[0] == 3 for v in expected.values())
+
+
+def test_a_late_older_fact_does_not_replace_a_newer_one(spark, tmp_path):
+    store = TableStore(spark, str(tmp_path))
+    order = [c.strip().split()[0] for c in FACTS.replace("decimal(38,6)", "d").split(",")]
+
+    def load(*facts):
+        base = dict(cik="x", accession_number=None, concept=CONCEPTS["assets"][0], label="l", unit="USD", fiscal_period="FY", fiscal_year=2024,
+                    fiscal_quarter=None, form_type="10-K", frame=None, filing_accession=None)
+        rows = [{**base, "source_key": k, "value": Decimal(v), "filed_date": dt.date(2024, 1, day), "ingest_seq": [n], **more} for k, v, day, n, more in facts]
+        service.store_facts(store, spark.createDataFrame([tuple(r[c] for c in order) for r in rows], FACTS))
+
+    def newest():
+        return {(r.newest.source, r.fact.label) for r in store.read("best_facts", cik="x").collect()}
+
+    load(("new", 2, 9, 1, {}))
+    load(("old", 1, 3, 2, {}))
+    assert newest() == {("new", "l")}
+    load(("tie", 3, 9, 3, {}))
+    assert newest() == {("tie", "l")}
+    load(("new", 2, 9, 4, {"label": "again"}))  # re-delivered: it keeps its first place
+    assert newest() == {("tie", "l")}
+    load(("tie", 3, 9, 5, {"label": "renamed"}))
+    assert newest() == {("tie", "renamed")}
+    assert store.read("facts").count() == 3
