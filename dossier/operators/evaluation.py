@@ -211,7 +211,7 @@ def predict(
 
     All retrieval variants run as one answering job over (question, variant) rows. The guarded variant and the external ones take
     generated answers from ``stored`` (``question_id, variant, answer, web``). A question that a variant cannot run
-    for, because its filing cannot be searched, becomes an error row instead of failing the run.
+    for, because it is malformed or its filing cannot be searched, becomes an error row instead of failing the run.
     """
     rows = expand(questions, variants).withColumn("base_id", F.col("question_id")).withColumn(
         "question_id", F.concat_ws("|", F.col("base_id").cast("string"), F.col("variant"))

@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 import time
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -289,19 +290,23 @@ def evaluate(
     """Scores, metrics and the report lines of a benchmark run.
 
     Variants that need a model take its answers from ``stored_answers``, the folder of answer files; a question without
-    one is an error row of an external variant, and unavailable to the guarded one. Latency is the run's wall clock
-    divided by its predictions: the engine answers a batch, so there is no per-question clock.
+    one is an error row of an external variant, and unavailable to the guarded one. Every variant runs by itself and
+    its latency is its own wall clock divided by its predictions: a variant's questions are answered as a batch.
     """
     questions = read_questions(store.spark, dataset)
     table = evaluation.variant_table(store.spark, variants)
     answers = read_stored_answers(store.spark, stored_answers)
-    started = time.perf_counter()
     filings, chunks = store.read_for("filings", questions), store.read_for("chunks", questions)
     companies = filings.join(questions.select("accession_number"), "accession_number", "left_semi").select("cik")
     facts = known_facts(store, companies)
-    predictions = durable(evaluation.predict(questions, table, filings, chunks, facts, answers, model), "predictions")
-    per_row = (time.perf_counter() - started) * 1000.0 / max(predictions.count(), 1)
-    scores = durable(evaluation.score(predictions.withColumn("latency_ms", F.lit(per_row))), "scores")
+    scored = []
+    for variant in dict.fromkeys(variants):
+        started = time.perf_counter()
+        one = table.where(F.col("variant") == variant)
+        predictions = durable(evaluation.predict(questions, one, filings, chunks, facts, answers, model), "predictions")
+        per_row = (time.perf_counter() - started) * 1000.0 / max(predictions.count(), 1)
+        scored.append(evaluation.score(predictions.withColumn("latency_ms", F.lit(per_row))))
+    scores = durable(reduce(DataFrame.unionByName, scored), "scores")
     metrics = evaluation.aggregate(scores)
     shown = {row.variant: row.line for row in evaluation.report_rows(metrics).collect()}
     failures = [row.line for row in evaluation.failure_examples(scores, "question_order", "variant_rank").collect()]

@@ -32,9 +32,11 @@ def parse_questions(lines: DataFrame, column: str = "value") -> DataFrame:
         & F.col("q.expected").isNotNull()
         & F.coalesce(F.col("q.top_k"), F.lit(K.DEFAULT_TOP_K)).between(1, K.MAX_TOP_K)
     )
+    # A condition on a question may be evaluated before comments are left out, so these must not raise.
+    skipped = (F.col("line") == "") | F.col("line").startswith("#")
     checked = parsed.select(
         *kept,
-        F.when(valid, F.col("q")).otherwise(
+        F.when(valid | skipped, F.col("q")).otherwise(
             F.raise_error(F.concat(F.lit("Invalid eval question: "), F.col("line"))).cast(parsed.schema["q"].dataType)
         ).alias("q")
     ).select(*kept, "q.*")

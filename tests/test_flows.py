@@ -11,7 +11,7 @@ from dossier.plans import service
 from dossier.sources.questions import parse_questions, read_questions
 from dossier.sources import tables
 from dossier.sources.tables import TableStore, ordered
-from dossier.streaming.ingest import stream_facts
+from dossier.streaming.ingest import stream_counts, stream_facts
 
 RISKS = {"24": "Competition is intense in all markets. Supply chains may fail us. New rules could raise costs.", "23": "Competition is intense in all markets. Currency moves may hurt us."}
 
@@ -163,6 +163,8 @@ def test_evaluation_run(store, tmp_path):
     best = {r.variant: r for r in metrics.collect()}["improved_rag_xbrl"]
     assert best.numeric_grounding_accuracy == 1.0 and abs(best.error_rate - 1 / 3) < 1e-9
     assert any(line.startswith("| improved rag xbrl | 66.7%") for line in report)
+    latency = {r.variant: r.avg_latency_ms for r in metrics.collect()}
+    assert min(latency.values()) > 0 and len(set(latency.values())) == len(latency)  # each variant has its own clock
     (tmp_path / "empty.jsonl").write_text("# nothing\n")
     with pytest.raises(ValueError):
         read_questions(store.spark, str(tmp_path / "empty.jsonl"))
@@ -196,6 +198,45 @@ def test_stream_of_feeds_is_idempotent(spark, cache, tmp_path):
         assert store.read("facts").count() == 3
 
 
+def test_stream_drops_what_comes_again(spark, tmp_path):
+    def payload(value, filed):
+        reported = {"val": value, "accn": "a", "fy": "2024", "fp": "FY", "form": "10-K", "filed": filed}
+        return {"cik": "5", "facts": {"us-gaap": {"Assets": {"label": "Assets", "units": {"USD": [reported]}}}}}
+
+    store, feed, checkpoint = TableStore(spark, str(tmp_path / "store")), tmp_path / "feed", str(tmp_path / "state")
+    feed.mkdir()
+    deliveries = [[payload("2", "2024-03-01")], [payload("1", "2024-02-01"), payload("2", "2024-03-01")], [payload("2", "2024-03-01")]]
+    dropped = 0
+    for n, files in enumerate(deliveries):
+        for i, body in enumerate(files):
+            (feed / f"f{n}-{i}.json").write_text(json.dumps(body))
+        query = stream_facts(store, str(feed), checkpoint)
+        query.awaitTermination()
+        for progress in query.recentProgress:
+            dropped += sum(op.customMetrics.get("numDroppedDuplicateRows", 0) for op in progress.stateOperators)
+    assert dropped == 2
+    assert [tuple(r)[1:] for r in stream_counts(store, checkpoint).orderBy("batch_id").collect()] == [(1, 1, 0), (1, 1, 0)]
+    assert sorted(int(r.value) for r in store.read("facts").collect()) == [1, 2]
+    # The older fact came later and is not the best one.
+    assert {int(r.fact.value) for r in store.read("best_facts").where("lookup_key not like '1%'").collect()} == {2}
+
+
+def test_every_question_is_answered_or_an_error(store):
+    schema = service.QUESTION_SCHEMA
+    asked = store.spark.createDataFrame(
+        [(i, q, a, k, None, None, None, None, None) for i, q, a, k in (
+            ("fine", "How much revenue?", A24, 3), ("null", None, A24, 3), ("blank", "  ", A24, 3), ("nowhere", "How much revenue?", None, 3),
+            ("none", "How much revenue?", A24, 0), ("open", "How much revenue?", A24, None), ("unknown", "How much revenue?", "missing", 3),
+            ("digits", "Is revenue $" + "9" * 80 + " or 1e999 million?", A24, 3), ("refused", "Should I sell?", "missing", 3),
+        )], schema,
+    )
+    filings, chunks, facts = (store.read(name) for name in ("filings", "chunks", "facts"))
+    answers = {r.question_id for r in answering.answer(asked, filings, chunks, facts).collect()}
+    errors = {r.question_id: r.error for r in answering.request_errors(asked, filings, chunks).collect()}
+    assert answers == {"fine", "digits", "refused"} and errors.keys() == {"null", "blank", "nowhere", "none", "open", "unknown"}
+    assert errors["unknown"] == "Filing not found: missing" and errors["null"] == "question must not be empty"
+
+
 def test_upsert_overwrites_with_nulls_and_counts_repeats(spark):
     stored = spark.createDataFrame([("a", 1), ("b", 2)], "k string, v int")
     incoming = spark.createDataFrame([("b", None, 1), ("c", 5, 1), ("c", 6, 2)], "k string, v int, n int")
