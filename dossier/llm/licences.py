@@ -1,7 +1,9 @@
-"""Licence scans: lines and whole texts compared with templates by word bigrams (DataFrame expressions only)."""
+"""Licence scans: lines, passages and whole texts compared with templates by word bigrams (DataFrame expressions only)."""
 
 from __future__ import annotations
 
+import json
+import math
 import re
 from collections.abc import Callable
 from functools import reduce
@@ -59,6 +61,13 @@ def template_bigrams(text: str) -> list[str]:
     return sorted({f"{a} {b}" for a, b in zip(words, words[1:])})
 
 
+def passage_lengths(text: str, threshold: float) -> list[int]:
+    """Lengths in bigrams of the passages compared with a template: five, in even proportion between the size bounds."""
+    bigrams = len(re.findall("[a-z0-9]+", text.lower())) - 1
+    step = math.sqrt(threshold / (2 - threshold))
+    return sorted({max(1, int(bigrams * step**k + 0.5)) for k in (2, 1, 0, -1, -2)})
+
+
 def anchors(bigrams: list[str], threshold: float, most: int = 4) -> list[list[str]]:
     """Groups of words: a text that reaches the threshold against a template holds a word of each group.
 
@@ -84,6 +93,16 @@ def anchors(bigrams: list[str], threshold: float, most: int = 4) -> list[list[st
     return groups
 
 
+def shapes_of(templates: dict[str, str], threshold: float) -> Column:
+    """The templates as one constant array: name, place by name, distinct bigrams, fewest shared ones, passage lengths."""
+    rows = []
+    for place, (name, body) in enumerate(sorted(templates.items())):
+        bag = template_bigrams(body)
+        least = math.ceil(len(bag) * threshold / (2 - threshold) - 1e-9)
+        rows.append({"name": name, "place": place, "bag": bag, "least": least, "lengths": passage_lengths(body, threshold)})
+    return F.from_json(F.lit(json.dumps(rows)), "array<struct<name:string,place:int,bag:array<string>,least:int,lengths:array<int>>>")
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a value that is computed once."""
     return F.transform(F.array(value), body)[0]
@@ -95,28 +114,87 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(plain, " "), lambda w: w != "")
 
 
+def pairs_of(words: Column) -> Column:
+    """The neighbouring pairs of an array of words, in order; empty for fewer than two."""
+    pairs = F.zip_with(F.slice(words, 1, F.size(words) - 1), F.slice(words, 2, F.size(words)), lambda a, b: F.concat_ws(" ", a, b))
+    return F.when(F.size(words) > 1, pairs).otherwise(F.array().cast("array<string>"))
+
+
 def bigrams_of(words: Column) -> Column:
     """The distinct neighbouring pairs of an array of words; empty for fewer than two."""
-    pairs = F.zip_with(F.slice(words, 1, F.size(words) - 1), F.slice(words, 2, F.size(words)), lambda a, b: F.concat_ws(" ", a, b))
-    return F.when(F.size(words) > 1, F.array_distinct(pairs)).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(let(words, pairs_of))
+
+
+def passages_of(pairs: Column, templates: dict[str, str], threshold: float) -> Column:
+    """The passages ``(licence, dice, n_bigrams, start, length)`` of a text's neighbouring pairs of words.
+
+    A passage begins with a pair of its template and has one of the template's lengths. Of those with one beginning the
+    best, then the shortest, counts, and of those that overlap only the ones that no other exceeds (by Dice, then by place).
+    Templates of which the text holds too few pairs, and beginnings too few pairs follow, are passed over.
+    """
+    every = sorted({b for body in templates.values() for b in template_bigrams(body)})
+
+    def of(t: Column, known: Column) -> Column:
+        longest = F.element_at(t["lengths"], -1)
+
+        def window(start: Column, length: Column) -> Column:
+            return let(F.array_distinct(F.slice(pairs, start + 1, length)), lambda unit: F.struct(
+                (2.0 * F.size(F.array_intersect(unit, t["bag"])) / (F.size(unit) + F.size(t["bag"]))).alias("dice"),
+                (-length).alias("shorter"), F.size(unit).cast("long").alias("n"),
+            ))
+
+        def best(start: Column) -> Column:
+            return let(F.array_max(F.transform(t["lengths"], lambda n: window(start, n))), lambda x: F.struct(
+                t["name"].alias("licence"), x["dice"].alias("dice"), x["n"].alias("n_bigrams"), start.alias("start"),
+                F.least(-x["shorter"], F.size(pairs) - start).alias("length"),
+            ))
+
+        def exceeds(other: Column, one: Column) -> Column:
+            meets = (other["start"] < one["start"] + one["length"]) & (one["start"] < other["start"] + other["length"])
+            return meets & ((other["dice"] > one["dice"]) | ((other["dice"] == one["dice"]) & (other["start"] < one["start"])))
+
+        def unexceeded(found: Column) -> Column:
+            def around(i: Column) -> Column:
+                return F.slice(found, F.greatest(i + 1 - longest, F.lit(1)), longest * 2 + 1)
+
+            return F.filter(found, lambda one, i: ~F.exists(around(i), lambda other: exceeds(other, one)))
+
+        def windows(hits: Column) -> Column:
+            full = F.filter(hits, lambda h, i: F.get(hits, i + t["least"] - 1)["at"] - h["at"] < longest)
+            good = F.filter(F.transform(full, lambda h: best(h["at"])), lambda x: x["dice"] >= threshold)
+            enough = F.size(F.array_distinct(F.transform(hits, lambda h: h["b"]))) >= t["least"]
+            return F.when(enough, let(good, unexceeded))
+
+        return let(F.filter(known, lambda h: F.array_contains(t["bag"], h["b"])), windows)
+
+    placed = F.transform(pairs, lambda b, i: F.when(b.isin(every), F.struct(i.cast("int").alias("at"), b.alias("b"))))
+    shapes = shapes_of(templates, threshold)
+    return let(F.array_compact(placed), lambda known: F.flatten(F.array_compact(F.transform(shapes, lambda t: of(t, known)))))
 
 
 def scan(
     documents: DataFrame, doc_id: str = "doc_id", text: str = "text", templates: dict[str, str] | None = None, threshold: float = THRESHOLD
 ) -> DataFrame:
-    """Matches ``doc_id, scope, line_no, licence, dice, n_bigrams``: the best template of every line and whole text.
+    """Matches ``doc_id, scope, line_no, licence, dice, n_bigrams``: the best template of every line and whole text, and passages.
 
     A line (``scope`` "line", numbered from 0) and the whole text of several lines ("document", line number -1) match a
-    template if twice the shared distinct word bigrams make up ``threshold`` or more of both sides' (Dice). Templates
-    whose size alone rules that out are not compared; texts without any word that every match needs are
-    passed over. Of several templates the best, then the first by name, is given.
+    template if twice the shared distinct word bigrams make up ``threshold`` or more of both sides' (Dice); of several
+    templates the best, then the first by name, is given. A notice inside a longer line, and a licence wrapped over
+    several lines of a longer text, are found as stretches of words ("passage", with the number of the line they begin
+    in), judged by the same measure: see ``passages_of``. A passage is not given where the whole text, or a line that it
+    touches, matches the same template. Templates whose size alone rules a match out are not compared; texts without
+    any word that every match needs are passed over.
 
     Null and empty texts and texts of fewer than two words match nothing. Repeated rows give repeated matches. Null
     ids are kept. Everything is computed within the row: no shuffle, whatever the groups are.
     """
-    bags = {name: template_bigrams(body) for name, body in sorted((TEMPLATES if templates is None else templates).items())}
-    bags = {name: bag for name, bag in bags.items() if bag}
-    needed = [anchors(bag, threshold) for bag in bags.values()]
+    templates = {name: body for name, body in (TEMPLATES if templates is None else templates).items() if template_bigrams(body)}
+    rows = documents.select(named(doc_id).alias("doc_id"), named(text).cast("string").alias("text"))
+    if not templates:
+        empty = {"scope": "string", "line_no": "long", "licence": "string", "dice": "double", "n_bigrams": "long"}
+        return rows.where("false").select("doc_id", *[F.lit(None).cast(kind).alias(name) for name, kind in empty.items()])
+    needed = [anchors(template_bigrams(body), threshold) for body in templates.values()]
+    result = "array<struct<scope:string,line_no:bigint,licence:string,dice:double,n_bigrams:bigint>>"
 
     def hopeful(body: Column) -> Column:
         def holds(low: Column) -> Column:
@@ -127,36 +205,51 @@ def scan(
 
     def near(bag: Column, n: Column) -> Column:
         """The best template of a set of ``n`` bigrams, among those whose size permits a match."""
-        scores = [
-            F.when(
-                n.between(len(other) * threshold / (2 - threshold) - 1e-9, len(other) * (2 - threshold) / threshold + 1e-9),
-                F.struct(
-                    (2.0 * F.size(F.array_intersect(bag, F.array(*map(F.lit, other)))) / (n + len(other))).alias("dice"),
-                    F.lit(-place).alias("place"), F.lit(name).alias("licence"), n.cast("long").alias("n_bigrams"),
-                ),
-            )
-            for place, (name, other) in enumerate(bags.items())
-        ]
-        nothing = F.lit(None).cast("struct<dice:double,place:int,licence:string,n_bigrams:bigint>")
-        return F.array_max(F.array(*scores, nothing))
-
-    def judged(unit: Column) -> Column:
-        best = let(words_of(unit["body"]), lambda w: let(bigrams_of(w), lambda bag: let(F.size(bag), lambda n: near(bag, n))))
-        return F.struct(unit["scope"].alias("scope"), unit["line_no"].alias("line_no"), best.alias("best"))
-
-    rows = documents.select(named(doc_id).alias("doc_id"), named(text).cast("string").alias("text")).where(hopeful(F.col("text")))
-    lines = F.filter(
-        F.transform(F.split("text", "\n"), lambda line, i: F.struct(F.lit("line").alias("scope"), i.cast("long").alias("line_no"), line.alias("body"))),
-        lambda unit: hopeful(unit["body"]),
-    )
-    whole = F.when(
-        F.contains("text", F.lit("\n")),
-        F.array(F.struct(F.lit("document").alias("scope"), F.lit(-1).cast("long").alias("line_no"), F.col("text").alias("body"))),
-    ).otherwise(F.array().cast("array<struct<scope:string,line_no:bigint,body:string>>"))
+        low, high = threshold / (2 - threshold), (2 - threshold) / threshold
+        sized = F.filter(shapes_of(templates, threshold), lambda t: n.between(F.size(t["bag"]) * low - 1e-9, F.size(t["bag"]) * high + 1e-9))
+        return F.array_max(F.transform(sized, lambda t: F.struct(
+            (2.0 * F.size(F.array_intersect(bag, t["bag"])) / (n + F.size(t["bag"]))).alias("dice"),
+            (-t["place"]).alias("place"), t["name"].alias("licence"), n.cast("long").alias("n_bigrams"),
+        )))
+
+    def judged(scope: str, line_no: Column, bag: Column) -> Column:
+        return let(let(F.size(bag), lambda n: near(bag, n)), lambda best: F.struct(
+            F.lit(scope).alias("scope"), line_no.cast("long").alias("line_no"), best["licence"].alias("licence"),
+            best["dice"].alias("dice"), best["n_bigrams"].alias("n_bigrams"),
+        ))
+
+    def further(pairs: Column, found: Column) -> Column:
+        """The passages that no match in ``found`` accounts for."""
+        split = F.split("text", "\n")
+        line_of = F.flatten(F.transform(split, lambda line, i: F.transform(words_of(line), lambda _: i.cast("long"))))
+
+        def numbered(passages: Column, lines: Column) -> Column:
+            ends = F.transform(passages, lambda p: F.struct(
+                F.get(lines, p["start"]).alias("first"), F.get(lines, p["start"] + p["length"]).alias("last"), p.alias("p"),
+            ))
+            new = F.filter(ends, lambda e: ~F.exists(found, lambda u: (u["licence"] == e["p"]["licence"]) & (
+                (u["scope"] == "document") | u["line_no"].between(e["first"], e["last"])
+            )))
+            return F.transform(new, lambda e: F.struct(
+                F.lit("passage").alias("scope"), e["first"].alias("line_no"), e["p"]["licence"].alias("licence"),
+                e["p"]["dice"].alias("dice"), e["p"]["n_bigrams"].alias("n_bigrams"),
+            ))
+
+        def with_lines(passages: Column) -> Column:
+            return F.when(F.size(passages) > 0, let(line_of, lambda lines: numbered(passages, lines))).otherwise(F.array().cast(result))
+
+        return let(passages_of(pairs, templates, threshold), with_lines)
+
+    def matches(pairs: Column) -> Column:
+        lines = F.filter(F.transform(F.split("text", "\n"), lambda line, i: F.struct(i.alias("i"), line.alias("body"))), lambda x: hopeful(x["body"]))
+        each = F.transform(lines, lambda x: let(bigrams_of(words_of(x["body"])), lambda bag: judged("line", x["i"], bag)))
+        whole = F.when(F.contains("text", F.lit("\n")), F.array(let(F.array_distinct(pairs), lambda bag: judged("document", F.lit(-1), bag))))
+        units = F.concat(each, F.coalesce(whole, F.array().cast(result)))
+        return let(F.filter(units, lambda u: u["dice"] >= threshold), lambda found: F.concat(found, further(pairs, found)))
+
     # Units are judged inside the generator's input, once each; only matches become rows.
-    found = F.filter(F.transform(F.concat(lines, whole), judged), lambda u: u["best"]["dice"] >= threshold)
-    best = rows.select("doc_id", F.explode(found).alias("u"))
-    return best.select("doc_id", "u.scope", "u.line_no", "u.best.licence", "u.best.dice", "u.best.n_bigrams")
+    found = rows.where(hopeful(F.col("text"))).select("doc_id", F.explode(let(let(words_of(F.col("text")), pairs_of), matches)).alias("u"))
+    return found.select("doc_id", "u.scope", "u.line_no", "u.licence", "u.dice", "u.n_bigrams")
 
 
 def quoted(value: str) -> str:
@@ -166,19 +259,22 @@ def quoted(value: str) -> str:
 def sql() -> str:
     """The same result over ``documents`` in SQL, without any of the shortcuts."""
     bags = {name: template_bigrams(body) for name, body in sorted(TEMPLATES.items())}
-    values = ", ".join(f"({quoted(n)}, {i}, [{', '.join(map(quoted, b))}])" for i, (n, b) in enumerate(bags.items()))
+    values = ", ".join(
+        f"({quoted(n)}, {i}, [{', '.join(map(quoted, b))}], {passage_lengths(TEMPLATES[n], THRESHOLD)})" for i, (n, b) in enumerate(bags.items())
+    )
+
+    def words(body: str) -> str:
+        return f"list_filter(string_split(regexp_replace(translate({body}, '{UPPER}', '{LOWER}'), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: w <> '')"
+
     return f"""
-with templates(licence, place, t) as (values {values}),
+with templates(licence, place, t, lengths) as (values {values}),
 units as (
   select doc_id, 'line' as scope, unnest(range(len(string_split(text, chr(10))))) :: bigint as line_no, unnest(string_split(text, chr(10))) as body
   from documents where text is not null
   union all
   select doc_id, 'document', -1 :: bigint, text from documents where contains(text, chr(10))
 ),
-worded as (
-  select doc_id, scope, line_no, list_filter(string_split(regexp_replace(translate(body, '{UPPER}', '{LOWER}'), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: w <> '') as w
-  from units
-),
+worded as (select doc_id, scope, line_no, {words("body")} as w from units),
 bagged as (
   select doc_id, scope, line_no, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) as bag
   from worded where len(w) >= 2
@@ -186,7 +282,39 @@ bagged as (
 scored as (
   select doc_id, scope, line_no, licence, place, 2.0 :: double * len(list_intersect(bag, t)) / (len(bag) + len(t)) as dice, len(bag) :: bigint as n_bigrams
   from bagged join templates on len(bag) * 3 >= len(t) and len(t) * 3 >= len(bag)
+),
+matched as (
+  select doc_id, scope, line_no, licence, dice, n_bigrams from (
+    select *, row_number() over (partition by doc_id, scope, line_no order by dice desc, place) as r from scored where dice >= {THRESHOLD}
+  ) where r = 1
+),
+numbered as (select doc_id, line_no, unnest(w) as word, generate_subscripts(w, 1) as n from worded where scope = 'line'),
+placed as (
+  select doc_id, line_no, word, row_number() over (partition by doc_id order by line_no, n) as p,
+    word || ' ' || lead(word) over (partition by doc_id order by line_no, n) as pair
+  from numbered
+),
+pairs as (select doc_id, list(pair order by p) filter (pair is not null) as pairs, list(line_no order by p) as lines from placed group by doc_id),
+begun as (
+  select doc_id, licence, t, p, unnest(lengths) as length from placed join (select *, unnest(t) as pair from templates) using (pair)
+),
+cut as (
+  select doc_id, licence, t, p, length, lines[p] as line_no, lines[least(p + length, len(lines))] as last_line, least(length, len(pairs) - p + 1) as held,
+    list_distinct(pairs[p : p + length - 1]) as bag
+  from begun join pairs using (doc_id)
+),
+judged as (
+  select *, 2.0 :: double * len(list_intersect(bag, t)) / (len(bag) + len(t)) as dice, len(bag) :: bigint as n_bigrams from cut
+),
+best as (select * from (select *, row_number() over (partition by doc_id, licence, p order by dice desc, length) as r from judged where dice >= {THRESHOLD}) where r = 1),
+passages as (
+  select * from best one where not exists (
+    select 1 from best other where other.doc_id = one.doc_id and other.licence = one.licence and other.p < one.p + one.held and one.p < other.p + other.held
+      and (other.dice > one.dice or (other.dice = one.dice and other.p < one.p))
+  )
 )
-select doc_id, scope, line_no, licence, dice, n_bigrams from (
-  select *, row_number() over (partition by doc_id, scope, line_no order by dice desc, place) as r from scored where dice >= {THRESHOLD}
-) where r = 1"""
+select * from matched
+union all
+select doc_id, 'passage', line_no, licence, dice, n_bigrams from passages p where not exists (
+  select 1 from matched m where m.doc_id = p.doc_id and m.licence = p.licence and (m.scope = 'document' or m.line_no between p.line_no and p.last_line)
+)"""
