@@ -2,6 +2,7 @@
 
 import os
 import re
+import textwrap
 
 import pytest
 from pyspark.sql import functions as F
@@ -44,23 +45,57 @@ def brute_licences(text):
                 best = (name, dice)
         if best:
             found[number] = best
-    return found
+    return [(number, *best) for number, best in found.items()] + brute_passages(text, found)
+
+
+def brute_passages(text, found):
+    """Every window of every template's lengths, then those that nothing overlapping exceeds and no unit accounts for."""
+    words = [(w, i) for i, line in enumerate(text.split("\n")) for w in re.findall("[a-z0-9]+", re.sub("[A-Z]", lambda m: m[0].lower(), line))]
+    pairs = [f"{a} {b}" for (a, _), (b, _) in zip(words, words[1:])]
+    out = []
+    for name, body in licences.TEMPLATES.items():
+        other = set(licences.template_bigrams(body))
+        best = {}
+        for start in (i for i, pair in enumerate(pairs) if pair in other):
+            for length in licences.passage_lengths(body, 0.8):
+                bag = set(pairs[start:start + length])
+                dice = 2 * len(bag & other) / (len(bag) + len(other))
+                if dice >= 0.8 and dice > best.get(start, (0,))[0]:
+                    best[start] = (dice, min(start + length, len(pairs)))
+        for start, (dice, end) in best.items():
+            if any(s < end and start < e and (d > dice or d == dice and s < start) for s, (d, e) in best.items()):
+                continue
+            if not any(n == name and (i == -1 or words[start][1] <= i <= words[end][1]) for i, (n, _) in found.items()):
+                out.append((words[start][1], name, dice))
+    return out
+
+
+def wrapped(text):
+    return "\n".join("# " + line for line in textwrap.wrap(text, 76))
 
 
 def test_licences_equal_brute_force(spark):
     t = licences.TEMPLATES
     mit = t["MIT"]
     cut = " ".join(mit.split()[:-20])
+    code = "\n" + "".join(f"def f{i}(a{i}): return b{i} + {i}\n" for i in range(150))
     texts = [
         None, "", "word", "RELEASED under the mit-license", "prose\n" + t["Apache-2.0 notice"] + "\nmore", mit, mit.replace(". ", ".\n"), cut,
         "Copyright (c) 2001 Someone\n\n" + mit, " ".join(mit.split()[:60]), t["ISC"].upper(), "the " * 5000 + "mit", t["GPL-3.0 notice"] + " " + t["MIT notice"],
         "Licensed under CC BY-NC 4.0. And more words", "mit license", "\n" * 500 + t["MIT notice"], t["MIT notice"],
+        wrapped(t["Apache-2.0 header"]) + code, "Copyright 2001\n" + wrapped(mit) + code, "Ours. Released under the MIT License. Ask us for more of it.",
+        " ".join([t["MIT notice"]] * 300), code + wrapped(t["MPL-2.0 notice"]) + code + wrapped(t["ISC"]) + code + wrapped(t["MPL-2.0 notice"]),
+        code + wrapped(" ".join(mit.split()[:130])) + code + wrapped(mit.replace("software", "program")) + code, wrapped(t["GPL-3.0 header"] * 2) + code,
+        "under the MIT License. Released under the MIT License under the MIT License and released",
     ]
     docs = spark.createDataFrame(list(enumerate(texts)) + [(3, texts[3]), (None, t["MIT notice"])], "doc_id long, text string").withColumn("words", F.lit(1)).withColumn("n", F.lit(2))
     got = licences.scan(docs).collect()
-    want = [(i, n, *v) for i, text in [*enumerate(texts), (3, texts[3]), (None, t["MIT notice"])] for n, v in brute_licences(text or "").items()]
+    want = [(i, n, *v) for i, text in [*enumerate(texts), (3, texts[3]), (None, t["MIT notice"])] for n, *v in brute_licences(text or "")]
     assert sorted(map(str, want)) == sorted(str((r.doc_id, r.line_no, r.licence, r.dice)) for r in got)
     assert len(want) > 9
+    passages = {(r.doc_id, r.licence) for r in got if r.scope == "passage"}
+    first = texts.index(t["MIT notice"]) + 1
+    assert {(first, "Apache-2.0 header"), (first + 1, "MIT"), (first + 2, "MIT notice"), (first + 4, "MPL-2.0 notice"), (first + 4, "ISC")} <= passages
     assert licences.scan(docs.where("1 = 0")).count() == 0
     assert licences.scan(docs, templates={}).count() == 0
 
