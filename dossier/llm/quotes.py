@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,17 +34,27 @@ def lines_of(text: Column) -> Column:
     return F.transform(kept, lambda p: p["line"])
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
 def passages_of(lines: Column) -> Column:
     """Runs of quoted lines of one level as ``(level, body)``, in order; own lines and other levels end a run."""
 
-    def add(done: Column, line: Column) -> Column:
-        last = F.try_element_at(done, F.lit(-1))
-        longer = F.struct(line["level"].alias("level"), F.concat_ws("\n", last["body"], line["body"]).alias("body"))
-        before = F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))
-        return F.when(last["level"] == line["level"], F.concat(before, F.array(longer))).otherwise(F.concat(done, F.array(line)))
+    def runs(held: Column) -> Column:
+        def level(i: Column) -> Column:
+            return F.coalesce(F.get(held, i)["level"], F.lit(0))
+
+        # A run begins and ends where the level changes, so the bounds are found line by line and every body is joined once.
+        begins = F.filter(F.transform(held, lambda line, i: i), lambda i: (level(i) > 0) & ((i == 0) | (level(F.greatest(i - 1, F.lit(0))) != level(i))))
+        ends = F.filter(F.transform(held, lambda line, i: i), lambda i: (level(i) > 0) & (level(i + 1) != level(i)))
+        return F.zip_with(begins, ends, lambda first, last: F.struct(
+            level(first).alias("level"),
+            F.array_join(F.transform(F.slice(held, first + 1, last - first + 1), lambda line: line["body"]), "\n").alias("body"),
+        ))
 
-    runs = F.aggregate(lines, F.array().cast("array<struct<level:int,body:string>>"), add)
-    return F.filter(runs, lambda run: run["level"] > 0)
+    return let(lines, runs)
 
 
 def hashed(bodies: Column) -> Column:

@@ -180,3 +180,12 @@ def test_the_query_keeps_all_messages(spark):
     got = entry.queries()["op7_quotation_linking"](spark, SF)
     assert got.count() == messages.count()
     assert got.where("text like '>%'").count() == 0
+
+
+def test_quotations_of_a_very_long_message(spark):
+    lines = 100_000
+    text = "".join(f"> {'> ' * (i % 2)}line {i}\n" for i in range(lines))
+    messages = spark.createDataFrame([("c", 0, f"line {lines - 1}"), ("c", 1, text), ("c", 2, "> a\n" * lines)], "conv_id string, turn int, text string")
+    rows = {r.turn: r for r in quotes.link(messages).select("turn", "text", "reply_to", "n_quotes").collect()}
+    assert [rows[t].n_quotes for t in range(3)] == [0, lines, 1]
+    assert rows[1].reply_to == 0 and rows[1].text == rows[2].text == ""
