@@ -283,6 +283,13 @@ def _compare(store: TableStore, accession_number: str, section_type: str, previo
     return comparison.compare(request, filings, sections, chunks)
 
 
+def variant_note(variant: tuple[str, bool, bool, bool]) -> str:
+    """A line of the report that states what a variant uses."""
+    name, *used = variant
+    parts = ("filters of the question", "structured facts", "stored answers")
+    return f"- `{name}`: {', '.join(part for part, on in zip(parts, used) if on) or 'none of filters, facts and stored answers'}."
+
+
 def evaluate(
     store: TableStore, dataset: str, variants: Sequence[str] = K.DEFAULT_VARIANTS, stored_answers: str | None = None,
     model: str = K.DEFAULT_MODEL,
@@ -312,7 +319,7 @@ def evaluate(
     failures = [row.line for row in evaluation.failure_examples(scores, "question_order", "variant_rank").collect()]
     lines = [
         K.REPORT_TITLE, "", f"Dataset: `{dataset}`", f"Questions: {questions.count()}", "", *K.REPORT_HEADINGS[:1], "",
-        *K.REPORT_TABLE, *[shown[v] for v in variants if v in shown], "", *K.REPORT_HEADINGS[1:2], "", *K.ABLATION_NOTES, "",
+        *K.REPORT_TABLE, *[shown[v] for v in variants if v in shown], "", *K.REPORT_HEADINGS[1:2], "", *map(variant_note, K.VARIANTS), "",
         *K.REPORT_HEADINGS[2:], "", *(failures or ["No failing examples in this run."]), "",
     ]
     return scores, metrics, lines
