@@ -97,3 +97,26 @@ def test_a_late_older_fact_does_not_replace_a_newer_one(spark, tmp_path):
     load(("tie", 3, 9, 5, {"label": "renamed"}))
     assert newest() == {("tie", "renamed")}
     assert store.read("facts").count() == 3
+
+
+def test_a_request_is_decided_among_the_keys_of_its_company_only(spark, monkeypatch):
+    """One row a fact is moved, whatever the number of keys it answers to; nulls on either side meet nothing."""
+    order = [c.strip().split()[0] for c in FACTS.replace("decimal(38,6)", "d").split(",")]
+    base = dict(cik="x", accession_number="a1", concept="Assets", label="l", unit="USD", value=Decimal(1), fiscal_period="FY", fiscal_year=2024,
+                fiscal_quarter=None, form_type="10-K", filed_date=dt.date(2024, 1, 1), frame=None, filing_accession=None, ingest_seq=[1])
+    changes = [{}, {"filed_date": None, "ingest_seq": [9]}, {"accession_number": "a2", "form_type": None, "fiscal_year": 2020, "fiscal_quarter": 3},
+               {"cik": None}, {"accession_number": "a2", "form_type": "10-Q", "fiscal_year": 2021, "fiscal_quarter": 2, "fiscal_period": "Q2"}]
+    facts = spark.createDataFrame([tuple({**base, "source_key": f"k{i}", **c}[n] for n in order) for i, c in enumerate(changes)], FACTS)
+    filed = [("a1", "x", "10-K", 2024, None), ("a2", "x", "10-Q", 2021, 2), ("a3", "x", "8-K", 2020, 3), ("a4", None, "10-K", 2024, None), ("a5", "x", None, 2021, None)]
+    filings = spark.createDataFrame([(a, c, t, None, None, y, q, None, None) for a, c, t, y, q in filed], FILINGS)
+    asked = [(f"q{a}", "assets", a, None, None, None) for a, *_ in filed] + [("none", "weather", "a1", None, None, None), ("open", "assets", "a3", None, 2021, None)]
+    asked = spark.createDataFrame([*asked, asked[0]], "question_id string, question string, accession_number string, form_type string, fiscal_year int, fiscal_quarter int")
+    moved = []
+    explode = FA.F.explode
+    monkeypatch.setattr(FA.F, "explode", lambda c: (moved.append(str(c)), explode(c))[1])
+    got = {r.question_id: (r.tier, r.fact.source_key if r.fact else None, r.reason) for r in FA.lookup(asked, filings, facts).collect()}
+    assert got == {
+        "qa1": (1, "k0", None), "qa2": (1, "k4", None), "qa3": (3, "k2", None), "qa4": (None, None, "fact_not_found"), "qa5": (3, "k4", None),
+        "none": (None, None, "no_metric_match"), "open": (None, None, "fact_not_found"),
+    }
+    assert len(moved) == 2 and all("asks" in m for m in moved)  # facts themselves are not spread over their keys
