@@ -229,6 +229,12 @@ def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
     return prints.join(assigned, "fp").select("doc_id", "fp", "component_id")
 
 
+def groups(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS, words: int = SHINGLE) -> DataFrame:
+    """``kd, kt, root`` of the distinct rows (see ``row_key``): rows of one root are reachable by links."""
+    prints, rooted = _rooted(documents, doc_id, text, radius, words)
+    return prints.join(rooted, "fp").select("kd", "kt", "root").distinct()
+
+
 def keep_one(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS, words: int = SHINGLE) -> DataFrame:
     """``documents`` with one row of every near-duplicate group: the one of least id, in its own columns.
 

@@ -357,3 +357,21 @@ def test_pipeline_runs_and_each_stage_keeps_its_columns(spark):
             assert stage(spark, sample, SF).columns == odd.columns
             stage(spark, sample, SF).count()
         corpus_pipeline.sequences(spark, sample, SF).count()
+
+
+def test_near_copies_are_linked_by_fingerprints_too(spark):
+    import random
+
+    rng = random.Random(4)
+    words = [f"w{rng.randrange(5000)}" for _ in range(40)]
+    # Fingerprints within the radius, but a Jaccard similarity over five-word shingles of less than 0.8.
+    first, found = " ".join(words), None
+    for at in range(5, 35):
+        other = " ".join([*words[:at], "changed", *words[at + 1:]])
+        bits = (simhash.fingerprint(first) ^ simhash.fingerprint(other)) & 0xFFFFFFFFFFFFFFFF
+        if bits.bit_count() <= simhash.RADIUS and jaccard(first, other) < 0.8:
+            found = other
+    assert found
+    rows = [(5, first), (6, found), (7, "quite another text of a few words")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOCS)
+    assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()} == {5, 7}
