@@ -18,7 +18,7 @@ from dossier import __version__
 from dossier import constants as K
 from dossier.operators import answering, comparison, evaluation, parsing, retrieval, upserts
 from dossier.operators import facts as FA
-from dossier.session import at_driver, durable, in_request, intermediates, single_request
+from dossier.session import at_driver, durable, in_request, intermediates, remove, single_request
 from dossier.sources import feeds
 from dossier.sources.questions import read_questions, read_stored_answers
 from dossier.sources.tables import TableStore
@@ -89,18 +89,26 @@ def store_facts(store: TableStore, facts: DataFrame) -> None:
     """Upsert facts, then bring the table of best facts up to date with them.
 
     The second step reads the facts as they are stored, since a fact keeps the place at which it was first ingested. Both
-    tables are bucketed by company; a crash in between is mended by loading again.
+    tables are bucketed by company; a crash in between is mended by loading again. A kept table of another form is made anew.
     """
-    known = store.manifest("best_facts") is not None
+    known = keeps_best(store)
+    if not known and store.manifest("best_facts") is not None:
+        remove(store.spark, f"{store.root}/best_facts")
     store.upsert("facts", facts, ["ingest_seq"])
     stored = store.read_for("facts", facts) if known else store.read("facts")
     loaded = stored.join(facts.select("source_key").distinct(), "source_key", "left_semi") if known else stored
     store.update("best_facts", facts if known else stored, lambda best: FA.merge_best(best, loaded))
 
 
+def keeps_best(store: TableStore) -> bool:
+    """Whether the store has the table of best facts, by filing, form and period."""
+    manifest = store.manifest("best_facts")
+    return manifest is not None and "form_type" in [f["name"] for f in manifest["schema"]["fields"]]
+
+
 def known_facts(store: TableStore, companies: DataFrame) -> DataFrame:
     """The companies' best facts; all their facts in a store that was filled before that table was kept."""
-    return store.read_for("best_facts" if store.manifest("best_facts") else "facts", companies)
+    return store.read_for("best_facts" if keeps_best(store) else "facts", companies)
 
 
 def linkable(filings: DataFrame) -> DataFrame:

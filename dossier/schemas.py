@@ -48,10 +48,9 @@ FACTS = """
     value decimal(38,6), fiscal_period string, fiscal_year int, fiscal_quarter int, form_type string,
     filed_date date, frame string, ingest_seq array<bigint>, filing_accession string
 """
-# The newest fact per company, concept and key that a question can ask for; kept up to date by every load of facts.
+# The newest fact per company, concept, filing, form and period; kept up to date by every load of facts.
 BEST_FACTS = """
-    cik string, concept string, lookup_key string, fact_fiscal_year int, fact_fiscal_quarter int, fact_fiscal_period string,
-    newest struct<filed: date, seq: array<bigint>, source: string>,
-    fact struct<concept: string, label: string, unit: string, value: decimal(38,6), fiscal_period: string, fiscal_year: int,
-        fiscal_quarter: int, form_type: string, filed_date: date, accession_number: string, source_key: string>
+    cik string, concept string, form_type string, accession_number string, fiscal_year int, fiscal_quarter int, fiscal_period string,
+    lookup_key string, newest struct<filed: date, seq: array<bigint>, source: string>,
+    fact struct<label: string, unit: string, value: decimal(38,6)>
 """

@@ -120,3 +120,20 @@ def test_a_request_is_decided_among_the_keys_of_its_company_only(spark, monkeypa
         "none": (None, None, "no_metric_match"), "open": (None, None, "fact_not_found"),
     }
     assert len(moved) == 2 and all("asks" in m for m in moved)  # facts themselves are not spread over their keys
+
+
+def test_the_kept_table_has_no_more_rows_than_there_are_facts(spark, tmp_path):
+    """A fact is kept once, not under every key it answers to; a table kept in another form is made anew."""
+    order = [c.strip().split()[0] for c in FACTS.replace("decimal(38,6)", "d").split(",")]
+    base = dict(cik="x", accession_number="a1", concept="Assets", label="l", unit="USD", value=Decimal(1), fiscal_period="FY", fiscal_year=2024,
+                fiscal_quarter=1, form_type="10-K", filed_date=dt.date(2024, 1, 1), frame=None, filing_accession=None, ingest_seq=[1])
+    changes = [{}, {"accession_number": "a2"}, {"form_type": None}, {"fiscal_year": None, "cik": None}, {"ingest_seq": [2], "label": "newer"}, {"concept": "other"}]
+    facts = spark.createDataFrame([tuple({**base, "source_key": f"k{i}", **c}[n] for n in order) for i, c in enumerate(changes)], FACTS)
+    assert {r.newest.source for r in FA.best_facts(facts).collect()} == {"k1", "k2", "k3", "k4"}
+    assert FA.best_facts(facts).count() == 4 and FA.merge_best(FA.best_facts(facts), facts).count() == 4
+    store = TableStore(spark, str(tmp_path))
+    store.update("best_facts", facts.select("cik"), lambda _: spark.sql("select 'x' cik, 'Assets' concept, '1' lookup_key, 1 fact_fiscal_year"))
+    assert "newest" not in service.known_facts(store, facts).columns
+    service.store_facts(store, facts)
+    kept = service.known_facts(store, facts.where("cik = 'x'"))
+    assert sorted((r.newest.source, r.fact.label) for r in kept.collect() if r.cik) == [("k1", "l"), ("k2", "l"), ("k4", "newer")]
