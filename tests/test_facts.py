@@ -137,3 +137,24 @@ def test_the_kept_table_has_no_more_rows_than_there_are_facts(spark, tmp_path):
     service.store_facts(store, facts)
     kept = service.known_facts(store, facts.where("cik = 'x'"))
     assert sorted((r.newest.source, r.fact.label) for r in kept.collect() if r.cik) == [("k1", "l"), ("k2", "l"), ("k4", "newer")]
+
+
+def test_only_facts_of_companies_that_are_asked_about_are_moved(spark, monkeypatch):
+    """With few companies the others' facts leave before the shuffle; with many all are moved. Both give the same."""
+    order = [c.strip().split()[0] for c in FACTS.replace("decimal(38,6)", "d").split(",")]
+    base = dict(accession_number="a1", concept="Assets", label="l", unit="USD", value=Decimal(1), fiscal_period="FY", fiscal_year=2024, fiscal_quarter=None,
+                form_type="10-K", filed_date=dt.date(2024, 1, 1), frame=None, filing_accession=None, ingest_seq=[1])
+    facts = spark.createDataFrame([tuple({**base, "source_key": f"k{c}", "cik": c}[n] for n in order) for c in ("x", "y", None)], FACTS)
+    filings = spark.createDataFrame([("a1", "x", "10-K", None, None, 2024, None, None, None), ("a2", "y", "10-K", None, None, 2024, None, None, None)], FILINGS)
+    asked = spark.createDataFrame([("q1", "assets", "a1", None, None, None), ("q2", "weather", "a2", None, None, None)],
+                                  "question_id string, question string, accession_number string, form_type string, fiscal_year int, fiscal_quarter int")
+
+    def run():
+        found = FA.lookup(asked, filings, facts)
+        return found._jdf.queryExecution().optimizedPlan().toString(), {r.question_id: r.fact and r.fact.source_key for r in found.collect()}
+
+    plan, got = run()
+    assert "LeftSemi" in plan and got == {"q1": "kx", "q2": None}
+    monkeypatch.setattr(FA, "BROADCAST_COMPANIES", 0)
+    plan, got = run()
+    assert "LeftSemi" not in plan and got == {"q1": "kx", "q2": None}
