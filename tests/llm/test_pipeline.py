@@ -375,3 +375,29 @@ def test_near_copies_are_linked_by_fingerprints_too(spark):
     rows = [(5, first), (6, found), (7, "quite another text of a few words")]
     docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOCS)
     assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()} == {5, 7}
+
+
+def test_shuffle_files_go_with_their_job(spark, monkeypatch):
+    import time
+
+    local = list(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
+
+    def files():
+        return {name for folder in local for _, _, names in os.walk(folder) for name in names if name.startswith("shuffle_")}
+
+    def grouped(spark, docs, sf):
+        return common.materialise(docs.groupBy("lang").agg(F.max("doc_id").alias("doc_id")))
+
+    before, setting = files(), spark.conf.get(corpus_pipeline.CLEANUP, None)
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("one", grouped), ("two", grouped)])
+    rows = corpus_pipeline.run(spark, SF).count()
+    assert rows == spark.read.parquet(f"{SF}/documents.parquet").select("lang").distinct().count()
+    with corpus_pipeline.shuffles_removed(spark):
+        common.materialise(spark.range(100).groupBy("id").count())
+    assert spark.conf.get(corpus_pipeline.CLEANUP, None) == setting
+    made = files() - before
+    for _ in range(50):  # files are removed in the background
+        if len(files() - before) <= 6:  # those of the two counts above, outside the block
+            break
+        time.sleep(0.2)
+    assert len(files() - before) <= 6, made
