@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import sys
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from dossier import constants as K
 from dossier.functions.vectors import cosine
 from dossier.operators.retrieval import embed_questions, keep_top, largest_top_k
+from dossier.session import durable
 
 # Executors need no copy of the package: the functions of this module travel by value.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -102,24 +104,85 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, tile: int = TILE, bl
 # ---- posting lists ----
 
 
-def build_postings(index: DataFrame, segment: int = SEGMENT) -> DataFrame:
-    """The inverted index of ``accession_number, chunk_id, sparse_vector``: one row per part of a list.
+def _inverter() -> Callable[..., Column]:
+    """The lists of one segment from the vectors of its chunks, which come in the order of their ids."""
+
+    def invert(chunks: pa.Array) -> pa.Array:
+        buckets, weights, places, per_list, per_row = [], [], [], [], []
+        for row in range(len(chunks)):
+            idx, cnt, norm = chunks.slice(row, 1).flatten().flatten()
+            sizes = idx.value_lengths().to_numpy(zero_copy_only=False)
+            bucket, place = idx.flatten().to_numpy(), np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+            weight = cnt.flatten().to_numpy() / np.repeat(norm.to_numpy(), sizes)
+            order = np.lexsort((place, -weight, bucket))
+            bucket = bucket[order]
+            first = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+            buckets.append(bucket[first])
+            weights.append(weight[order])
+            places.append(place[order])
+            per_list.append(np.diff(np.r_[first, len(bucket)]))
+            per_row.append(len(first))
+
+        def joined(parts: list[np.ndarray], kind: str) -> np.ndarray:
+            return np.concatenate([np.zeros(0, kind), *parts]).astype(kind)
+
+        def nested(sizes: np.ndarray, values: pa.Array) -> pa.Array:
+            return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), values)
+
+        weight, sizes = joined(weights, "f8"), joined(per_list, "i8")
+        starts = np.cumsum(sizes) - sizes
+        leading = np.arange(len(weight)) - np.repeat(starts, sizes) < most_of_head
+        lists = pa.StructArray.from_arrays(
+            [
+                pa.array(joined(buckets, "i4")), pa.array(weight[starts]), nested(np.minimum(sizes, most_of_head), pa.array(weight[leading])),
+                nested(sizes, pa.array(joined(places, "i4"))),
+            ],
+            ["bucket", "most", "head", "places"],
+        )
+        return nested(np.array(per_row, dtype="i8"), lists)
+
+    most_of_head = HEAD
+    return F.arrow_udf(invert, "array<struct<bucket: int, most: double, head: array<double>, places: array<int>>>")
+
 
-    ``accession_number, bucket, part, most, head, postings``: the greatest weight, the greatest few in order, and the postings
-    (``chunk_id``, heaviest first). A weight is the bucket's share of its chunk's vector. Lists of a filing with very many chunks
-    are cut into parts by a hash of the chunk, so none outgrows a row.
+def list_segments(index: DataFrame, segment: int = SEGMENT) -> DataFrame:
+    """The inverted index of ``accession_number, chunk_id, sparse_vector``: ``accession_number, part, chunk_ids, lists``.
+
+    A row holds all lists of one filing, whose postings are places in ``chunk_ids``, so a chunk's vector is moved once and not
+    its postings one by one. A filing of very many chunks is cut into parts by a hash of the chunk, so none outgrows a row; there
+    are at most as many such filings as ``segment`` goes into the index, few enough to broadcast.
     """
-    entry = F.explode(F.arrays_zip("sparse_vector.idx", "sparse_vector.cnt")).alias("e")
-    rows = index.where("sparse_vector.norm > 0").select("accession_number", "chunk_id", F.col("sparse_vector.norm").alias("norm"), entry)
-    rows = rows.select("accession_number", F.col("e.idx").alias("bucket"), "chunk_id", (F.col("e.cnt") / F.col("norm")).alias("weight"))
-    parts = index.groupBy("accession_number").agg(F.ceil(F.count("*") / segment).cast("int").alias("parts"))
-    rows = rows.join(parts, "accession_number").withColumn("part", F.pmod(F.xxhash64("chunk_id"), F.col("parts")).cast("int"))
-    lists = rows.groupBy("accession_number", "bucket", "part").agg(F.collect_list(F.struct((-F.col("weight")).alias("w"), "chunk_id")).alias("l"))
-    ordered = lists.select("accession_number", "bucket", "part", F.array_sort("l").alias("l"))
-    weights = F.transform(F.slice("l", 1, HEAD), lambda x: -x["w"])
-    return ordered.select(
-        "accession_number", "bucket", "part", (-F.col("l")[0]["w"]).alias("most"), weights.alias("head"), F.col("l.chunk_id").alias("postings")
+    cut = index.groupBy("accession_number").agg(F.ceil(F.count("*") / segment).cast("int").alias("parts")).where("parts > 1")
+    rows = index.where("sparse_vector.norm > 0").join(F.broadcast(cut), "accession_number", "left")
+    part = F.pmod(F.xxhash64("chunk_id"), F.coalesce("parts", F.lit(1))).cast("int").alias("part")
+    chunk = F.struct("chunk_id", "sparse_vector.idx", "sparse_vector.cnt", "sparse_vector.norm")
+    gathered = rows.select("accession_number", part, chunk.alias("chunk")).groupBy("accession_number", "part").agg(
+        F.array_sort(F.collect_list("chunk")).alias("chunks")
     )
+    vectors = F.transform("chunks", lambda c: F.struct(c["idx"].alias("idx"), c["cnt"].alias("cnt"), c["norm"].alias("norm")))
+    return gathered.select("accession_number", "part", F.col("chunks.chunk_id").alias("chunk_ids"), _inverter()(vectors).alias("lists"))
+
+
+def _as_rows(segments: DataFrame, lists: Column) -> DataFrame:
+    rows = segments.select("accession_number", "part", "chunk_ids", F.explode(lists).alias("l"))
+    ids = F.transform("l.places", lambda place: F.get("chunk_ids", place))
+    return rows.select("accession_number", "l.bucket", "part", "l.most", "l.head", ids.alias("postings"))
+
+
+def build_postings(index: DataFrame, segment: int = SEGMENT) -> DataFrame:
+    """The inverted index as one row per part of a list: ``accession_number, bucket, part, most, head, postings``.
+
+    The greatest weight, the greatest few in order, and the postings (``chunk_id``, heaviest first). A weight is the
+    bucket's share of its chunk's vector.
+    """
+    return _as_rows(list_segments(index, segment), F.col("lists"))
+
+
+def asked_lists(terms: DataFrame, segments: DataFrame) -> DataFrame:
+    """``build_postings`` for the terms' buckets alone: the terms of a filing meet each of its segments once."""
+    asked = terms.groupBy("accession_number").agg(F.collect_set("bucket").alias("asked"))
+    met = segments.join(asked, "accession_number")
+    return _as_rows(met, F.filter("lists", lambda held: F.array_contains("asked", held["bucket"])))
 
 
 def essential_terms(terms: DataFrame, postings: DataFrame) -> DataFrame:
@@ -145,11 +208,14 @@ def retrieve_sparse(questions: DataFrame, index: DataFrame, postings: DataFrame)
     """Top-k chunks per question by cosine of sparse vectors, among the chunks that share a word with it; ties by chunk id.
 
     Only the lists of the question's essential terms are read; the exact scores come from the vectors of the chunks found.
+    ``postings`` are rows of ``build_postings`` or, for large tables, of ``list_segments``.
     """
     keyed = embed_questions(questions, "sparse_vector", K.SPARSE_DIMENSIONS)
     entry = F.explode(F.arrays_zip("sparse_vector.idx", "sparse_vector.cnt")).alias("e")
     terms = keyed.select("question_id", "accession_number", "top_k", F.col("sparse_vector.norm").alias("norm"), entry)
     terms = terms.select("question_id", "accession_number", "top_k", "norm", F.col("e.idx").alias("bucket"), F.col("e.cnt").alias("cnt"))
+    if "lists" in postings.columns:
+        postings = durable(asked_lists(terms, postings), "asked-lists")
     read = essential_terms(terms, postings).join(postings.select("accession_number", "bucket", "postings"), ["accession_number", "bucket"])
     found = read.select("question_id", "accession_number", F.explode("postings").alias("chunk_id")).distinct()
     asked = keyed.select("question_id", "top_k", F.col("sparse_vector").alias("asked"))

@@ -86,3 +86,22 @@ def test_headline_gives_both_means(spark):
     got = evaluation.headline(scores, ["accuracy", "numeric_accuracy"]).first()
     assert got.accuracy == pytest.approx((1 / 3 + 1 + 0) / 3) and got.pooled_accuracy == pytest.approx(0.5)
     assert got.numeric_accuracy == pytest.approx(0.5) and got.pooled_numeric_accuracy == pytest.approx(1 / 3)
+
+
+def test_segments_give_the_lists_that_are_asked_for(spark, lists):
+    """A filing's lists are one row, whose chunks are moved whole; retrieval from it equals that from all lists."""
+    index, questions = lists
+    whole = search.list_segments(index)
+    assert sorted(r.accession_number for r in whole.collect()) == ["f0", "f1", "f2"]
+    assert search.list_segments(index, 10).count() > 30 and search.list_segments(index.limit(0)).count() == 0
+    every = search.build_postings(index).orderBy("accession_number", "bucket").collect()
+    entries = {}
+    for r in index.where("sparse_vector.norm > 0").select("accession_number", "chunk_id", "sparse_vector").collect():
+        for b, c in zip(r.sparse_vector.idx, r.sparse_vector.cnt):
+            entries.setdefault((r.accession_number, b), []).append((-c / r.sparse_vector.norm, r.chunk_id))
+    assert {(r.accession_number, r.bucket): (r.most, r["head"], r.postings) for r in every} == {
+        k: (-min(v)[0], [-w for w, _ in sorted(v)[: search.HEAD]], [c for _, c in sorted(v)]) for k, v in entries.items()
+    }
+    for segment in (search.SEGMENT, 10):
+        found = [search.retrieve_sparse(questions, index, make(index, segment)) for make in (search.list_segments, search.build_postings)]
+        assert sorted(map(tuple, found[0].collect())) == sorted(map(tuple, found[1].collect())) != []
