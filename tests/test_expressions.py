@@ -165,3 +165,9 @@ def test_target_numbers_prefer_values_over_years(apply):
     terms = ["revenue 2025 416 161", "fiscal 2025 000", "none"]
     got = apply(lambda c: Q.target_numbers(Q.query_terms(c)), terms)
     assert got == [["416", "161"], ["2025", "000"], []]
+
+
+def test_batch_vectors_equal_the_expression(apply):
+    texts = [*TEXTS, None, "", "İstanbul K-9 K _a a_b", " ".join(f"w{i % 7}" for i in range(500))]
+    for d in (128, 32768):
+        assert apply(lambda c: V.count_vectors(c, d), texts) == apply(lambda c: V.count_vector(c, d), texts)

@@ -74,3 +74,16 @@ def test_counts(spark):
     found = P.detect_sections(df)
     row = P.parse_counts(found, P.cut_chunks(found, 4, 1)).first()
     assert (row.sections_created, row.chunks_created) == (1, 3)
+
+
+def test_windows_of_a_long_text(apply):
+    """Every window holds the same tokens as a plain cut; the blanks in front are measured once, not per window."""
+    text = " \x1c\n" + "".join(f"w{i}{' ' * (1 + i % 3)}" for i in range(1000))
+    for size, overlap in ((64, 8), (10, 7), (3, 0), (1, 0)):
+        got = apply(lambda c: P.token_windows(c, size, overlap), [text])[0]
+        spans = [m.span() for m in re.finditer(r"\S+", text)]
+        firsts = [w * (size - overlap) for w in range(len(got))]
+        assert [(r.text, r.token_count, r.start, r.size) for r in got] == [
+            (text[spans[f][0]:(e := spans[min(f + size, 1000) - 1][1])], min(size, 1000 - f), spans[f][0], e - spans[f][0]) for f in firsts
+        ]
+        assert firsts[-1] + size >= 1000 and (len(firsts) == 1 or firsts[-2] + size < 1000)
