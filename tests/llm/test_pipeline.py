@@ -401,3 +401,22 @@ def test_shuffle_files_go_with_their_job(spark, monkeypatch):
             break
         time.sleep(0.2)
     assert len(files() - before) <= 6, made
+
+
+def test_near_duplicate_stage_leaves_no_shuffle_files(spark):
+    import time
+
+    local = list(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
+
+    def files():
+        return {name for folder in local for _, _, names in os.walk(folder) for name in names if name.startswith("shuffle_")}
+
+    docs = spark.createDataFrame([(i, f"some words of the text number {i // 2} and a few more", "en", "s", 1) for i in range(20)], DOCS)
+    before = files()
+    kept = corpus_pipeline.near_duplicates(spark, docs, SF)  # its jobs have run, the stage's own rows are still lazy
+    for _ in range(50):  # files are removed in the background
+        if not files() - before:
+            break
+        time.sleep(0.2)
+    assert not files() - before
+    assert 0 < kept.count() <= 10
