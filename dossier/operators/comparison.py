@@ -36,25 +36,32 @@ def first_section(sections: DataFrame) -> DataFrame:
     ).select("accession_number", "section_type", "s.section_sequence", "s.section_name")
 
 
-def section_claims(chunks: DataFrame) -> DataFrame:
-    """Distinct claims of each section, first occurrence wins in chunk and text order.
+def section_evidence(chunks: DataFrame) -> DataFrame:
+    """``section_claims`` and, for a section with a chunk that holds no claim, a row of the empty key.
 
-    ``chunks``: ``accession_number, section_sequence, chunk_id, text`` and citation columns. The
-    first occurrence is an aggregate (combined map-side), not a sort of the section.
+    So every section that has chunks has a row, and one pass over the chunks tells both.
     """
     found = chunks.select(
         "accession_number", "section_sequence", "chunk_id", "source_start", "source_end",
-        F.posexplode(claims(F.col("text"))).alias("claim_pos", "claim"),
-    ).withColumn("claim_key", claim_key(F.col("claim")))
+        F.posexplode_outer(claims(F.col("text"))).alias("claim_pos", "claim"),
+    ).withColumn("claim_key", F.coalesce(claim_key(F.col("claim")), F.lit("")))
     first = F.min(F.struct("chunk_id", "claim_pos", "claim", "source_start", "source_end")).alias("first")
     return (
-        found.where(F.col("claim_key") != "")
-        .groupBy("accession_number", "section_sequence", "claim_key")
+        found.groupBy("accession_number", "section_sequence", "claim_key")
         .agg(first)
         .select("accession_number", "section_sequence", "claim_key", "first.*")
     )
 
 
+def section_claims(chunks: DataFrame) -> DataFrame:
+    """Distinct claims of each section, first occurrence wins in chunk and text order.
+
+    ``chunks``: ``accession_number, section_sequence, chunk_id, text`` and citation columns. The
+    first occurrence is an aggregate (combined map-side), not a sort of the section.
+    """
+    return section_evidence(chunks).where(F.col("claim_key") != "")
+
+
 def sections_compared(pairs: DataFrame) -> DataFrame:
     """``pair_id, side, accession_number, section_sequence``: both sides of every pair."""
     sides = [
@@ -64,19 +71,14 @@ def sections_compared(pairs: DataFrame) -> DataFrame:
     return pairs.select("pair_id", F.explode(F.array(*sides)).alias("s")).select("pair_id", "s.*")
 
 
-def pair_claims(pairs: DataFrame, chunks: DataFrame) -> DataFrame:
-    """``section_claims`` of the sections that the pairs compare; no other chunk is split."""
-    wanted = sections_compared(pairs).select("accession_number", "section_sequence").distinct()
-    return section_claims(chunks.join(wanted, ["accession_number", "section_sequence"], "left_semi"))
-
-
 def diff_claims(pairs: DataFrame, found: DataFrame) -> DataFrame:
     """Claims of each comparison pair labelled ``added``, ``removed`` or ``unchanged``.
 
     ``pairs``: ``pair_id, current_accession, prior_accession`` plus the section sequence of each side;
-    ``found``: their distinct claims. Both sides are keyed by (pair, claim) in one join and meet in one aggregate.
+    ``found``: their distinct claims. Both sides are keyed by (pair, claim) in one join and meet in one aggregate, dealt by
+    pair, so that whoever groups the result by pair moves nothing again.
     """
-    rows = sections_compared(pairs).join(found, ["accession_number", "section_sequence"])
+    rows = sections_compared(pairs).join(found, ["accession_number", "section_sequence"]).repartition("pair_id")
     kept = F.struct(*[c for c in found.columns if c not in ("claim_key", "section_sequence")])
     sides = [F.any_value(F.when(F.col("side") == name, kept), F.lit(True)).alias(name) for name in ("current", "prior")]
     return rows.groupBy("pair_id", "claim_key").agg(*sides).withColumn(
@@ -99,11 +101,12 @@ def _citation(role: str, side: Column, section: Column, section_type: Column, ur
     )
 
 
-def resolve_pairs(requests: DataFrame, filings: DataFrame, sections: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Both filings and sections of every comparison request, with the first failing condition as reason.
+def resolve_pairs(requests: DataFrame, filings: DataFrame, sections: DataFrame, chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both filings and sections of every comparison request, with the first failing condition as reason, and their distinct claims.
 
-    Only filings of the requested companies and forms, and sections of the filings in the pairs, are looked at. The result
-    is a written table, small next to the others and read by several steps.
+    Only filings of the requested companies and forms, and sections of the filings in the pairs, are looked at. Chunks are read
+    once, those of the sections compared: their ``section_evidence`` is written, and it also says which sections have chunks. The
+    pairs are a written table, small next to the others and read by several steps.
     """
     filed = filings.select("accession_number", "source_url")
     group = ["cik", "form_type"]
@@ -125,32 +128,30 @@ def resolve_pairs(requests: DataFrame, filings: DataFrame, sections: DataFrame,
     wanted = resolved.select(F.explode(F.array("current_accession", "prior_accession")).alias("accession_number"), "section_type")
     wanted = wanted.where("accession_number is not null").distinct()
     heads = first_section(sections.join(wanted, ["accession_number", "section_type"], "left_semi"))
-    chunked = chunks.select("accession_number", "section_sequence").join(
-        wanted.select("accession_number").distinct(), "accession_number", "left_semi"
-    ).distinct().withColumn("has_chunks", F.lit(True))
-    heads = heads.join(chunked, ["accession_number", "section_sequence"], "left")
-
-    def side(name: str) -> tuple[DataFrame, list[str]]:
+    for name in ("current", "prior"):
         key = f"{name}_accession"
         renamed = heads.select(
-            F.col("accession_number").alias(key),
-            "section_type",
-            F.col("section_sequence").alias(f"{name}_sequence"),
-            F.col("section_name").alias(f"{name}_section"),
-            F.coalesce("has_chunks", F.lit(False)).alias(f"{name}_chunked"),
+            F.col("accession_number").alias(key), "section_type",
+            F.col("section_sequence").alias(f"{name}_sequence"), F.col("section_name").alias(f"{name}_section"),
         )
-        return renamed, [key, "section_type"]
-
+        resolved = resolved.join(renamed, [key, "section_type"], "left")
+    # Only where both sections are there does it matter what they hold.
+    resolved = durable(resolved, "paired-sections")
+    place = ["accession_number", "section_sequence"]
+    both = sections_compared(resolved.where("current_sequence is not null and prior_sequence is not null"))
+    evidence = durable(section_evidence(chunks.join(both.select(*place).distinct(), place, "left_semi")), "compared-evidence")
+    chunked = evidence.select(*place).distinct()
     for name in ("current", "prior"):
-        table, keys = side(name)
-        resolved = resolved.join(table, keys, "left")
+        keys = [F.col(key).alias(f"{name}_{own}") for key, own in zip(place, ("accession", "sequence"))]
+        held = chunked.select(*keys, F.lit(True).alias(f"{name}_chunked"))
+        resolved = resolved.join(held, [f"{name}_accession", f"{name}_sequence"], "left")
     reason = (
         F.when(F.col("current_sequence").isNull(), F.lit("current_section_missing"))
         .when(F.col("prior_accession").isNull(), F.lit("previous_filing_missing"))
         .when(F.col("prior_sequence").isNull(), F.lit("prior_section_missing"))
-        .when(~(F.col("current_chunked") & F.col("prior_chunked")), F.lit("section_chunks_missing"))
+        .when(F.col("current_chunked").isNull() | F.col("prior_chunked").isNull(), F.lit("section_chunks_missing"))
     )
-    return durable(resolved.withColumn("reason", reason), "compared-pairs")
+    return durable(resolved.withColumn("reason", reason), "compared-pairs"), evidence.where("claim_key <> ''")
 
 
 def compare(requests: DataFrame, filings: DataFrame, sections: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -159,10 +160,10 @@ def compare(requests: DataFrame, filings: DataFrame, sections: DataFrame, chunks
 
     Counts cover all claims; only the first ``max_claims`` of each kind are listed.
     """
-    pairs = resolve_pairs(requests, filings, sections, chunks)
+    pairs, found = resolve_pairs(requests, filings, sections, chunks)
     usable = pairs.where(F.col("reason").isNull())
     listed_at_most = pairs.agg(F.max("max_claims")).first()[0] or 0
-    claim_rows = durable(diff_claims(usable, pair_claims(usable, chunks)).join(
+    claim_rows = durable(diff_claims(usable, found).join(
         usable.select("pair_id", "section_type", "max_claims", "current_section", "prior_section", "current_url", "prior_url"),
         "pair_id",
     ), "compared-claims")

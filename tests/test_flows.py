@@ -389,3 +389,58 @@ def test_variants_with_stored_answers(store, tmp_path):
     assert results["x", "openai_retrieved_context"]["insufficient_evidence_reason"] == "eval_variant_error"
     report = (tmp_path / "report.md").read_text()
     assert "## Ablation Notes" in report and "## Failure Examples" in report
+
+
+def test_comparison_cuts_each_compared_section_once(spark):
+    from pyspark.sql import functions as F
+
+    from dossier.operators import comparison
+
+    cut = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<string>")
+    def pieces(text):
+        cut.add(1)
+        return [text] if text.strip() else []
+
+    filings = spark.createDataFrame(
+        [(f"a{day}", "1", "10-K", f"2020-01-0{day}", "u") for day in (1, 2, 3)], "accession_number string, cik string, form_type string, filing_date string, source_url string"
+    )
+    texts = {
+        ("a1", 1, "business"): "The first claim stands here.\nIt is of the first filing.", ("a1", 2, "mda"): "Nothing that is compared.", ("a1", 3, "controls"): " ",
+        ("a2", 1, "business"): "The first claim stands here.\nIt is of the second filing.", ("a2", 2, "mda"): "Nothing that is compared.", ("a2", 3, "controls"): "Some controls are described.",
+        ("a3", 1, "business"): "tiny", ("a3", 2, "legal_proceedings"): "No such section before.",
+    }
+    sections = spark.createDataFrame([(*key, key[2], text, 0) for key, text in texts.items()], (
+        "accession_number string, section_sequence int, section_type string, section_name string, section_text string, start_offset int"
+    ))
+    chunks = sections.select("accession_number", "section_sequence", F.explode(pieces("section_text")).alias("text")).select(
+        "*", F.concat_ws(":", "accession_number", "section_sequence").alias("chunk_id"), F.lit(0).alias("source_start"), F.length("text").alias("source_end")
+    )
+    asked = [(1, "a2", "business"), (2, "a2", "controls"), (3, "a3", "legal_proceedings"), (4, "a3", "business"), (5, "a1", "mda"), (6, "a2", "risk_factors")]
+    requests = spark.createDataFrame([(*r, None, 3) for r in asked], "pair_id long, accession_number string, section_type string, prior_accession_number string, max_claims int")
+    found = {r.pair_id: r for r in comparison.compare(requests, filings, sections, chunks).collect()}
+    assert cut.value <= len(texts)  # once for both questions: which sections have chunks, and what these claim
+    assert [c.snippet for c in found[1].added_claims] == ["It is of the second filing."]
+    assert [c.snippet for c in found[1].removed_claims] == ["It is of the first filing."]
+    assert found[1].unchanged_claim_count == 1
+    assert {k: r.insufficient_evidence_reason for k, r in found.items()} == {
+        1: None, 2: "section_chunks_missing", 3: "prior_section_missing", 4: "section_chunks_missing", 5: "previous_filing_missing", 6: "current_section_missing",
+    }
+    # A section whose chunks hold no claim has chunks all the same.
+    pairs, claims = comparison.resolve_pairs(requests, filings, sections, chunks)
+    assert {r.pair_id: r.reason for r in pairs.collect()}[4] is None
+    assert claims.where("accession_number = 'a3'").count() == 0
+
+
+def test_stripping_takes_every_kind_of_white_space(spark):
+    from pyspark.sql import functions as F
+
+    from dossier.functions import text as T
+
+    space = [chr(c) for c in range(0x3100) if chr(c).isspace()]
+    assert sorted(T.SPACES) == space
+    inner = "a" + "".join(space) + "b\u200b"
+    df = spark.createDataFrame([("".join(space) + inner + "".join(space),), ("".join(space),), ("",), (None,)], "v string")
+    rows = [tuple(r) for r in df.select(T.strip(F.col("v")), T.rstrip(F.col("v"))).collect()]
+    assert rows == [(inner, "".join(space) + inner), ("", ""), ("", ""), (None, None)]
