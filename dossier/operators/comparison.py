@@ -162,41 +162,32 @@ def compare(requests: DataFrame, filings: DataFrame, sections: DataFrame, chunks
     """
     pairs, found = resolve_pairs(requests, filings, sections, chunks)
     usable = pairs.where(F.col("reason").isNull())
-    listed_at_most = pairs.agg(F.max("max_claims")).first()[0] or 0
-    claim_rows = durable(diff_claims(usable, found).join(
+    claim_rows = diff_claims(usable, found).join(
         usable.select("pair_id", "section_type", "max_claims", "current_section", "prior_section", "current_url", "prior_url"),
         "pair_id",
-    ), "compared-claims")
+    )
     now = _citation("current", F.col("current"), F.col("current_section"), F.col("section_type"), F.col("current_url"))
     before = _citation("prior", F.col("prior"), F.col("prior_section"), F.col("section_type"), F.col("prior_url"))
 
-    # The first max_claims rows per kind, found before anything is collected per pair.
+    # Claims stand together by pair, so they are numbered and summed up without moving again. Of the changes only the first
+    # max_claims per kind are collected; each side's first claim is for the case that no listed change cites that side.
     added = F.col("change") == "added"
-    changed = claim_rows.where(F.col("change") != "unchanged").select(
-        "pair_id", "change", "max_claims",
-        F.when(added, now).otherwise(before).alias("citation"),
-        F.when(added, F.col("current.chunk_id")).otherwise(F.col("prior.chunk_id")).alias("chunk_id"),
-        F.when(added, F.col("current.claim_pos")).otherwise(F.col("prior.claim_pos")).alias("claim_pos"),
-    )
-    w = Window.partitionBy("pair_id", "change").orderBy("chunk_id", "claim_pos")
-    listed = (
-        changed.withColumn("position", F.row_number().over(w))
-        .where(F.col("position") <= listed_at_most)
-        .where(F.col("position") <= F.col("max_claims"))
-        .groupBy("pair_id")
-        .agg(*[
-            F.sort_array(F.collect_list(F.when(F.col("change") == kind, F.struct("position", "citation")))).alias(kind)
-            for kind in ("added", "removed")
-        ])
+    w = Window.partitionBy("pair_id", "change").orderBy(
+        F.when(added, F.col("current.chunk_id")).otherwise(F.col("prior.chunk_id")),
+        F.when(added, F.col("current.claim_pos")).otherwise(F.col("prior.claim_pos")),
     )
-    # Counts, and each side's first claim for the case that no listed change cites that side.
-    totals = claim_rows.groupBy("pair_id").agg(
+    within = F.col("position") <= F.col("max_claims")
+    totals = claim_rows.withColumn("position", F.row_number().over(w)).groupBy("pair_id").agg(
         *[F.count(F.when(F.col("change") == kind, 1)).alias(f"{kind}_count") for kind in ("added", "removed", "unchanged")],
         F.min(F.when(F.col("current").isNotNull(), F.struct(F.col("current.chunk_id"), F.col("current.claim_pos"), now.alias("citation")))).alias("first_current"),
         F.min(F.when(F.col("prior").isNotNull(), F.struct(F.col("prior.chunk_id"), F.col("prior.claim_pos"), before.alias("citation")))).alias("first_prior"),
+        *[
+            F.sort_array(F.collect_list(F.when((F.col("change") == kind) & within, F.struct("position", side.alias("citation"))))).alias(kind)
+            for kind, side in (("added", now), ("removed", before))
+        ],
     )
     # A section whose chunks hold no claim at all counts as missing evidence, like one without chunks.
-    row = pairs.join(totals, "pair_id", "left").join(listed, "pair_id", "left")
+    row = pairs.join(totals, "pair_id", "left")
     has_claims = F.col("first_current").isNotNull() & F.col("first_prior").isNotNull()
     row = row.withColumn(
         "reason", F.when(F.col("reason").isNull() & ~F.coalesce(has_claims, F.lit(False)), F.lit("section_chunks_missing")).otherwise(F.col("reason"))
