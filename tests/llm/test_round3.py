@@ -408,3 +408,40 @@ def test_line_sql_counts_repeated_pages_once(spark):
     assert sorted(repr(tuple(r)) for r in found) == want
     texts = {r.page_id: r.text for r in found}
     assert texts[0] == "clean line\nmore of it" and texts[103] == "own 3"
+
+
+def test_pages_that_share_a_least_line_all_count(spark):
+    import corpus_pipeline
+
+    menu = [f"Menu entry {i}" for i in range(30)]
+    own = [" ".join(f"w{i}x{j}" for j in range(400)) for i in range(60)]
+    rows = [(i, "\n".join([*menu, own[i], *menu[:2]]), "en", "big", 0) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    found = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.lines(spark, docs, "").collect()}
+    assert found == {i: (t, len(t)) for i, t in enumerate(own)}
+
+
+def test_near_copies_by_lines_equal_brute_force(spark):
+    from dossier.llm import linededup
+
+    rng = random.Random(4)
+    base = [f"base line {i} " + "x" * rng.randrange(40) for i in range(12)]
+    texts = [[f"own {i}.{j} " + "y" * rng.randrange(60) for j in range(rng.randrange(1, 6))] + base[:rng.randrange(13)] for i in range(150)]
+    texts += [base[:k] + base[k + 1:] for k in range(12)] + [[]]
+    sets = [{(t, len(t)) for t in lines} for lines in texts]
+    group = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            if sum(n for _, n in sets[i] & sets[j]) >= 0.8 * sum(n for _, n in sets[i] | sets[j]) > 0:
+                group = [group[j] if g == group[i] else g for g in group]
+    want = sorted(sorted(i for i, g in enumerate(group) if g == k) for k in set(group) if group.count(k) > 1)
+    part, linededup.PART = linededup.PART, 16
+    try:
+        pages = spark.createDataFrame([(i, "a", t) for i, t in enumerate(texts)], "node long, host string, keys array<string>")
+        found = linededup.near_copies(pages.select("node", "host", linededup._marks(F.col("keys")).alias("marks"))).collect()
+    finally:
+        linededup.PART = part
+    groups = {}
+    for r in found:
+        groups.setdefault(r.root, []).append(r.node)
+    assert sorted(sorted(g) for g in groups.values()) == want and len(want) > 0
