@@ -1,5 +1,6 @@
 import datetime as dt
 import random
+import time
 from decimal import Decimal
 
 from pyspark.sql import functions as F
@@ -158,3 +159,32 @@ def test_only_facts_of_companies_that_are_asked_about_are_moved(spark, monkeypat
     monkeypatch.setattr(FA, "BROADCAST_COMPANIES", 0)
     plan, got = run()
     assert "LeftSemi" not in plan and got == {"q1": "kx", "q2": None}
+
+
+def test_source_keys_are_packed_and_come_back(spark):
+    digests = ["00" * 32, "0f" * 32, "f0" * 32, "ff" * 32]
+    keys = [*digests, None, "", "s1", "FF" * 32, "g" * 64, "é", "a" * 63]
+    df = spark.createDataFrame([(k,) for k in keys], "k string").select("k", FA._packed(F.col("k")).alias("p"))
+    rows = df.select("k", "p", FA._unpacked(F.col("p")).alias("u")).collect()
+    assert [r.u for r in rows] == keys
+    packed = {r.k: bytes(r.p) for r in rows if r.k is not None}
+    assert sorted(digests, key=packed.get) == digests and all(len(packed[d]) == 33 for d in digests)
+
+
+def test_no_shuffle_stays_when_a_table_is_written(spark):
+    from dossier.session import durable, durable_parts, release
+
+    def held():
+        root = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return sum(f.getName().startswith("shuffle_") for f in spark.sparkContext._jvm.scala.jdk.javaapi.CollectionConverters.asJava(root))
+
+    df = spark.range(1000).repartition(4, "id").groupBy((F.col("id") % 7).alias("k")).count()
+    before = held()
+    whole = durable(df, "t")
+    parts = durable_parts([df.where(F.col("k") % 3 == i) for i in range(3)], "t", "zstd")
+    deadline = time.time() + 20
+    while held() > before and time.time() < deadline:
+        time.sleep(0.2)
+    assert held() <= before
+    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, parts.collect())) and len(whole.collect()) == 7
+    release(spark)
