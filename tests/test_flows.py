@@ -444,3 +444,34 @@ def test_stripping_takes_every_kind_of_white_space(spark):
     df = spark.createDataFrame([("".join(space) + inner + "".join(space),), ("".join(space),), ("",), (None,)], "v string")
     rows = [tuple(r) for r in df.select(T.strip(F.col("v")), T.rstrip(F.col("v"))).collect()]
     assert rows == [(inner, "".join(space) + inner), ("", ""), ("", ""), (None, None)]
+
+
+def test_variants_share_snippets_and_read_only_named_filings(spark, monkeypatch):
+    from dossier.operators import parsing, retrieval
+    from dossier.schemas import FACTS
+
+    sections = [(f"a-{i}", 1, 0, "risk_factors", "Risk", f"u{i}", f"Risks of unit {i} are many and its products are few. Net sales were $ 1,{i}00 in total.") for i in range(4)]
+    df = spark.createDataFrame(sections, "accession_number string, section_sequence int, start_offset int, section_type string, section_name string, source_url string, section_text string")
+    filings = spark.createDataFrame([(f"a-{i}", f"c{i}", "10-K", 2020, None) for i in range(9)], "accession_number string, cik string, form_type string, fiscal_year int, fiscal_quarter int")
+    index = retrieval.build_index(parsing.cut_chunks(df.join(filings, "accession_number"), 64, 8))
+    asked = [("q0", "Describe the products of the unit", "a-0"), ("q1", "Which risks are many?", "a-1"), ("q2", "Describe the products of the unit", "a-0"), ("q3", "Which risks?", "a-7"), ("q4", "Which risks?", "b")]
+    fields = "question_id string, question string, accession_number string, top_k int, cik string, form_type string, fiscal_year int, fiscal_quarter int, section_type string"
+    questions = spark.createDataFrame([(*q, 3, None, "10-K", None, None, None) for q in asked], fields)
+    seen = {}
+    choose, errors = answering.best_snippets, answering.request_errors
+
+    def counted(hits, *rest):
+        seen["chosen"] = hits.select("accession_number", "chunk_id", "query").count()
+        return choose(hits, *rest)
+
+    def read(rows, filings, *rest, **named):
+        seen["filings"] = filings.count()
+        return errors(rows, filings, *rest, **named)
+
+    monkeypatch.setattr(answering, "best_snippets", counted)
+    monkeypatch.setattr(answering, "request_errors", read)
+    found = evaluation.predict(questions, evaluation.variant_table(spark), filings, index, spark.createDataFrame([], FACTS))
+    rows = {(r.base_id, r.variant): r for r in found.collect()}
+    assert seen == {"chosen": 2, "filings": 3} and len(rows) == found.count() == 20
+    assert rows["q0", "naive_rag"].citations == rows["q2", "improved_rag_xbrl"].citations and "products are few" in rows["q0", "naive_rag"].citations[0].snippet
+    assert rows["q3", "naive_rag"].error == "No chunks found for filing: a-7" and rows["q4", "improved_rag"].error == "Filing not found: b"
